@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import mixing, tokens
+from . import mixing, mojibake, quality, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,22 @@ def p1_budget(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------- 3: quality
+
+
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return quality.kinds(_documents(spark, d), table(spark, d, "lang_samples")).select("doc_id", "kind").distinct()
+
+
+def p3_statistics(spark: SparkSession, d: str) -> DataFrame:
+    return quality.statistics(_documents(spark, d))
+
+
+def p3_failures(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that fail a rule, one row a rule."""
+    return quality.rule_failures(quality.statistics(_documents(spark, d))).select("doc_id", F.explode("reasons").alias("reason"))
+
+
 # ------------------------------------------------------------ 7: encoding
 
 
@@ -82,6 +98,17 @@ def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.shares(mixing.copies(counts, documents, rated), rated, configs)
 
 
+# ------------------------------------------------------ 9: wrong encoding
+
+
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repairs(_documents(spark, d), table(spark, d, "lang_samples")).select("doc_id").distinct()
+
+
+def p9_repairs(spark: SparkSession, d: str) -> DataFrame:
+    return mojibake.repairs(_documents(spark, d), table(spark, d, "lang_samples"))
+
+
 QUERIES: dict[str, Query] = {name: f for name, f in list(globals().items()) if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
 SQL: dict[str, str] = {}
