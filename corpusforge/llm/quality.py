@@ -175,6 +175,8 @@ def kind_of(text: str | None) -> tuple[str | None, str]:
         return "junk", "symbols"
     if sum(len(t) for t in tokens if LONG.fullmatch(t)) > 0.5 * size:
         return "junk", "runs"
+    if len(tokens) >= 12 and len(set(tokens)) <= min(12, 0.3 * len(tokens)):
+        return "junk", "repetition"
     # repetition: few distinct phrases, or few distinct words, and hardly a sentence
     if len(tokens) >= 12 and 30 * len(STOP.findall(text)) <= len(tokens):
         phrases = [p for p in SEPARATORS.split(text) if p.strip()]

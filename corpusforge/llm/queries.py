@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import mixing, mojibake, quality, tokens
+from . import langid, mixing, mojibake, pairs, quality, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,35 @@ def p3_failures(spark: SparkSession, d: str) -> DataFrame:
     return quality.rule_failures(quality.statistics(_documents(spark, d))).select("doc_id", F.explode("reasons").alias("reason"))
 
 
+# -------------------------------------------------------- 5: languages
+
+
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return langid.corrections(_documents(spark, d), table(spark, d, "lang_samples")).distinct()
+
+
+def p5_documents(spark: SparkSession, d: str) -> DataFrame:
+    return langid.document_languages(_documents(spark, d), table(spark, d, "lang_samples"))
+
+
+def p5_segments(spark: SparkSession, d: str) -> DataFrame:
+    return langid.language_segments(_documents(spark, d), table(spark, d, "lang_samples"))
+
+
+# ------------------------------------------------------- 6: broken pairs
+
+
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.defects(table(spark, d, "sft_rows"), table(spark, d, "lang_samples")).select("row_id", "defect").distinct()
+
+
+def p6_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Defective rows by source and defect."""
+    rows = table(spark, d, "sft_rows")
+    bad = pairs.defects(rows, table(spark, d, "lang_samples"))
+    return rows.select("row_id", "source").join(bad, "row_id").groupBy("source", "defect").agg(F.count(F.lit(1)).alias("n"))
+
+
 # ------------------------------------------------------------ 7: encoding
 
 
