@@ -34,6 +34,8 @@ FEATURES = 1 << 15
 #: Characters without width that may stand inside a word.
 INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
 
+HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
+
 UNIT = re.compile(r"[^\W_]+|[.!?…\n]")
 
 #: Texts longer than this many words are labelled in overlapping windows, so
@@ -78,7 +80,9 @@ def features(word: str) -> tuple[int, ...]:
 def units(text: str) -> tuple[list[str], np.ndarray]:
     """Lower-case words of a text, and for each whether a sentence ends before it."""
     if not text.isascii():
-        text = unicodedata.normalize("NFC", text.translate(INVISIBLE))
+        if HIDDEN.search(text):
+            text = text.translate(INVISIBLE)
+        text = unicodedata.normalize("NFC", text)
     if "&" in text:
         text = html.unescape(text)
     found, after, starts = [], True, []

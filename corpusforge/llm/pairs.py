@@ -9,10 +9,10 @@ that holds is the pair's defect.
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +30,8 @@ PLACEHOLDERS = {"", "nan", "none", "null", "nil", "n/a", "na", "tbd", "todo", "n
 def is_empty(output: str | None) -> bool:
     if output is None:
         return True
+    if len(output) > 200 and output.isascii() and any(map(str.isalnum, output[:50])):
+        return False  # longer than any placeholder
     bare = output.translate(INVISIBLE).strip().strip("<>[](){}\"'“”`*_-–—.…?!#: \t\r\n ").lower()
     return " ".join(bare.replace("_", " ").split()) in PLACEHOLDERS
 
@@ -60,8 +62,10 @@ LETTER = re.compile(r"\b(?:letter|note|message|apolog|email|e-mail|brief|lettre|
 def is_refusal(instruction: str, output: str) -> bool:
     """Whether the output declines and does nothing else."""
     bare = output.strip().strip("\"“”")
+    if len(bare) > 600 or not TASK.search(bare):
+        return False
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", bare) if s]
-    if not sentences or len(sentences) > 6 or len(bare) > 600:
+    if not sentences or len(sentences) > 6:
         return False
     declined = 0
     for s in sentences:
@@ -133,7 +137,8 @@ def is_copy(instruction: str, given: str, output: str) -> bool:
         if len(out) % k == 0 and out == out[: len(out) // k] * k:
             out = out[: len(out) // k]
     ins, inp = words(instruction), words(given)
-    if not set(out[:8]) & (set(ins) | set(inp)):
+    known = {*ins, *inp}
+    if sum(w in known for w in out) < 0.85 * len(out):
         return False
     both = ins + inp
     if len(out) >= 3 and covered(out, both) < 0.85:
@@ -171,18 +176,20 @@ def language_of(field: LanguageModel, text: str, least: int) -> tuple[str | None
     if len(found) < least:
         return None, 0.0
     # shape by the field; in a short request its common words weigh more
-    scores = field.emissions(found).sum(0).astype(float)
+    scores = field.emissions(found).sum(0).tolist()
+    at = {code: k for k, code in enumerate(field.languages)}
     for w in found:
         for code in LEXICON.get(w, ()):
-            if code in field.languages:
-                scores[field.languages.index(code)] += 3.0
-    p = np.exp(scores - scores.max())
-    return field.languages[int(p.argmax())], float(1 / p.sum())
+            if code in at:
+                scores[at[code]] += 3.0
+    top = max(scores)
+    return field.languages[scores.index(top)], 1 / sum(math.exp(x - top) for x in scores)
 
 
 # --------------------------------------------------------------- truncation
 
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
+BRACKETS = re.compile(r'```|["()\[\]{}“”«»]')
 TERMINAL = re.compile(r"""[.!?…。:;]["”»’')\]*_`]*$|["”»)\]`*_]$""")
 SENTENCE_END = re.compile(r"""[.!?…]["”»’')\]]*(?:\s|$)""")
 ITEM = re.compile(r"^\s*(?:[-*•–+]\s|\(?\w{1,2}[.)]\s|\[[ x]?\])")
@@ -194,31 +201,26 @@ def open_at_end(text: str) -> list[str]:
     expects when the text ends. An apostrophe inside a word, a lone closing mark
     (as of "a)") and an emoticon are no brackets."""
     stack: list[str] = []
-    i = 0
-    while i < len(text):
-        if text.startswith("```", i):
-            if stack and stack[-1] == "```":
+    for m in BRACKETS.finditer(text):
+        c = m[0]
+        if c == "```":
+            if stack and stack[-1] == c:
                 stack.pop()
-            elif "```" not in stack:
-                stack.append("```")
-            i += 3
-            continue
-        c = text[i]
-        if stack and stack[-1] == "```":
-            i += 1
+            elif c not in stack:
+                stack.append(c)
+        elif stack and stack[-1] == "```":
             continue
-        if c == '"':
-            if '"' in stack:
-                while stack.pop() != '"':
+        elif c == '"':
+            if c in stack:
+                while stack.pop() != c:
                     pass
             else:
-                stack.append('"')
+                stack.append(c)
         elif c in PAIRS:
             stack.append(PAIRS[c])
-        elif c in PAIRS.values() and c in stack:
+        elif c in stack:
             while stack.pop() != c:
                 pass
-        i += 1
     return stack
 
 
@@ -273,8 +275,8 @@ def defect(field: LanguageModel, instruction: str | None, given: str | None, out
         return "refusal", 1.0
     if is_copy(instruction, given, output):
         return "copy", 1.0
-    asked, sure_asked = language_of(field, instruction, 2)
     got, sure = language_of(field, output, 4)
+    asked, sure_asked = _asked(field, instruction) if got else (None, 0.0)
     if asked and got and asked != got and sure > 0.9 and sure_asked > 0.5 and not asks_language(instruction):
         own = language_of(field, given, 4)[0] if given else None
         if not (own == got and (COPYING.search(instruction) or own != asked)):
@@ -284,6 +286,19 @@ def defect(field: LanguageModel, instruction: str | None, given: str | None, out
     return None, 0.0
 
 
+def _asked(field: LanguageModel, instruction: str) -> tuple[str | None, float]:
+    """``language_of`` an instruction; the same one comes with many rows."""
+    known = _ASKED.get((id(field), instruction))
+    if known is None:
+        if len(_ASKED) > 50_000:
+            _ASKED.clear()
+        known = _ASKED[id(field), instruction] = language_of(field, instruction, 2)
+    return known
+
+
+_ASKED: dict[tuple[int, str], tuple[str | None, float]] = {}
+
+
 def defects(df: DataFrame, samples: DataFrame, id_col: str = "row_id") -> DataFrame:
     """(id, defect, confidence) of the defective pairs of ``df`` with columns
     instruction, input and output.
