@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import langid, mixing, mojibake, pairs, quality, tokens
+from . import langid, mixing, mojibake, neardup, pairs, quality, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -61,6 +61,20 @@ def p3_failures(spark: SparkSession, d: str) -> DataFrame:
     return quality.rule_failures(quality.statistics(_documents(spark, d))).select("doc_id", F.explode("reasons").alias("reason"))
 
 
+# -------------------------------------------------- 4: near duplicates
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Three words and 0.6, as the problem's statement has it."""
+    pairs_, members = neardup.similar_pairs(_documents(spark, d), similarity=0.6, size=3)
+    return neardup.all_pairs(pairs_, members).select(F.col("a").alias("doc_id_a"), F.col("b").alias("doc_id_b"))
+
+
+def p4_groups(spark: SparkSession, d: str) -> DataFrame:
+    """One row a document: its group, under five words and 0.8."""
+    return neardup.groups(*neardup.similar_pairs(_documents(spark, d))).withColumnsRenamed({"id": "doc_id", "group": "group_id"})
+
+
 # -------------------------------------------------------- 5: languages
 
 
