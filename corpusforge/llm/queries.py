@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import table
-from . import langid, mixing, mojibake, neardup, pairs, quality, tokens
+from . import langid, leakage, mixing, mojibake, neardup, pairs, quality, tokens
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,22 @@ def p1_budget(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+# ---------------------------------------------------------- 2: leakage
+
+
+def p2_found(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(_documents(spark, d), table(spark, d, "eval_items")).select("doc_id", "item_id")
+
+
+def p2_matches(spark: SparkSession, d: str) -> DataFrame:
+    return leakage.leaks(_documents(spark, d), table(spark, d, "eval_items"))
+
+
+def p2_clean(spark: SparkSession, d: str) -> DataFrame:
+    documents = _documents(spark, d)
+    return leakage.without_leaks(documents, leakage.leaks(documents, table(spark, d, "eval_items"))).select("doc_id", "source", "n_chars")
+
+
 # ---------------------------------------------------------- 3: quality
 
 
