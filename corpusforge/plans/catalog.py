@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import documents, evaluation, instructions, runs, streams
+
 QUERIES: dict = {}
-SQL: dict = {}
+SQL: dict[str, str] = {}
+for _module in (documents, instructions, runs, evaluation, streams):
+    QUERIES |= _module.QUERIES
+    SQL |= _module.SQL
