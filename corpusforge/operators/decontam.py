@@ -56,7 +56,7 @@ def ngram_hits(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     kind = df.schema[id_col].dataType.simpleString()
     grams = items.select(F.explode(word_runs(split_words(item_text), n)).alias("g")).distinct()
     result, block = None, []
-    for (g,) in grams.toLocalIterator():
+    for (g,) in grams.coalesce(8).toLocalIterator(prefetchPartitions=True):
         block.append(g)
         if len(block) >= INDEX_BLOCK:
             result, block = _union(result, _scan(spark, slim, block, n, kind)), []

@@ -168,11 +168,11 @@ def cleaned_rows(spark, d) -> DataFrame:
     after them would pull the chains of patterns into every condition.
     """
     checkpoint_dir(spark)
-    rows = sft(spark, d).select("row_id", "source", *[T.clean_text(c).alias(c) for c in ("instruction", "input", "output")]).checkpoint()
+    rows = sft(spark, d).select("row_id", "source", *[T.clean_text(c).alias(c) for c in ("instruction", "input", "output")])
     prompt = F.concat_ws("\n", "instruction", "input")
     read = rows.withColumn("_m", P.options(prompt)).withColumn("_l", P.valid_letters(prompt, F.col("_m")))
     decoded = F.when(F.size("_l") > 0, F.coalesce(P.decode_answer(F.col("output"), F.col("_l"), F.col("_m")), F.lit(""))).otherwise(F.col("output"))
-    return read.withColumn("output", decoded).drop("_m", "_l")
+    return read.withColumn("output", decoded).drop("_m", "_l").checkpoint()
 
 
 @query("sft_clean_filter")

@@ -14,9 +14,12 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     """``df`` in at least ``per_core`` partitions a core.
 
     An input that already has as many scan partitions is returned as it is, so
-    that large tables are never shuffled for it.
+    that large tables are never shuffled for it; so is a plan with an exchange
+    of its own, whose stages would run only to be counted.
     """
     spark = df.sparkSession
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     wanted = spark.sparkContext.defaultParallelism * per_core
     if df.rdd.getNumPartitions() >= wanted:
         return df
