@@ -100,6 +100,8 @@ class LanguageModel:
     """The trained field: emissions of words and two transition matrices."""
 
     def __init__(self, rows: list[tuple[str, str]], seed: int = 7, rounds: int = 50):
+        if not rows:
+            raise ValueError("no labelled sentences to train on")
         self.languages = sorted({lang for lang, _ in rows})
         self.weights = np.zeros((FEATURES, len(self.languages)))
         self.steps = np.zeros((2, len(self.languages), len(self.languages)))
@@ -326,7 +328,7 @@ def mixture(found: list[str], starts: np.ndarray, prob: np.ndarray, languages: l
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> tuple[DataFrame, str]:
     label = F.col(lang_col).cast("string") if lang_col else F.lit(None).cast("string")
-    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.alias("label"))), df.schema[id_col].dataType.simpleString()
+    return spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), label.alias("label"))).filter("id is not null"), df.schema[id_col].dataType.simpleString()
 
 
 def document_languages(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
@@ -334,7 +336,7 @@ def document_languages(df: DataFrame, samples: DataFrame, id_col: str = "doc_id"
     row each where it mixes several, with the delivered label as a code.
 
     A text without words (null, empty, marks only) has one row with a null
-    language and confidence 0.
+    language and confidence 0; rows with a null id have none.
     """
     trained = trained_field(samples)
 

@@ -9,6 +9,7 @@ that holds is the pair's defect.
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -87,33 +88,40 @@ OPTIONS = re.compile(r"^\s*\(?[A-Ja-j1-9][).]\s", re.M)
 
 def tiles(a: list[str], b: list[str], least: int = 3) -> list[tuple[int, int, int]]:
     """Greedy string tiling: longest common runs first, each word in one tile;
-    (start in a, start in b, length) of the runs of ``least`` words or more."""
-    found: list[tuple[int, int, int]] = []
-    free_a, free_b = [True] * len(a), [True] * len(b)
+    (start in a, start in b, length) of the runs of ``least`` words or more.
+
+    The maximal common runs are listed once; one that a longer tile has cut
+    into goes back with what is left of it.
+    """
     places: dict[tuple[str, ...], list[int]] = {}
     for j in range(len(b) - least + 1):
         places.setdefault(tuple(b[j : j + least]), []).append(j)
-    while True:
-        best: list[tuple[int, int]] = []
-        size = least
-        for i in range(len(a) - least + 1):
-            if not free_a[i]:
-                continue
-            for j in places.get(tuple(a[i : i + least]), ()):
-                k = 0
-                while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k] and free_a[i + k] and free_b[j + k]:
-                    k += 1
-                if k > size or k == size and not best:
-                    size, best = k, [(i, j)]
-                elif k == size:
-                    best.append((i, j))
-        if not best:
-            return found
-        for i, j in best:
-            if all(free_a[i : i + size]) and all(free_b[j : j + size]):
-                found.append((i, j, size))
-                free_a[i : i + size] = [False] * size
-                free_b[j : j + size] = [False] * size
+    heap: list[tuple[int, int, int]] = []
+    for i in range(len(a) - least + 1):
+        for j in places.get(tuple(a[i : i + least]), ()):
+            if i and j and a[i - 1] == b[j - 1]:
+                continue  # inside a run that began before
+            k = least
+            while i + k < len(a) and j + k < len(b) and a[i + k] == b[j + k]:
+                k += 1
+            heap.append((-k, i, j))
+    heapq.heapify(heap)
+    free_a, free_b = bytearray(b"\x01") * len(a), bytearray(b"\x01") * len(b)
+    found: list[tuple[int, int, int]] = []
+    while heap:
+        k, i, j = heapq.heappop(heap)
+        k = -k
+        if all(free_a[i : i + k]) and all(free_b[j : j + k]):
+            found.append((i, j, k))
+            free_a[i : i + k] = free_b[j : j + k] = bytes(k)
+            continue
+        start = 0
+        for x in range(k + 1):
+            if x == k or not (free_a[i + x] and free_b[j + x]):
+                if x - start >= least:
+                    heapq.heappush(heap, (start - x, i + start, j + start))
+                start = x + 1
+    return found
 
 
 def covered(a: list[str], b: list[str]) -> float:
@@ -305,6 +313,7 @@ def defects(df: DataFrame, samples: DataFrame, id_col: str = "row_id") -> DataFr
 
     Null instruction and input count as empty. Each row is judged alone, so a
     pair delivered again counts again; equal pairs of a batch are judged once.
+    Rows with a null id have no row.
     """
     trained = trained_field(samples)
 
@@ -324,5 +333,5 @@ def defects(df: DataFrame, samples: DataFrame, id_col: str = "row_id") -> DataFr
             yield pd.DataFrame(rows, columns=["id", "defect", "confidence"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    slim = spread(df.select(F.col(id_col).alias("id"), "instruction", "input", "output"))
+    slim = spread(df.select(F.col(id_col).alias("id"), "instruction", "input", "output")).filter("id is not null")
     return slim.mapInPandas(run, f"id {kind}, defect string, confidence double").withColumnRenamed("id", id_col)

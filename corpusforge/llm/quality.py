@@ -179,7 +179,7 @@ def kind_of(text: str | None) -> tuple[str | None, str]:
         return "junk", "repetition"
     # repetition: few distinct phrases, or few distinct words, and hardly a sentence
     if len(tokens) >= 12 and 30 * len(STOP.findall(text)) <= len(tokens):
-        phrases = [p for p in SEPARATORS.split(text) if p.strip()]
+        phrases = [p for p in SEPARATORS.split(re.sub(r"[ \t]+(?=[ \t])|[ \t]+(?=\n)", "", text.replace("\t", "|"))) if p.strip()]
         if len(phrases) >= 8 and len(set(phrases)) <= 0.5 * len(phrases) and sum(len(p.split()) for p in phrases) <= 6 * len(phrases):
             return "junk", "repetition"
         if len(lines) < 3 and len(set(tokens)) <= 0.4 * len(tokens) and 60 * len(STOP.findall(text)) <= len(tokens):
@@ -238,7 +238,7 @@ def _runs_on(lines: list[str], k: int) -> bool:
 def kinds(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, reason) of the texts of 60 characters or more that are mostly
     not running prose; texts that look odd for being wrongly decoded are none.
-    Null and shorter texts have no row; each row of ``df`` is judged alone."""
+    Null and shorter texts and null ids have no row; each row of ``df`` is judged alone."""
     clean = training_texts(samples)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -248,7 +248,7 @@ def kinds(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: s
             yield pd.DataFrame([r for r in rows if r[1]], columns=["id", "kind", "reason"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    slim = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).filter(F.length("text") >= 60)
+    slim = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).filter("id is not null and length(text) >= 60")
     return slim.mapInPandas(run, f"id {kind}, kind string, reason string").withColumnRenamed("id", id_col)
 
 

@@ -188,8 +188,8 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_tokens): the exact number of tokens of each text.
 
     By partitioned tries of distinct pieces (see the module). ``id_col`` is an
-    integer column without nulls; an empty or null text has 0. Repeated ids
-    keep a row for each of their rows. ``salts`` spreads the postings of one
+    integer column; rows with a null id have none; an empty or null text has 0.
+    Repeated ids keep a row for each of their rows. ``salts`` spreads the postings of one
     prefix, however frequent, over as many tasks.
     """
     spark = df.sparkSession
@@ -236,7 +236,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 total[: len(x)] += x
         return pd.DataFrame({"id": ids, "n_tokens": total})
 
-    slim = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
+    slim = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).filter("id is not null")
     postings = slim.mapInPandas(cut, "chunk long, piece binary, salt int, rows binary, times binary")
     lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # one exchange: pieces go by prefix and salt, a chunk's ids by the chunk
