@@ -133,9 +133,9 @@ def similar_pairs(df: DataFrame, similarity: float = 0.8, size: int = 5, least_w
     members = made.select("id", "same").distinct().join(firsts.select("same", "representative"), "same").select("id", "representative")
     kept = firsts.select("first.*")
     buckets = _buckets(kept)
-    # a key held by one text links nothing; the join splits a hot key by itself (AQE)
-    left, right = buckets.alias("l"), buckets.withColumnRenamed("id", "other").alias("r")
-    candidates = left.join(right, "key").filter("id < other").select(F.col("id").alias("a"), F.col("other").alias("b")).distinct()
+    # both sides are one plan, so the buckets are shuffled once; a hot key is split by the join (AQE)
+    left, right = buckets.alias("l"), buckets.alias("r")
+    candidates = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
     # lanes: agreement below the expected less four deviations cannot reach the similarity
     floor = max(0.0, similarity - 4 * (similarity * (1 - similarity) / LANES) ** 0.5)
 
