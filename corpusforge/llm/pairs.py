@@ -12,15 +12,18 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import unicodedata
 from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from .common import words
-from .langid import INVISIBLE, LEXICON, LanguageModel, trained_field, units
+from .common import WORD, words
+from .langid import HIDDEN, INVISIBLE, LEXICON, LanguageModel, trained_field
 
 # ------------------------------------------------------------------- empty
 
@@ -33,7 +36,7 @@ def is_empty(output: str | None) -> bool:
         return True
     if len(output) > 200 and output.isascii() and any(map(str.isalnum, output[:50])):
         return False  # longer than any placeholder
-    bare = output.translate(INVISIBLE).strip().strip("<>[](){}\"'“”`*_-–—.…?!#: \t\r\n ").lower()
+    bare = (output if output.isascii() else output.translate(INVISIBLE)).strip().strip("<>[](){}\"'“”`*_-–—.…?!#: \t\r\n ").lower()
     return " ".join(bare.replace("_", " ").split()) in PLACEHOLDERS
 
 
@@ -56,6 +59,12 @@ DECLINE = {
 #: Words that must stand in a Romance or Germanic clause of regret for it to decline.
 TASK = re.compile(r"ablehn|refus|déclin|rechaz|declin|rifiut|recus|afwijz|weiger|отклон|отказ|help|answer|assist|provide|do (?:that|this)|fulfil|respond|request|write|unable|able|comfortable|guidelines|possible|decline|rather not|discuss|comply|continue|complete|create|generate|engage|hilf|helfen|helpen|beantwort|antwort|antwoord|bearbeit|möglich|mogelijk|aid|répond|réponse|question|mesure|demande|ayud|respond|pregunta|solicitud|aiut|rispond|domanda|richiesta|ajud|respond|pergunta|pedido|помочь|ответить|вопрос|запрос|выполнить", re.I)
 REFUSAL = re.compile("^" + OPENERS + "(?:" + "|".join(DECLINE.values()) + ")", re.I)
+#: How a sentence of a refusal can begin, as a cheap first look.
+BEGINS = re.compile(
+    r"\W*(?:i\b|i['’]|sorry|my\b|apolog|unfortun|regret|thank|as\b|it\b|it['’]|this\b|that\b|your\b|answer|doing|writing|es\b|leider|das\b|dabei|diese|ich\b|tut\b|je\b|malheur|désol|il\b|cette|ce\b|lo\b|lament|desaf|no\b|est[ae]\b|debo|tengo|"
+    r"mi\b|purtr|non\b|quest|essa|devo|desc|sinto|infel|não\b|tenho|het\b|helaas|dat\b|daar|deze|dit\b|ik\b|извин|прост|к\b|я\b|не\b|этот|должен|is\b|please|you\b|perhaps|maybe|feel|if\b|let\b|instead)",
+    re.I,
+)
 CLOSING = re.compile(r"^\s*(?:is there|please (?:ask|try|let|consult)|you (?:may|might|could|can)|i hope|perhaps|maybe|feel free|thank|if you|let me know|instead)", re.I)
 LETTER = re.compile(r"\b(?:letter|note|message|apolog|email|e-mail|brief|lettre|carta|lettera|bericht|письмо)", re.I)
 
@@ -63,7 +72,7 @@ LETTER = re.compile(r"\b(?:letter|note|message|apolog|email|e-mail|brief|lettre|
 def is_refusal(instruction: str, output: str) -> bool:
     """Whether the output declines and does nothing else."""
     bare = output.strip().strip("\"“”")
-    if len(bare) > 600 or not TASK.search(bare):
+    if len(bare) > 600 or not BEGINS.match(bare) or not TASK.search(bare):
         return False
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", bare) if s]
     if not sentences or len(sentences) > 6:
@@ -137,7 +146,7 @@ def covered(a: list[str], b: list[str]) -> float:
 
 def is_copy(instruction: str, given: str, output: str) -> bool:
     """Whether the output gives back instruction, input or both and no more."""
-    out = words(FRAME.sub(" ", output))
+    out = words(FRAME.sub(" ", output) if ":" in output or "#" in output else output)
     if not out:
         return bool(FRAME.search(output))
     for k in (2, 3, 4):
@@ -178,18 +187,60 @@ def asks_language(instruction: str) -> bool:
     return False
 
 
+class _Scores:
+    """Scores of words by language: those of the field, and more for a word of
+    the lexicon, which weighs in a short request; a last column marks words
+    that are no numbers. A word is scored once."""
+
+    def __init__(self, field: LanguageModel):
+        self.field = field
+        self.clear()
+
+    def clear(self) -> None:
+        self.index: dict[str, int] = {}
+        self.table = np.zeros((1024, len(self.field.languages) + 1), np.float32)
+
+    def add(self, found: list[str]) -> None:
+        new = [w for w in dict.fromkeys(found) if w not in self.index]
+        scores = self.field.emissions(new)
+        for w, row in zip(new, scores):
+            at = len(self.index)
+            if at == len(self.table):
+                self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+            self.table[at, :-1] = row
+            self.table[at, -1] = not w.isdigit()
+            for code in LEXICON.get(w, ()):
+                if code in self.field.languages:
+                    self.table[at, self.field.languages.index(code)] += 3.0
+            self.index[w] = at
+
+    def total(self, found: list[str]) -> list[float]:
+        index = self.index
+        try:
+            at = [index[w] for w in found]
+        except KeyError:
+            if len(index) > 500_000:
+                self.clear()
+            self.add(found)
+            at = [self.index[w] for w in found]
+        return self.table[at].sum(0).tolist()
+
+
+@lru_cache(maxsize=2)
+def _scores(field: LanguageModel) -> _Scores:
+    return _Scores(field)
+
+
 def language_of(field: LanguageModel, text: str, least: int) -> tuple[str | None, float]:
-    found = units(text)[0]
-    found = [w for w in found if not w.isdigit()]
+    """(language, probability) of a text of ``least`` words that are no numbers."""
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", text.translate(INVISIBLE) if HIDDEN.search(text) else text)
+    found = WORD.findall(text.lower())
     if len(found) < least:
         return None, 0.0
-    # shape by the field; in a short request its common words weigh more
-    scores = field.emissions(found).sum(0).tolist()
-    at = {code: k for k, code in enumerate(field.languages)}
-    for w in found:
-        for code in LEXICON.get(w, ()):
-            if code in at:
-                scores[at[code]] += 3.0
+    *scores, n = _scores(field).total(found)
+    if n < least:
+        return None, 0.0
     top = max(scores)
     return field.languages[scores.index(top)], 1 / sum(math.exp(x - top) for x in scores)
 
