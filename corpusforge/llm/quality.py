@@ -66,7 +66,7 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         share(F.length(F.array_join("w", "")), n).alias("mean_word_length"),
         share(F.regexp_count("t", F.lit("#|\\.\\.\\.|…")), n).alias("symbol_ratio"),
         lines.cast("long").alias("n_lines"),
-        share(F.regexp_count("t", F.lit("[.!?…][\"”»')]*[ \\t\\r]*(?:\\n|$)")), lines).alias("punctuated_lines"),
+        share(F.regexp_count("t", F.lit("[.!?…][\"”»')]*[ \\t\\r]*(?:\\n|\\z)")), lines).alias("punctuated_lines"),
         share(F.regexp_count("t", F.lit("(?:^|\\n)[ \\t]*[-•*–]")), lines).alias("bullet_lines"),
         share(F.size(F.filter("w", lambda x: x.isin(COMMON_WORDS))), n).alias("common_words"),
         share(F.size(F.array_distinct("w")), n).alias("distinct_words"),

