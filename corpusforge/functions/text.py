@@ -119,7 +119,7 @@ def nfkc(c: Column | str) -> Column:
 
 
 def drop_junk(c: Column | str) -> Column:
-    return F.translate(col(c), JUNK_CHARS, "")
+    return F.regexp_replace(col(c), f"[{JUNK_CHARS}]+", "")
 
 
 def drop_prefix(c: Column | str) -> Column:

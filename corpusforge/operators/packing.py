@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 #: End of text of the public 50k vocabulary; padding too.
 EOS = 50256
 IGNORED = -100
@@ -47,9 +49,11 @@ def pack(df: DataFrame, length: int, id_col: str = "doc_id", ids_col: str = "ids
     of ``length``; targets are shifted by one; the tail is dropped.
 
     A text is cut at sample borders where it lies, so only the pieces of one
-    sample meet in a task.
+    sample meet in a task. The ids are written once to the shared folder, as
+    offsets and cutting both read them.
     """
-    sized = offsets(df.select(id_col, F.col(ids_col).alias("ids"), F.size(ids_col).alias("n_tokens")).filter("n_tokens > 0"), id_col)
+    checkpoint_dir(df.sparkSession)
+    sized = offsets(df.select(id_col, F.col(ids_col).alias("ids"), F.size(ids_col).alias("n_tokens")).filter("n_tokens > 0").checkpoint(), id_col)
     first, last = F.floor(F.col("token_offset") / length), F.floor((F.col("token_offset") + F.col("n_tokens") - 1) / length)
     # the first token of a sample is also the last target of the one before
     begin = F.greatest(F.lit(0), F.when(F.col("token_offset") % length == 0, first - 1).otherwise(first))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..operators import decontam, dedup, packing, sampling
 from ..session import checkpoint_dir
-from ..sources.tables import table
+from ..sources.tables import spread, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -34,6 +34,11 @@ def docs(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents")
 
 
+def texts(spark: SparkSession, d: str, *more: str) -> DataFrame:
+    """Ids and texts for work that is heavy per row, on all cores."""
+    return spread(docs(spark, d).select("doc_id", "text", *more))
+
+
 def _brief(df: DataFrame, c: Column) -> DataFrame:
     """The id, digest and length of a computed text."""
     return df.select("doc_id", c.alias("t")).select("doc_id", F.md5("t").alias("text_md5"), F.length("t").cast("long").alias("n_chars"))
@@ -48,7 +53,7 @@ def _replaced(pattern: str, by: str = "", flags: str = "") -> str:
 
 
 def _cleaner(name: str, column, sql: str | None) -> None:
-    query(name, sql)(lambda spark, d: _brief(docs(spark, d), column(T.text_of("text"))))
+    query(name, sql)(lambda spark, d: _brief(texts(spark, d), column(T.text_of("text"))))
 
 
 _JUNK_SQL = "translate(coalesce(text,''), chr(65533)||chr(65279)||chr(8203)||chr(8204)||chr(8205)||chr(173)||chr(65534), '')"
@@ -71,12 +76,12 @@ _cleaner("boilerplate_prefix", T.drop_prefix, _brief_sql(_PREFIX_SQL))
 
 @query("clean_text_full")
 def clean_text_full(spark, d):
-    return _brief(docs(spark, d), T.clean_text("text"))
+    return _brief(texts(spark, d), T.clean_text("text"))
 
 
 @query("clean_text_prose")
 def clean_text_prose(spark, d):
-    return _brief(docs(spark, d), T.clean_text("text", strip_code_and_math=False))
+    return _brief(texts(spark, d), T.clean_text("text", strip_code_and_math=False))
 
 
 SQL["clean_text_prose"] = _brief_sql(
@@ -115,12 +120,12 @@ _ENGLISH_SQL = (
 
 @query("english_heuristic", _ENGLISH_SQL)
 def english_heuristic(spark, d):
-    return docs(spark, d).select("doc_id", "lang", T.is_english("text").alias("english"))
+    return texts(spark, d, "lang").select("doc_id", "lang", T.is_english("text").alias("english"))
 
 
 @query("has_code_or_markup")
 def has_code_or_markup(spark, d):
-    return docs(spark, d).select("doc_id", T.has_code_or_markup("text").alias("hit"))
+    return texts(spark, d).select("doc_id", T.has_code_or_markup("text").alias("hit"))
 
 
 def _re2(pattern: str) -> str:
@@ -132,7 +137,7 @@ _HAS_MATH = f"(regexp_matches(coalesce(text,''), '{_re2(T.LATEX)}') OR regexp_ma
 
 @query("has_math_content", f"SELECT doc_id, {_HAS_MATH} AS hit FROM documents")
 def has_math_content(spark, d):
-    return docs(spark, d).select("doc_id", T.has_math_content("text").alias("hit"))
+    return texts(spark, d).select("doc_id", T.has_math_content("text").alias("hit"))
 
 
 @query("code_or_math_task")
@@ -274,7 +279,7 @@ _IDS = f"list_transform({_WORDS}, lambda x: ('0x' || substr(md5(x), 1, 6))::BIGI
 
 @query("token_offsets", f"SELECT doc_id, n_tokens, coalesce(sum(n_tokens) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS token_offset FROM (SELECT doc_id, len({_WORDS}) + 1 AS n_tokens FROM documents)")
 def token_offsets(spark, d):
-    sized = docs(spark, d).select("doc_id", (F.size(T.split_words("text")) + 1).cast("long").alias("n_tokens"))
+    sized = texts(spark, d).select("doc_id", (F.size(T.split_words("text")) + 1).cast("long").alias("n_tokens"))
     return packing.offsets(sized)
 
 
@@ -283,7 +288,7 @@ _CHUNKS = f"SELECT chunk_id, list(id ORDER BY pos) AS ids FROM (SELECT pos, id,
 
 
 def packed(spark, d):
-    ids = docs(spark, d).select("doc_id", hashed_ids("text").alias("ids"))
+    ids = texts(spark, d).select("doc_id", hashed_ids("text").alias("ids"))
     return packing.pack(ids.withColumn("ids", packing.with_eos("ids")), 128)
 
 
@@ -304,7 +309,7 @@ def shift_targets(spark, d):
 @query("length_summary", "SELECT " + ", ".join(f"avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std, " + ", ".join(f"quantile_cont({m}, {p / 100}) AS {m}_p{p}" for p in (1, 5, 25, 50, 75, 95, 99)) for m in ("chars", "words", "sentences")) + f" FROM (SELECT length(t)::DOUBLE AS chars, len(list_filter(regexp_split_to_array(t, '{_S}+'), lambda x: x <> ''))::DOUBLE AS words, len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda x: regexp_replace(x, '^{_S}+|{_S}+$', '', 'g') <> ''))::DOUBLE AS sentences FROM (SELECT coalesce(text,'') AS t FROM documents))")
 def length_summary(spark, d):
     t = T.text_of("text")
-    sized = docs(spark, d).select(
+    sized = texts(spark, d).select(
         F.length(t).cast("double").alias("chars"),
         F.size(F.filter(F.split(t, T.WS + "+"), lambda w: w != "")).cast("double").alias("words"),
         F.size(F.filter(F.split(t, "[.!?]+"), lambda w: T.strip(w) != "")).cast("double").alias("sentences"),
@@ -350,7 +355,7 @@ _SIGNALS = (
 
 @query("quality_signals", _SIGNALS)
 def quality_signals(spark, d):
-    return signals(docs(spark, d))
+    return signals(texts(spark, d))
 
 
 FLAGS = {
@@ -361,14 +366,14 @@ FLAGS = {
 
 @query("quality_flags", " UNION ALL ".join(f"SELECT '{k}' AS flag, count(*) FILTER ({v}) AS n, 100.0 * count(*) FILTER ({v}) / count(*) AS pct FROM s" for k, v in FLAGS.items()).join([f"WITH s AS ({_SIGNALS}) ", ""]))
 def quality_flags(spark, d):
-    one = signals(docs(spark, d)).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.expr(v)).alias(k) for k, v in FLAGS.items()])
+    one = signals(texts(spark, d)).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.expr(v)).alias(k) for k, v in FLAGS.items()])
     stacked = ", ".join(f"'{k}', {k}" for k in FLAGS)
     return one.selectExpr("total", f"stack({len(FLAGS)}, {stacked}) as (flag, n)").select("flag", "n", (F.lit(100.0) * F.col("n") / F.col("total")).alias("pct"))
 
 
 @query("low_english_recheck", "SELECT CASE WHEN f < 0.1 THEN 'low' WHEN f < 0.3 THEN 'middle' ELSE 'high' END AS bucket, count(*) AS n FROM (SELECT len(list_filter(w, lambda x: list_contains(" + _STOP_SQL + ", x))) / greatest(len(w), 1) AS f FROM (SELECT list_transform(" + _WORDS + ", lambda x: regexp_replace(x, '^[.,!?;:()\"'']+|[.,!?;:()\"'']+$', '', 'g')) AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM (" + _SIGNALS + ") WHERE stopword_overlap < 0.10))) GROUP BY 1")
 def low_english_recheck(spark, d):
-    flagged = signals(docs(spark, d)).filter("stopword_overlap < 0.10").select("doc_id")
+    flagged = signals(texts(spark, d)).filter("stopword_overlap < 0.10").select("doc_id")
     words = F.transform(T.split_words("text"), lambda w: F.regexp_replace(w, "^[.,!?;:()\"']+|[.,!?;:()\"']+$", ""))
     f = docs(spark, d).join(flagged, "doc_id", "left_semi").select(words.alias("w")).select((F.size(F.filter("w", lambda x: x.isin(T.ENGLISH_STOPWORDS))) / F.greatest(F.size("w"), F.lit(1))).alias("f"))
     return f.groupBy(F.when(F.col("f") < 0.1, "low").when(F.col("f") < 0.3, "middle").otherwise("high").alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
@@ -379,18 +384,16 @@ ARTIFACTS = {"replacement": 0xFFFD, "bom": 0xFEFF, "zero_width_space": 0x200B, "
 
 @query("artifact_census", " UNION ALL ".join(f"SELECT '{k}' AS artifact, count(*) FILTER (contains(text, chr({v}))) AS n_docs, coalesce(sum(length(text) - length(replace(text, chr({v}), ''))), 0)::BIGINT AS n_total FROM documents" for k, v in ARTIFACTS.items() if v) + " UNION ALL SELECT 'null', 0, 0")
 def artifact_census(spark, d):
-    aggs = []
-    for k, v in ARTIFACTS.items():
-        n = F.length("text") - F.length(F.translate("text", chr(v), ""))
-        aggs += [F.count_if(n > 0).alias(f"{k}_docs"), F.coalesce(F.sum(n), F.lit(0)).cast("long").alias(f"{k}_total")]
+    counted = texts(spark, d).select(*[(F.length("text") - F.length(F.replace("text", F.lit(chr(v)), F.lit("")))).alias(k) for k, v in ARTIFACTS.items()])
+    aggs = [x for k in ARTIFACTS for x in (F.count_if(F.col(k) > 0).alias(f"{k}_docs"), F.coalesce(F.sum(k), F.lit(0)).cast("long").alias(f"{k}_total"))]
     stacked = ", ".join(f"'{k}', {k}_docs, {k}_total" for k in ARTIFACTS)
-    return docs(spark, d).agg(*aggs).selectExpr(f"stack({len(ARTIFACTS)}, {stacked}) as (artifact, n_docs, n_total)")
+    return counted.agg(*aggs).selectExpr(f"stack({len(ARTIFACTS)}, {stacked}) as (artifact, n_docs, n_total)")
 
 
 @query("whitespace_census", f"SELECT count(*) FILTER (text <> regexp_replace(text, '^{_S}+|{_S}+$', '', 'g')) AS untrimmed, count(*) FILTER (regexp_matches(text, '\\n{{3,}}')) AS excess_newlines, count(*) FILTER (contains(text, chr(9))) AS tabs, sum(len(regexp_extract_all(text, '\\n{{3,}}')))::BIGINT AS newline_runs, sum(length(text) - length(replace(text, chr(9), '')))::BIGINT AS n_tabs FROM documents")
 def whitespace_census(spark, d):
     t = F.col("text")
-    return docs(spark, d).agg(
+    return texts(spark, d).agg(
         F.count_if(t != T.strip(t)).alias("untrimmed"),
         F.count_if(t.rlike(r"\n{3,}")).alias("excess_newlines"),
         F.count_if(t.contains("\t")).alias("tabs"),
@@ -410,13 +413,13 @@ _CH = f"SELECT greatest(1, ceil(len({_WORDS}) / 128.0)) AS c FROM documents"
 
 @query("chunk_buckets", f"SELECT CASE WHEN c <= 1 THEN '1' WHEN c <= 5 THEN '2-5' WHEN c <= 10 THEN '6-10' ELSE '>10' END AS bucket, count(*) AS n, max(c)::BIGINT AS most FROM ({_CH}) GROUP BY 1")
 def chunk_buckets(spark, d):
-    c = docs(spark, d).select(F.greatest(F.lit(1), F.ceil(F.size(T.split_words("text")) / 128.0)).alias("c"))
+    c = texts(spark, d).select(F.greatest(F.lit(1), F.ceil(F.size(T.split_words("text")) / 128.0)).alias("c"))
     return c.groupBy(F.when(F.col("c") <= 1, "1").when(F.col("c") <= 5, "2-5").when(F.col("c") <= 10, "6-10").otherwise(">10").alias("bucket")).agg(F.count(F.lit(1)).alias("n"), F.max("c").cast("long").alias("most"))
 
 
 @query("context_fit", f"SELECT count(*) FILTER (n <= 1024) AS fits, avg(n) * 8013769 AS corpus_tokens, sum(greatest(1, ceil(n / 1024.0))) / count(*) * 8013769 AS corpus_samples FROM (SELECT len({_WORDS}) AS n FROM documents)")
 def context_fit(spark, d):
-    n = docs(spark, d).select(F.size(T.split_words("text")).alias("n"))
+    n = texts(spark, d).select(F.size(T.split_words("text")).alias("n"))
     return n.agg(F.count_if(F.col("n") <= 1024).alias("fits"), (F.avg("n") * 8_013_769).alias("corpus_tokens"), (F.sum(F.greatest(F.lit(1), F.ceil(F.col("n") / 1024.0))).cast("double") / F.count(F.lit(1)) * 8_013_769).alias("corpus_samples"))
 
 
@@ -431,7 +434,7 @@ def length_histogram(spark, d):
 
 @query("vocab_coverage", f"SELECT count(*) AS n_tokens, count(DISTINCT w) AS n_distinct FROM (SELECT unnest({_WORDS}) AS w FROM documents)")
 def vocab_coverage(spark, d):
-    by = docs(spark, d).select(F.explode(T.split_words("text")).alias("w")).groupBy("w").count()
+    by = texts(spark, d).select(F.explode(T.split_words("text")).alias("w")).groupBy("w").count()
     return by.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n_tokens"), F.count(F.lit(1)).alias("n_distinct"))
 
 
@@ -458,7 +461,7 @@ def curate(documents: DataFrame, items: DataFrame, normalise: bool = True) -> Da
 
 @query("curation_pipeline")
 def curation_pipeline(spark, d):
-    out = curate(docs(spark, d), table(spark, d, "eval_items"))
+    out = curate(texts(spark, d, "source"), table(spark, d, "eval_items"))
     return _brief(out, F.col("text"))
 
 
@@ -469,7 +472,7 @@ _FUNNEL += " UNION ALL ".join(f"SELECT {i} AS step, '{name}' AS stage, (SELECT c
 @query("funnel_counts", _FUNNEL)
 def funnel_counts(spark, d):
     """Rows after each step, over the raw texts."""
-    documents = docs(spark, d).select("doc_id", "source", "text")
+    documents = texts(spark, d, "source")
     kept = documents.filter(long_enough())
     single = dedup.exact(kept)
     english = single.filter(F.coalesce(F.col("source").isin("wikipedia", "bookcorpus"), F.lit(False)) | T.is_english("text"))

@@ -12,7 +12,7 @@ from ..functions import prompts as R
 from ..functions import text as T
 from ..operators import decontam, packing, sampling
 from ..session import checkpoint_dir
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .documents import _S, hashed_ids
 
 QUERIES: dict = {}
@@ -168,7 +168,7 @@ def cleaned_rows(spark, d) -> DataFrame:
     after them would pull the chains of patterns into every condition.
     """
     checkpoint_dir(spark)
-    rows = sft(spark, d).select("row_id", "source", *[T.clean_text(c).alias(c) for c in ("instruction", "input", "output")])
+    rows = spread(sft(spark, d)).select("row_id", "source", *[T.clean_text(c).alias(c) for c in ("instruction", "input", "output")])
     prompt = F.concat_ws("\n", "instruction", "input")
     read = rows.withColumn("_m", P.options(prompt)).withColumn("_l", P.valid_letters(prompt, F.col("_m")))
     decoded = F.when(F.size("_l") > 0, F.coalesce(P.decode_answer(F.col("output"), F.col("_l"), F.col("_m")), F.lit(""))).otherwise(F.col("output"))
@@ -262,7 +262,7 @@ def dpo_collate(spark, d):
 
 
 def classified(spark, d) -> DataFrame:
-    return C.classify(sft(spark, d))
+    return C.classify(spread(sft(spark, d).select("row_id", "source", "instruction", "input", "output")))
 
 
 @query("classify_tasks")
