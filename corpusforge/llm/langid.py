@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
+from .common import WORD
 from .mojibake import model as garble_model
 from .mojibake import training_texts
 from .quality import COMMON, judged
@@ -36,7 +37,7 @@ INVISIBLE = dict.fromkeys([0xAD, *range(0x200B, 0x2010), 0x2060, 0xFEFF])
 
 HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
-UNIT = re.compile(r"[^\W_]+|[.!?…\n]")
+ENDS = re.compile(r"[.!?…\n]+")
 
 #: Texts longer than this many words are labelled in overlapping windows, so
 #: that memory is bounded; the labels of a window's margin come from its neighbour.
@@ -85,21 +86,21 @@ def units(text: str) -> tuple[list[str], np.ndarray]:
         text = unicodedata.normalize("NFC", text)
     if "&" in text:
         text = html.unescape(text)
-    found, after, starts = [], True, []
-    for u in UNIT.findall(text.lower()):
-        if u in ".!?…\n":
-            after = True
-        else:
-            found.append(u)
-            starts.append(after)
-            after = False
-    return found, np.asarray(starts, bool)
+    found: list[str] = []
+    begins = []
+    for sentence in ENDS.split(text.lower()):
+        if part := WORD.findall(sentence):
+            begins.append(len(found))
+            found += part
+    starts = np.zeros(len(found), bool)
+    starts[begins] = True
+    return found, starts
 
 
 class LanguageModel:
     """The trained field: emissions of words and two transition matrices."""
 
-    def __init__(self, rows: list[tuple[str, str]], seed: int = 7, rounds: int = 50):
+    def __init__(self, rows: list[tuple[str, str]], seed: int = 7, rounds: int = 40):
         if not rows:
             raise ValueError("no labelled sentences to train on")
         self.languages = sorted({lang for lang, _ in rows})
@@ -125,7 +126,7 @@ class LanguageModel:
         rng = np.random.default_rng(seed)
         by = {k: [units(t)[0] for g, t in rows if g == k] for k in self.languages}
         texts = []
-        for _ in range(320):
+        for _ in range(160):
             seq: list[tuple[list[str], int]] = []
             lang = int(rng.integers(len(self.languages)))
             for _ in range(int(rng.integers(2, 6))):
