@@ -16,13 +16,16 @@ from ..session import checkpoint_dir
 def exact(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows whose id is the smallest of their text's.
 
-    A partial aggregation of (digest, least id) goes before the shuffle, so a
-    text that a third of all rows share costs one row a task, and the texts
-    themselves are not shuffled. Null texts are one group of their own.
+    Digests and ids are grouped, partially before the shuffle, so a text that a
+    third of all rows share costs one row a task. Of the texts that stand more
+    than once the later ids are then taken out of ``df``: where those are few,
+    adaptive execution broadcasts them and no text moves. Null texts are one
+    group of their own; rows with a null id stay.
     """
-    digest = F.md5(F.coalesce(F.col(text_col), F.lit("\x00null")))
-    first = df.groupBy(digest.alias("_h")).agg(F.min(id_col).alias("_first")).select(F.col("_first").alias(id_col))
-    return df.join(first, id_col, "left_semi")
+    keyed = df.select(F.col(id_col).alias("_id"), F.md5(F.coalesce(F.col(text_col), F.lit("\x00null"))).alias("_h"))
+    repeated = keyed.groupBy("_h").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n")).filter("_n > 1").select("_h", "_first")
+    later = keyed.join(repeated, "_h").filter("_id > _first").select(F.col("_id").alias(id_col))
+    return df.join(later, id_col, "left_anti")
 
 
 def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

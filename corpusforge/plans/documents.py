@@ -446,17 +446,21 @@ def curate(documents: DataFrame, items: DataFrame, normalise: bool = True) -> Da
     duplicates (least id), English where the source is not known to be so,
     13-word runs of evaluation text, length again.
 
-    The cleaned texts are written once to the shared folder: three later steps
-    read them, and a filter would else pull the chain of patterns into itself.
-    Texts are not shuffled by the duplicate step, which moves digests.
+    The cleaned texts are written once to the shared folder, with the answer of
+    the language rule, as later steps read them and a filter would else pull
+    the chain of patterns into itself. The steps then work on digests, ids and
+    flags; the texts meet the ids of the survivors once, at the end.
     """
     checkpoint_dir(documents.sparkSession)
     wiki = F.coalesce(F.col("source") == "wikipedia", F.lit(False))
     raw = F.when(wiki, T.clean_wikipedia("text")).otherwise(T.text_of("text"))
-    cleaned = documents.select("doc_id", "source", raw.alias("text")).withColumn("text", T.clean_text("text", normalise=normalise)).checkpoint().filter(long_enough())
-    single = dedup.exact(cleaned)
-    english = single.filter(F.col("source").isin("wikipedia", "bookcorpus") | T.is_english("text"))
-    return decontam.remove_hit(english, decontam.ngram_hits(english, items)).filter(long_enough())
+    cleaned = documents.select("doc_id", "source", raw.alias("text")).withColumn("text", T.clean_text("text", normalise=normalise))
+    trusted = F.coalesce(F.col("source").isin("wikipedia", "bookcorpus"), F.lit(False))
+    cleaned = cleaned.withColumn("english", trusted | T.is_english("text")).checkpoint().filter(long_enough())
+    # the first of equal texts is chosen before its language is looked at
+    first = cleaned.groupBy(F.md5("text").alias("h")).agg(F.min(F.struct("doc_id", "english")).alias("f")).filter("f.english").select("f.doc_id")
+    leaked = decontam.ngram_hits(cleaned.filter("english"), items).select("doc_id")
+    return cleaned.join(first.join(leaked, "doc_id", "left_anti"), "doc_id", "left_semi").drop("english")
 
 
 @query("curation_pipeline")
