@@ -120,3 +120,25 @@ def best_reply(messages: DataFrame) -> DataFrame:
     rank (null last), most reviews, earliest date, least id."""
     order = F.struct(F.coalesce("rank", F.lit(1_000_000)), -F.coalesce("review_count", F.lit(0)), F.coalesce("created_date", F.lit("")), "message_id")
     return messages.filter("role = 'assistant' and parent_id is not null").groupBy("parent_id").agg(F.min(order)["message_id"].alias("message_id"))
+
+
+# ------------------------------------------------------------- preferences
+
+
+def transcript_turn(transcript: Column | str) -> dict[str, Column]:
+    """prompt and reply of a transcript's last turn; null where it has none."""
+    last = F.element_at(F.split(text_of(transcript), "\n\nHuman: "), -1)
+    parts = F.split(last, "\n\nAssistant: ", 2)
+    return {"prompt": strip(parts[0]), "reply": F.when(F.size(parts) > 1, strip(F.try_element_at(parts, F.lit(2))))}
+
+
+def usable_pairs(df: DataFrame, status: str = "status", prompt: str = "input", chosen: str = "chosen", rejected: str = "rejected") -> DataFrame:
+    """Preference rows that are no tie and have nothing blank."""
+    tie = F.lower(strip(text_of(status))) == "tie"
+    return df.filter(~tie & (strip(text_of(prompt)) != "") & (strip(text_of(chosen)) != "") & (strip(text_of(rejected)) != ""))
+
+
+def unique_labels(df: DataFrame, label: str, order: str) -> DataFrame:
+    """``df`` with ``unique_label``: a label that comes again has its number in brackets."""
+    k = F.row_number().over(Window.partitionBy(label).orderBy(order))
+    return df.withColumn("unique_label", F.when(k > 1, F.concat(F.col(label), F.lit(" ("), k.cast("string"), F.lit(")"))).otherwise(F.col(label)))

@@ -229,3 +229,18 @@ def strip_footer(c: Column | str) -> Column:
 
 def word_count(c: Column | str) -> Column:
     return F.regexp_count(text_of(c), F.lit(r"(?U)\b\w+\b"))
+
+
+def model_name(path: Column | str) -> Column:
+    """Name of a checkpoint: its path below the nearest ``checkpoints`` folder
+    without suffix, slashes as underscores; else the file's stem."""
+    p = text_of(path)
+    below = F.regexp_extract(p, r"^(?:.*/)?checkpoints/(.+?)(?:\.[^./]*)?$", 1)
+    stem = F.regexp_extract(p, r"([^/]+?)(?:\.[^./]*)?$", 1)
+    return F.when(below != "", F.replace(below, F.lit("/"), F.lit("_"))).otherwise(stem)
+
+
+def simple_sentences(c: Column | str) -> Column:
+    """Pieces between a final mark and a capital, stripped; no abbreviations."""
+    pieces = F.split(text_of(c), f"(?<=[.!?]){WS}+(?=[A-Z])")
+    return F.filter(F.transform(pieces, strip), lambda x: x != "")

@@ -8,7 +8,9 @@ so that no task sees all rows.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from hashlib import sha256
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -107,3 +109,27 @@ def weight_copies(df: DataFrame, weights: dict[str, float], by: str = "source",
 def cap(df: DataFrame, n: int, by: str = "source", id_col: str = "row_id", seed: int = 42) -> DataFrame:
     """The first ``n`` rows of each group in the seeded order."""
     return ranked(df, [by], id_col, seed).filter(F.col("rn") <= n).drop("rn")
+
+
+def probe_windows(spark: SparkSession, n: int, total: Column, source: DataFrame, length: int, seed: int = 42) -> DataFrame:
+    """(k, start): ``n`` seeded starts of windows of ``length`` in a stream whose
+    size is the one row of ``source``; none where the stream is shorter."""
+    room = total - length - 1
+    pick = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("k").cast("string"))), 1, 8), 16, 10).cast("long")
+    sized = spark.range(n).withColumnRenamed("id", "k").crossJoin(F.broadcast(source))  # one row
+    return sized.filter(room > 0).select("k", (pick % room).alias("start"))
+
+
+def batches(df: DataFrame, size: int, id_col: str, seed: int = 42, drop_last: bool = True) -> DataFrame:
+    """``df`` with ``batch_id`` in the seeded order; the last short one is left out on wish."""
+    n = df.agg(F.count(F.lit(1)).alias("_total"))
+    r = ranked(df, None, id_col, seed).withColumn("batch_id", F.floor((F.col("rn") - 1) / size))
+    if drop_last:
+        r = r.crossJoin(F.broadcast(n)).filter((F.col("batch_id") + 1) * size <= F.col("_total")).drop("_total")  # one row
+    return r.drop("rn")
+
+
+def cache_key(weights: dict[str, float], names: list[str], length: int, limit: int | None, filtered: bool) -> str:
+    """A short digest of everything that shapes a cached set."""
+    parts = [",".join(sorted(names)), ",".join(f"{k}={weights[k]:.12g}" for k in sorted(weights)), str(length), str(limit), str(filtered)]
+    return sha256("|".join(parts).encode()).hexdigest()[:16]

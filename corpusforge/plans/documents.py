@@ -303,6 +303,12 @@ def shift_targets(spark, d):
     return packed(spark, d).select("chunk_id", F.element_at("target_ids", 1).cast("long").alias("first_target"), F.element_at("target_ids", -1).cast("long").alias("last_target"), total.alias("total"))
 
 
+@query("probe_windows", f"SELECT k, ('0x' || substr(md5('42|' || k), 1, 8))::BIGINT % (n - 128 - 1) AS start FROM range(0, 200) t(k), (SELECT sum(len({_WORDS}) + 1)::BIGINT AS n FROM documents)")
+def probe_windows(spark, d):
+    total = texts(spark, d).agg(F.sum(F.size(T.split_words("text")) + 1).alias("n"))
+    return sampling.probe_windows(spark, 200, F.col("n"), total, 128)
+
+
 # ------------------------------------------------------------------ profile
 
 

@@ -377,3 +377,33 @@ def record_normalise(spark, d):
 
     raw = sft(spark, d).select("row_id", "instruction", F.col("input").alias("prompt"), F.col("input").alias("context"), F.col("output").alias("response"))
     return normalise_records(raw).select("row_id", "instruction", "input", "output")
+
+
+# ------------------------------------------------------------- preferences
+
+_HH = "chr(10)||chr(10)||'Human: '||coalesce(instruction,'')||chr(10)||chr(10)||'Assistant: sure.'||chr(10)||chr(10)||'Human: '||coalesce(nullif(input,''),'go on')||chr(10)||chr(10)||'Assistant: '||coalesce(output,'')"
+_LAST = f"list_extract(string_split({_HH}, chr(10)||chr(10)||'Human: '), -1)"
+_CUT = "string_split(l, chr(10)||chr(10)||'Assistant: ')"
+
+
+@query("transcript_turn", f"SELECT row_id, {_strip(_CUT + '[1]')} AS prompt, {_strip('array_to_string(' + _CUT + '[2:], chr(10)||chr(10)||' + chr(39) + 'Assistant: ' + chr(39) + ')')} AS reply FROM (SELECT row_id, {_LAST} AS l FROM sft_rows)")
+def transcript_turn(spark, d):
+    text = F.concat(F.lit("\n\nHuman: "), T.text_of("instruction"), F.lit("\n\nAssistant: sure.\n\nHuman: "), F.coalesce(F.nullif("input", F.lit("")), F.lit("go on")), F.lit("\n\nAssistant: "), T.text_of("output"))
+    return sft(spark, d).select("row_id", text.alias("t")).select("row_id", *[c.alias(k) for k, c in R.transcript_turn("t").items()])
+
+
+@query("preference_pairs", f"SELECT row_id FROM sft_rows WHERE review_result AND {_strip('instruction')} <> '' AND {_strip('output')} <> '' AND {_strip('left(output, 20)')} <> ''")
+def preference_pairs(spark, d):
+    rows = sft(spark, d).select("row_id", F.when(F.col("review_result"), "win").otherwise(" TIE ").alias("status"), F.col("instruction").alias("input"), F.col("output").alias("chosen"), F.substring("output", 1, 20).alias("rejected"))
+    return R.usable_pairs(rows).select("row_id")
+
+
+@query("batch_plan", "SELECT row_id, b::BIGINT AS batch_id FROM (SELECT row_id, (row_number() OVER (ORDER BY md5('42|' || row_id), row_id) - 1) // 64 AS b, count(*) OVER () AS n FROM sft_rows) WHERE (b + 1) * 64 <= n")
+def batch_plan(spark, d):
+    return sampling.batches(sft(spark, d).select("row_id"), 64, "row_id").select("row_id", "batch_id")
+
+
+@query("simple_sentences")
+def simple_sentences(spark, d):
+    s = table(spark, d, "documents").select("doc_id", T.simple_sentences("text").alias("s"))
+    return s.select("doc_id", F.size("s").alias("n"))

@@ -163,3 +163,11 @@ def experiment_grid(spark, d):
 @query("run_slug", "SELECT DISTINCT run_name, trim(regexp_replace(lower(run_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug, regexp_replace(run_name, '_s\\d+$', '') AS config FROM train_metrics")
 def run_slug(spark, d):
     return table(spark, d, "train_metrics").select("run_name").distinct().select("run_name", T.slug("run_name").alias("slug"), T.strip_seed("run_name").alias("config"))
+
+
+@query("unique_labels", "SELECT run_name, phase || CASE WHEN k > 1 THEN ' (' || k || ')' ELSE '' END AS unique_label FROM (SELECT run_name, phase, row_number() OVER (PARTITION BY phase ORDER BY run_name) AS k FROM (SELECT DISTINCT run_name, split_part(run_name, '_', 1) AS phase FROM train_metrics))")
+def unique_labels(spark, d):
+    from ..functions.prompts import unique_labels as numbered
+
+    runs = table(spark, d, "train_metrics").select("run_name").distinct().withColumn("phase", F.split("run_name", "_")[0])
+    return numbered(runs, "phase", "run_name").select("run_name", "unique_label")

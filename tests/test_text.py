@@ -106,3 +106,9 @@ def test_cloze():
     assert word == "station" and context.endswith("the old")
     assert P.cloze_of("1", None)[:2] == (None, None)
     assert P.cloze_of("1", "= Header =")[:2] == (None, None)
+
+
+def test_model_names(spark):
+    rows = ["a/checkpoints/run 1/best.pt", "checkpoints/x.v2.pt", "/else/where/model.bin", "plain", None]
+    assert got(spark, T.model_name("text"), rows) == ["run 1_best", "x.v2", "model", "plain", ""]
+    assert got(spark, T.simple_sentences("text"), ["One two. Three! four. Five", None, " "]) == [["One two.", "Three! four.", "Five"], [], []]
