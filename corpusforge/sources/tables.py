@@ -17,10 +17,14 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
     that large tables are never shuffled for it; so is a plan with an exchange
     of its own, whose stages would run only to be counted.
     """
-    spark = df.sparkSession
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    wanted = spark.sparkContext.defaultParallelism * per_core
-    if df.rdd.getNumPartitions() >= wanted:
+    wanted = df.sparkSession.sparkContext.defaultParallelism * per_core
+    if partitions(df, wanted) >= wanted:
         return df
     return df.repartition(wanted)
+
+
+def partitions(df: DataFrame, unknown: int) -> int:
+    """Number of scan partitions of ``df``; ``unknown`` where its plan has an exchange."""
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return unknown
+    return df.rdd.getNumPartitions()
