@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread
+from ..sources.tables import partitions, spread
 from .common import TOKENIZER_DIR, slices, source_key
 
 #: Fixed value: the pre-splitting pattern of the byte-level vocabularies.
@@ -180,7 +180,7 @@ def _postings(frame: pd.DataFrame, cutter: regex.Pattern, salts: int, chunk: int
     for piece, i in index.items():
         a, b = starts[i], starts[i + 1]
         raw = piece.encode("utf-8", "replace")
-        rows.append((chunk, raw, chunk % salts, np.diff(at[a:b], prepend=np.int32(0)).astype(np.int32).tobytes(), b"" if (times[a:b] == 1).all() else times[a:b].tobytes()))
+        rows.append((chunk, raw, ((chunk >> 32) + chunk) % salts, np.diff(at[a:b], prepend=np.int32(0)).astype(np.int32).tobytes(), b"" if (times[a:b] == 1).all() else times[a:b].tobytes()))
     return pd.DataFrame(rows, columns=["chunk", "piece", "salt", "rows", "times"])
 
 
@@ -225,23 +225,39 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             yield pack(sums)
 
     def pack(sums: dict[int, np.ndarray]) -> pd.DataFrame:
-        return pd.DataFrame([(c, None, x.astype(np.int32 if x.max(initial=0) < 1 << 31 else np.int64).tobytes(), 4 if x.max(initial=0) < 1 << 31 else 8) for c, x in sums.items()], columns=["chunk", "ids", "part", "width"])
+        rows = []
+        for c, x in sums.items():
+            some = np.flatnonzero(x)
+            values = x[some] if 2 * len(some) < len(x) else x
+            # positions only where most of the chunk's rows are not touched here
+            wide = x.max(initial=0) >> 31
+            raw = values.astype(np.int64 if wide else np.int32).tobytes()
+            rows.append((c, None, some.astype(np.int32).tobytes(), raw) if values is not x else (c, None, b"", (b"8" if wide else b"4").ljust(8) + raw))
+        return pd.DataFrame(rows, columns=["chunk", "ids", "at", "part"])
 
     def join(frame: pd.DataFrame) -> pd.DataFrame:
         ids = np.frombuffer(frame["ids"][frame["ids"].notna()].iloc[0], np.int64)
         total = np.zeros(len(ids), np.int64)
-        for part, width in zip(frame["part"], frame["width"]):
-            if part is not None:
-                x = np.frombuffer(part, np.int32 if width == 4 else np.int64)[: len(ids)]
+        for at, part in zip(frame["at"], frame["part"]):
+            if not part:
+                continue
+            if at:
+                place = np.frombuffer(at, np.int32)
+                total[place] += np.frombuffer(part, np.int32 if len(part) == 4 * len(place) else np.int64)
+            else:
+                # dense from the first row on; the length tells 4 from 8 bytes a row
+                wide = part[:1] == b"8"
+                x = np.frombuffer(part, np.int64 if wide else np.int32, offset=8)[: len(ids)]
                 total[: len(x)] += x
         return pd.DataFrame({"id": ids, "n_tokens": total})
 
     slim = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).filter("id is not null")
     postings = slim.mapInPandas(cut, "chunk long, piece binary, salt int, rows binary, times binary")
-    lanes = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # as many lanes as the text has partitions at least, so that a task's share stays the same as the corpus grows
+    lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * partitions(df.select(text_col), 1))
     # one exchange: pieces go by prefix and salt, a chunk's ids by the chunk
     key = F.when(F.col("piece").isNull(), F.xxhash64("chunk")).otherwise(F.xxhash64(F.substring("piece", 1, prefix), "salt"))
-    spreaded = postings.withColumn("lane", F.pmod(key, F.lit(max(lanes, 1))).cast("int")).repartition(lanes, "lane")
+    spreaded = postings.withColumn("lane", key).repartition(lanes, "lane").drop("lane")
 
     def both(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def real() -> Iterator[pd.DataFrame]:
@@ -255,9 +271,9 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         ids: list[pd.DataFrame] = []
         yield from walk(real())
         for frame in ids:
-            yield pd.DataFrame({"chunk": frame["chunk"], "ids": frame["rows"], "part": None, "width": 0})
+            yield pd.DataFrame({"chunk": frame["chunk"], "ids": frame["rows"], "at": b"", "part": None})
 
-    sums = spreaded.mapInPandas(both, "chunk long, ids binary, part binary, width int")
+    sums = spreaded.mapInPandas(both, "chunk long, ids binary, at binary, part binary")
     return sums.groupBy("chunk").applyInPandas(join, "id long, n_tokens long").withColumnRenamed("id", id_col)
 
 
