@@ -183,6 +183,14 @@ def _judge(items: Items, train: np.ndarray, first: np.ndarray, p: np.ndarray, q:
     same = inside & (train[np.clip(p[:, None] + off, 0, beyond)] == item_at)
     run = same[:, REACH:]
     longest = np.where(run.all(1), run.shape[1], run.argmin(1))
+    # a run that fills the window is followed to its real end; padding ends it
+    ahead, on = np.arange(REACH), np.flatnonzero(run.all(1))
+    while len(on):
+        x, y = (p[on] + longest[on])[:, None] + ahead, (q[on] + longest[on])[:, None] + ahead
+        more = train[np.minimum(x, beyond)] == items.flat[np.minimum(y, len(items.flat) - 1)]
+        full = more.all(1)
+        longest[on] += np.where(full, REACH, more.argmin(1))
+        on = on[full]
     near = same.copy()
     shifts = [d for d in range(-SHIFT, SHIFT + 1) if d]
     with_blank = np.array([bool(items.blanks[x]) for x in k.tolist()])
@@ -223,7 +231,7 @@ def _judge(items: Items, train: np.ndarray, first: np.ndarray, p: np.ndarray, q:
         could = (windows(near, length) >= need) & fits
         for r in np.flatnonzero(~done & ~short & could.any(1)).tolist():
             key = (int(text[r]), int(k[r]), int(p[r]))
-            if key in tried or (key[0], key[1]) in found:
+            if key in tried or ((key[0], key[1]) in found and found[key[0], key[1]][2] >= longest[r]):
                 continue
             tried.add(key)
             for c in np.flatnonzero(could[r]).tolist():

@@ -138,6 +138,17 @@ def test_blank_spacing_and_dropped_words(doc, leaks):
     assert bool(leakage.scan(leakage.Items([(1, item)]), [doc])) == leaks
 
 
+def test_longest_match_beyond_the_window(spark):
+    """Two copied runs of 60 and 150 words, the shorter one first and last; then a whole item of 300."""
+    item = [f"i{k}" for k in range(300)]
+    early, late = item[:60], item[100:250]
+    gap = ["filler"] * 10
+    docs = [(1, gap + early + gap + late), (2, late + gap + early), (3, gap + item), (4, item[:41]), (5, item[:42] + gap)]
+    found = leakage.leaks(spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id long, text string"), spark.createDataFrame([(7, " ".join(item)), (8, "other words")], "item_id long, text string"))
+    got = {r.doc_id: (r.item_id, r.doc_word, r.item_word, r.n_words) for r in found.collect()}
+    assert got == {1: (7, 80, 100, 150), 2: (7, 0, 100, 150), 3: (7, 10, 0, 300), 4: (7, 0, 0, 41), 5: (7, 0, 0, 42)}
+
+
 def test_without_leaks(spark):
     df = spark.createDataFrame([(1, "x"), (2, "y"), (None, "z")], "doc_id long, text string")
     assert {r.doc_id for r in leakage.without_leaks(df, spark.createDataFrame([(1,)], "doc_id long")).collect()} == {2, None}
