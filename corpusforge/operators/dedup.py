@@ -48,17 +48,38 @@ def cross_source(df: DataFrame, priority: Sequence[str], source_col: str = "sour
     return ranked.join(best, "_h", "left").filter("_best is null or _rank = _best").drop("_h", "_rank", "_best")
 
 
+def greedy_gone(members: DataFrame) -> DataFrame:
+    """(id) of the rows that go when, in order of the id, a row goes that shares
+    a band with one that stayed. ``members`` (id, band, key) has the rows of each
+    band.
+
+    In each round a band's rows are compared with its smallest id that is not
+    yet gone: a row that is the smallest in all its bands stays, and the other
+    rows of these bands go, from their other bands too. The smallest id of all
+    that are open stays in every round, so the rounds end.
+    """
+    checkpoint_dir(members.sparkSession)
+    open_ = members.distinct().checkpoint()
+    gone = open_.select("id").limit(0)
+    while not open_.isEmpty():
+        led = open_.join(open_.groupBy("band", "key").agg(F.min("id").alias("low")), ["band", "key"])
+        stays = led.groupBy("id").agg(F.max(F.col("low") < F.col("id")).alias("behind")).filter("not behind").select(F.col("id").alias("low"), F.lit(True).alias("stays"))
+        led = led.join(stays, "low", "left").checkpoint()
+        sure = led.filter("stays and id > low").select("id").distinct().checkpoint()
+        gone = gone.union(sure).checkpoint()
+        open_ = led.filter("stays is null").join(sure, "id", "left_anti").select("id", "band", "key").checkpoint()
+    return gone
+
+
 def minhash_keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, rows: int = 13, bands: int = 9, greedy: bool = True) -> DataFrame:
     """(id, kept): whether a row stays under sequential near-duplicate removal.
 
     Bands of minimum hashes over lower-case runs of five words; in order of
     the id a row goes when it shares a band with a row that stayed. Texts under
-    five words stay. Rows of one band are linked to the band's smallest id and
-    in a chain, never to each other; ``greedy`` decides links in rounds until
-    nothing changes, else a row goes as soon as any smaller id shares a band.
+    five words stay. Rows of one band are never linked to each other;
+    ``greedy`` follows the order by rounds (``greedy_gone``), else a row goes as
+    soon as any smaller id shares a band.
     """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
     rng = np.random.default_rng(13)
     factors = rng.integers(1, 1 << 62, rows * bands, dtype=np.uint64) | np.uint64(1)
     terms = rng.integers(1, 1 << 62, rows * bands, dtype=np.uint64)
@@ -80,21 +101,11 @@ def minhash_keep(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # the word array is bound once as a lambda variable, else it is computed per position
     shingles = F.flatten(F.transform(F.array(split_words(text_col)), lambda w: F.when(F.size(w) >= shingle, F.transform(F.sequence(F.lit(1), F.size(w) - shingle + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, shingle), " ")))).otherwise(F.array().cast("array<bigint>"))))
     hashed = df.select(F.col(id_col).alias("id"), F.array_distinct(shingles).alias("s"))
-    banded = hashed.filter(F.size("s") > 0).select("id", F.posexplode(keys("s")).alias("band", "key"))
-    least = banded.groupBy("band", "key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    # every member points at the smallest id of its band
-    edges = banded.join(least, ["band", "key"]).filter("id > low").select("id", "low").distinct().checkpoint()
-    if not greedy:
-        gone = edges.select("id").distinct()
-    else:
-        # a row all of whose smaller neighbours are gone stays; one with a neighbour that stays goes
-        gone = spark.createDataFrame([], "id long")
-        open_ = edges
-        while True:
-            waiting = open_.select("id").distinct()
-            sure = open_.join(waiting.withColumnRenamed("id", "low"), "low", "left_anti").select("id").distinct().checkpoint()
-            if sure.isEmpty():
-                break
-            gone = gone.union(sure).checkpoint()
-            open_ = open_.join(sure, "id", "left_anti").join(sure.withColumnRenamed("id", "low"), "low", "left_anti").select("id", "low").checkpoint()
+    banded = hashed.filter(F.col("id").isNotNull() & (F.size("s") > 0)).select("id", F.posexplode(keys("s")).alias("band", "key"))
+    # read twice, so the texts are hashed once
+    checkpoint_dir(df.sparkSession)
+    banded = banded.checkpoint()
+    shared = banded.groupBy("band", "key").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    linked = banded.join(shared, ["band", "key"])
+    gone = greedy_gone(linked.select("id", "band", "key")) if greedy else linked.filter("id > low").select("id").distinct()
     return df.select(F.col(id_col).alias("id")).join(gone.withColumn("_gone", F.lit(True)), "id", "left").select(F.col("id").alias(id_col), F.col("_gone").isNull().alias("kept"))

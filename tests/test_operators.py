@@ -1,7 +1,9 @@
 import math
 import random
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from corpusforge.functions import prompts as R
@@ -35,6 +37,35 @@ def test_minhash_greedy(spark):
     assert kept == {1: True, 2: False, 3: True, 4: True, 5: True, 6: True}
 
 
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_minhash_against_sequential_removal(spark, seed):
+    """Windows over one stream of words share bands in chains; the loop has the operator's own hash values."""
+    rng = random.Random(seed)
+    stream = [f"w{k}" for k in range(400)]
+    texts = [" ".join(stream[a : a + rng.randint(8, 30)]) for a in (rng.randint(0, 380) for _ in range(120))]
+    rows, bands = 2, 3
+    draw = np.random.default_rng(13)
+    factors, terms = draw.integers(1, 1 << 62, rows * bands, dtype=np.uint64) | np.uint64(1), draw.integers(1, 1 << 62, rows * bands, dtype=np.uint64)
+    stayed, expected = set(), {}
+    for i, text in enumerate(texts):
+        w = text.split()
+        x = np.array([xxhash.xxh64_intdigest(" ".join(w[k : k + 5]), seed=42) for k in range(len(w) - 4)], np.uint64)
+        least = (x[:, None] * factors + terms).min(0)
+        own = {(b, *least[b * rows : (b + 1) * rows].tolist()) for b in range(bands)}
+        expected[i] = not own & stayed
+        if expected[i]:
+            stayed |= own
+    got = {r.doc_id: r.kept for r in dedup.minhash_keep(docs(spark, [(i, t, "s") for i, t in enumerate(texts)]), rows=rows, bands=bands).collect()}
+    assert got == expected
+
+
+def test_greedy_gone(spark):
+    """The smallest id of band 1 goes through band 0; 4 is then behind 3, which stays."""
+    members = spark.createDataFrame([(1, 0, 5), (2, 0, 5), (2, 1, 6), (3, 1, 6), (4, 1, 6), *[(k, 2, k // 2) for k in range(10, 21)], *[(k, 3, (k + 1) // 2) for k in range(10, 21)]], "id long, band int, key long")
+    assert {r.id for r in dedup.greedy_gone(members).collect()} == {2, 4, 11, 13, 15, 17, 19}
+    assert dedup.greedy_gone(members.limit(0)).count() == 0
+
+
 def test_ngram_hits(spark):
     item = " ".join(f"i{k}" for k in range(15))
     items = spark.createDataFrame([(item,), (None,), ("short",)], "text string")
