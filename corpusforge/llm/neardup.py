@@ -85,7 +85,8 @@ def keys(vectors: np.ndarray) -> np.ndarray:
 
 def sketches(df: DataFrame, id_col: str, text_col: str, size: int, least_words: int) -> DataFrame:
     """(id, same, n, sketch): a digest of the word sequence, the number of
-    distinct shingles, and the lanes, of texts of ``least_words`` words or more."""
+    distinct shingles, and the lanes, of texts of ``least_words`` words or more;
+    of a text without words the digest is its own."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         factors, terms = _constants(LANES)
@@ -95,7 +96,7 @@ def sketches(df: DataFrame, id_col: str, text_col: str, size: int, least_words:
                 found = words(text)
                 if len(found) >= least_words:
                     hashes = shingle_hashes(found, size)
-                    rows.append((i, xxhash.xxh128_digest(" ".join(found)), len(hashes), lanes(hashes, factors, terms).tobytes()))
+                    rows.append((i, xxhash.xxh128_digest(" ".join(found) or text), len(hashes), lanes(hashes, factors, terms).tobytes()))
             yield pd.DataFrame(rows, columns=["id", "same", "n", "sketch"])
 
     slim = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null"))
@@ -122,7 +123,9 @@ def similar_pairs(df: DataFrame, similarity: float = 0.8, size: int = 5, least_w
     more and the smallest id with the same words. ``pairs`` (a, b, jaccard),
     a < b: representatives with different words whose sets of distinct runs of
     ``size`` words have at least ``similarity`` in common. Null ids and texts
-    and shorter texts are in neither; repeated ids count once.
+    and shorter texts are in neither; repeated ids count once. Texts of fewer
+    than ``size`` words, where asked for, are in no pair; those without words
+    are equal where they are the same text.
 
     ``similarity`` is at least 0.6, for which the parts are chosen.
     """
@@ -131,7 +134,8 @@ def similar_pairs(df: DataFrame, similarity: float = 0.8, size: int = 5, least_w
     made = sketches(df, id_col, text_col, size, least_words).checkpoint()
     firsts = made.groupBy("same").agg(F.min("id").alias("representative"), F.min(F.struct("id", "n", "sketch")).alias("first"))
     members = made.select("id", "same").distinct().join(firsts.select("same", "representative"), "same").select("id", "representative")
-    kept = firsts.select("first.*")
+    # texts shorter than a shingle are like no other but their equals
+    kept = firsts.select("first.*").filter("n > 0")
     buckets = _buckets(kept)
     # both sides are one plan, so the buckets are shuffled once; a hot key is split by the join (AQE)
     left, right = buckets.alias("l"), buckets.alias("r")
@@ -224,3 +228,13 @@ def groups(pairs: DataFrame, members: DataFrame, rounds: int = 50) -> DataFrame:
         before = state
     roots = edges.groupBy("u").agg(F.min("v").alias("root"))
     return members.join(roots, F.col("representative") == F.col("u"), "left").select("id", F.coalesce("root", "representative").alias("group"))
+
+
+def document_groups(df: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, group): ``groups`` of all ids of ``df`` but null, whatever the size
+    of their texts. Texts of fewer than ``size`` words are grouped with their
+    equals; a null text is its own group.
+    """
+    found = groups(*similar_pairs(df, similarity, size, 0, id_col, text_col))
+    empty = df.filter(F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
+    return found.unionByName(empty.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("group")))

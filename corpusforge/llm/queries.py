@@ -90,7 +90,7 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_groups(spark: SparkSession, d: str) -> DataFrame:
     """One row a document: its group, under five words and 0.8."""
-    return neardup.groups(*neardup.similar_pairs(_documents(spark, d))).withColumnsRenamed({"id": "doc_id", "group": "group_id"})
+    return neardup.document_groups(_documents(spark, d)).withColumnsRenamed({"id": "doc_id", "group": "group_id"})
 
 
 # -------------------------------------------------------- 5: languages

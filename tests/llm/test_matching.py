@@ -67,6 +67,15 @@ def test_empty_and_null(spark):
     assert pairs.count() == 0 and members.count() == 0 and neardup.groups(pairs, members).count() == 0
 
 
+def test_every_document_has_a_group(spark):
+    """Short copies and near copies, texts below a shingle, without words, empty and null."""
+    near = [f"s{k}" for k in range(15)]
+    rows = [(10, " ".join(near)), (11, " ".join(near[:14])), (12, " ".join(near).upper()), (20, "Two words"), (21, "two  words!"), (22, "other two"), (30, ""), (31, ""), (32, "..."), (40, None), (41, None), (None, "two words")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(tuple, neardup.document_groups(df).collect()))
+    assert got == [(10, 10), (11, 10), (12, 10), (20, 20), (21, 20), (22, 22), (30, 30), (31, 30), (32, 32), (40, 40), (41, 41)]
+
+
 def test_every_vector_within_the_radius_collides():
     """Any two of six lanes may differ in a part: some mask of it keeps none of them."""
     rng = np.random.default_rng(1)
