@@ -98,15 +98,19 @@ def units(text: str) -> tuple[list[str], np.ndarray]:
 
 
 class LanguageModel:
-    """The trained field: emissions of words and two transition matrices."""
+    """The trained field: emissions of words and two transition matrices.
 
-    def __init__(self, rows: list[tuple[str, str]], seed: int = 7, rounds: int = 40):
+    It is trained on ``texts`` synthetic texts of two to five sentences, or on
+    as many more as it takes until every sentence of ``rows`` is in one.
+    """
+
+    def __init__(self, rows: list[tuple[str, str]], seed: int = 7, rounds: int = 50, texts: int = 320):
         if not rows:
             raise ValueError("no labelled sentences to train on")
         self.languages = sorted({lang for lang, _ in rows})
         self.weights = np.zeros((FEATURES, len(self.languages)))
         self.steps = np.zeros((2, len(self.languages), len(self.languages)))
-        self._train(rows, seed, rounds)
+        self._train(rows, seed, rounds, texts)
         self.weights = self.weights.astype(np.float32)
         self.steps = self.steps.astype(np.float32)
         self._forget()
@@ -122,18 +126,25 @@ class LanguageModel:
         self.__dict__ |= state
         self._forget()
 
-    def _train(self, rows: list[tuple[str, str]], seed: int, rounds: int) -> None:
+    def _train(self, rows: list[tuple[str, str]], seed: int, rounds: int, least: int) -> None:
         rng = np.random.default_rng(seed)
         by = {k: [units(t)[0] for g, t in rows if g == k] for k in self.languages}
+        # a language's sentences come in a new order each time that all have been drawn
+        orders: list[list[int]] = [[] for _ in self.languages]
+        unused = len(rows)
+        drawn = [0] * len(self.languages)
         texts = []
-        for _ in range(160):
+        while len(texts) < least or unused:
             seq: list[tuple[list[str], int]] = []
             lang = int(rng.integers(len(self.languages)))
             for _ in range(int(rng.integers(2, 6))):
                 if rng.random() < 0.25:
                     lang = int(rng.integers(len(self.languages)))
                 pool = by[self.languages[lang]]
-                seq.append((pool[int(rng.integers(len(pool)))], lang))
+                orders[lang] = orders[lang] or rng.permutation(len(pool)).tolist()
+                seq.append((pool[orders[lang].pop()], lang))
+                unused -= drawn[lang] < len(pool)
+                drawn[lang] += 1
             ws = [w for s, _ in seq for w in s]
             ys = [y for s, y in seq for _ in s]
             es = [k == 0 for s, _ in seq for k in range(len(s))]

@@ -225,3 +225,11 @@ def test_defects_of_a_frame(spark, samples):
     df = spark.createDataFrame(rows, "row_id long, instruction string, input string, output string, id string")
     assert sorted((r.row_id, r.defect) for r in pairs.defects(df, samples).collect()) == [(1, "empty"), (2, "empty")]
     assert pairs.defects(df.limit(0), samples).count() == 0
+
+
+def test_every_labelled_sentence_is_trained_on():
+    """1,200 sentences of a word of their own each, most of one language."""
+    rows = [("de" if k % 6 else "fr", f"zq{k}x{k * k}") for k in range(1200)]
+    model = langid.LanguageModel(rows, rounds=3)
+    own = [langid.crc32(f"w{t}".encode()) % langid.FEATURES for _, t in rows]
+    assert (model.weights[own] != 0).any(1).all()
