@@ -72,10 +72,10 @@ LETTER = re.compile(r"\b(?:letter|note|message|apolog|email|e-mail|brief|lettre|
 def is_refusal(instruction: str, output: str) -> bool:
     """Whether the output declines and does nothing else."""
     bare = output.strip().strip("\"“”")
-    if len(bare) > 600 or not BEGINS.match(bare) or not TASK.search(bare):
+    if not BEGINS.match(bare) or not TASK.search(bare):
         return False
     sentences = [s for s in re.split(r"(?<=[.!?])\s+", bare) if s]
-    if not sentences or len(sentences) > 6:
+    if not sentences:
         return False
     declined = 0
     for s in sentences:

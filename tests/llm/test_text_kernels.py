@@ -233,3 +233,11 @@ def test_every_labelled_sentence_is_trained_on():
     model = langid.LanguageModel(rows, rounds=3)
     own = [langid.crc32(f"w{t}".encode()) % langid.FEATURES for _, t in rows]
     assert (model.weights[own] != 0).any(1).all()
+
+
+def test_long_refusals():
+    """Nine sentences, and more than 600 characters; one sentence that answers ends it."""
+    once = "I'm sorry, but I cannot help with that request because of the guidelines that I have to follow here."
+    assert pairs.is_refusal("Write a poem.", " ".join([once] * 9)) and len(once) * 9 > 600
+    assert pairs.is_refusal("Write a poem.", " ".join(["I cannot answer that question."] * 8))
+    assert not pairs.is_refusal("Write a poem.", " ".join([once] * 9) + " The sea is blue and the boats are white.")
