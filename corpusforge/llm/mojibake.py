@@ -254,5 +254,5 @@ def repairs(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col:
             yield pd.DataFrame(rows, columns=["id", "chain", "n_words", "restored", "text"])
 
     kind = df.schema[id_col].dataType.simpleString()
-    suspects = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).filter(F.col("id").isNotNull() & F.col("text").rlike("[^\\x00-\\x7F]|&[A-Za-z]+;"))
+    suspects = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).filter(F.col("id").isNotNull() & F.col("text").rlike("[^\\x00-\\x7F]|&#?[0-9A-Za-z]"))
     return suspects.mapInPandas(run, f"id {kind}, chain string, n_words int, restored boolean, text string").withColumnRenamed("id", id_col)

@@ -241,3 +241,9 @@ def test_long_refusals():
     assert pairs.is_refusal("Write a poem.", " ".join([once] * 9)) and len(once) * 9 > 600
     assert pairs.is_refusal("Write a poem.", " ".join(["I cannot answer that question."] * 8))
     assert not pairs.is_refusal("Write a poem.", " ".join([once] * 9) + " The sea is blue and the boats are white.")
+
+
+def test_repairs_of_numeric_entities(spark, samples):
+    """ASCII texts whose wrongly decoded characters are numeric entities, decimal and hexadecimal."""
+    df = spark.createDataFrame([(1, "Der B&#195;&#164;cker"), (2, "Der B&#xC3;&#xa4;cker"), (3, "Der B&Atilde;&curren;cker"), (4, "one &#38; two &#8212; three"), (5, "AT&T; plain")], "doc_id long, text string")
+    assert {r.doc_id: r.text for r in mojibake.repairs(df, samples).collect()} == dict.fromkeys((1, 2, 3), "Der Bäcker")
