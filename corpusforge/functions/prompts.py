@@ -85,7 +85,7 @@ def history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Data
     return early.groupBy(conv).agg(F.concat(F.lit("Previous conversation:\n\n"), body).alias("history"))
 
 
-def ancestor_chains(messages: DataFrame, most: int = 64) -> DataFrame:
+def ancestor_chains(messages: DataFrame) -> DataFrame:
     """(message_id, chain, depth) of the assistant messages whose ancestors lead
     to a root, prompter and assistant in turn.
 
@@ -99,7 +99,7 @@ def ancestor_chains(messages: DataFrame, most: int = 64) -> DataFrame:
     parents = slim.select(F.col("message_id").alias("p_id"), F.col("parent_id").alias("p_parent"), F.col("role").alias("p_role"), F.col("text").alias("p_text"))
     live = slim.filter("role = 'assistant'").select("message_id", "parent_id", F.col("role").alias("last"), F.array(F.struct("role", "text")).alias("chain"), F.array("message_id").alias("seen"))
     done = None
-    for _ in range(most):
+    while True:
         ended = live.filter("parent_id is null and last = 'prompter'").select("message_id", "chain")
         done = ended if done is None else done.unionByName(ended)
         grown = live.filter("parent_id is not null").join(parents, F.col("parent_id") == F.col("p_id"))

@@ -158,6 +158,13 @@ def test_chains(spark):
     assert got == {"a": ["r", "a"], "c": ["r", "a", "b", "c"]}
 
 
+def test_deep_chain(spark):
+    """A chain of 66 levels: each assistant message has its own depth."""
+    rows = [(k, k - 1 if k else None, "assistant" if k % 2 else "prompter", "t") for k in range(66)]
+    df = spark.createDataFrame(rows, "message_id long, parent_id long, role string, text string")
+    assert {r.message_id: r.depth for r in R.ancestor_chains(df).collect()} == {k: k + 1 for k in range(1, 66, 2)}
+
+
 def test_choice_letter(spark):
     df = spark.createDataFrame([("2",), ("b",), ("C",), ("9",), (None,)], "k string").withColumn("l", F.array(*[F.lit(x) for x in "ABCD"]))
     assert [r[0] for r in df.select(R.choice_letter("k", "l")).collect()] == ["B", "B", "C", None, None]
