@@ -23,11 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from .common import WORD
+from .common import WORD, labelled_sample, slices
 from .mojibake import model as garble_model
 from .mojibake import training_texts
-from .quality import COMMON, judged
-from .tokens import LANGUAGE_NAMES
+from .quality import COMMON, with_kinds
+from .tokens import LABEL, LANGUAGE_NAMES
 
 #: Number of hashed features.
 FEATURES = 1 << 15
@@ -39,10 +39,8 @@ HIDDEN = re.compile("[\u00ad\u200b-\u200f\u2060\ufeff]")
 
 ENDS = re.compile(r"[.!?…\n]+")
 
-#: Texts longer than this many words are labelled in overlapping windows, so
-#: that memory is bounded; the labels of a window's margin come from its neighbour.
-WINDOW, MARGIN = 4096, 64
-
+#: Words labelled at a time: of longer texts the messages are carried from window to window.
+WINDOW = 4096
 
 #: Words of questions and requests, beside the function words.
 ASKING = {
@@ -148,7 +146,6 @@ class LanguageModel:
             ws = [w for s, _ in seq for w in s]
             ys = [y for s, y in seq for _ in s]
             es = [k == 0 for s, _ in seq for k in range(len(s))]
-            # a word left out of the lexicon now and then, so that the field leans on shape too
             texts.append((ws, np.array(ys), np.array(es)))
         vocabulary = sorted({w for ws, _, _ in texts for w in ws})
         index = {w: k for k, w in enumerate(vocabulary)}
@@ -187,21 +184,34 @@ class LanguageModel:
                 square_t[kind] += g**2
                 self.steps[kind] += 0.3 * g / np.sqrt(square_t[kind])
 
-    def marginals(self, emission: np.ndarray, starts: np.ndarray, mask: np.ndarray, pairs: bool = False):
+    def _factors(self, emission: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.exp(emission - emission.max(-1, keepdims=True)), np.exp(self.steps - self.steps.max(axis=(1, 2), keepdims=True))
+
+    def marginals(self, emission: np.ndarray, starts: np.ndarray, mask: np.ndarray, pairs: bool = False, edges: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
         """Forward-backward over texts padded to one length: (texts, words,
-        languages) probabilities, and expected transitions of both kinds."""
+        languages) probabilities, and expected transitions of both kinds.
+
+        ``edges`` are messages for parts of longer texts: whether words come
+        before, the forward message of the word before, and the backward
+        message of the last word.
+        """
         n, size, k = emission.shape
-        local = np.exp(emission - emission.max(2, keepdims=True))
-        moves = np.exp(self.steps - self.steps.max(axis=(1, 2), keepdims=True))
-        forward, backward = np.empty((n, size, k), local.dtype), np.ones((n, size, k), local.dtype)
-        state = local[:, 0] / local[:, 0].sum(1, keepdims=True)
-        forward[:, 0] = state
+        local, moves = self._factors(emission)
+        forward = np.empty((n, size, k), local.dtype)
+        state = local[:, 0]
+        ending = np.full((n, k), 1.0 / k, local.dtype)
+        if edges is not None:
+            inner, before, ending = edges
+            carried = np.where(starts[:, 0, None], before @ moves[1], before @ moves[0])
+            state = np.where(inner[:, None], carried, 1.0) * state
+        state = forward[:, 0] = state / state.sum(1, keepdims=True)
         for t in range(1, size):
             crossed = starts[:, t, None]
             new = np.where(crossed, state @ moves[1], state @ moves[0]) * local[:, t]
             new /= new.sum(1, keepdims=True)
             state = forward[:, t] = np.where(mask[:, t, None], new, state)
-        state = np.full((n, k), 1.0 / k, local.dtype)
+        state = ending
+        backward = np.repeat(ending[:, None], size, 1).astype(local.dtype)
         expected = np.zeros((2, k, k))
         for t in range(size - 2, -1, -1):
             carried = local[:, t + 1] * state
@@ -213,12 +223,44 @@ class LanguageModel:
                     expected[kind] += joint[(mask[:, t + 1]) & (starts[:, t + 1] == bool(kind))].sum(0)
             new = np.where(crossed, carried @ moves[1].T, carried @ moves[0].T)
             new /= new.sum(1, keepdims=True)
-            state = np.where(live, new, state)
-            backward[:, t] = np.where(live, new, 1.0)
+            state = backward[:, t] = np.where(live, new, state)
         prob = forward * backward
         prob /= prob.sum(2, keepdims=True)
         return (prob, expected) if pairs else prob
 
+    def _messages(self, found: list[str], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(forward message into, backward message at the end of) each window of
+        a long text. A window acts on messages as a matrix, the product of its
+        words' factors; the matrices of all windows are made side by side, and
+        then the messages pass through them one after the other."""
+        k, n = len(self.languages), len(found)
+        count = -(-n // WINDOW)
+        through = np.empty((count, k, k))
+        for first in range(0, count, 32):
+            rows = range(first, min(first + 32, count))
+            emission = np.zeros((len(rows), WINDOW, k), np.float32)
+            begins, live = np.zeros((len(rows), WINDOW), int), np.zeros((len(rows), WINDOW), bool)
+            for r, w in enumerate(rows):
+                a, b = w * WINDOW, min(n, (w + 1) * WINDOW)
+                emission[r, : b - a], begins[r, : b - a], live[r, : b - a] = self.emissions(found[a:b]), starts[a:b], True
+            local, moves = self._factors(emission)
+            state = np.repeat(np.eye(k)[None], len(rows), 0)
+            for t in range(WINDOW):
+                new = (state @ moves[begins[:, t]]) * local[:, t, None, :]
+                if first == t == 0:
+                    new[0] = state[0] * local[0, 0]  # nothing comes before the first word
+                new /= new.sum((1, 2), keepdims=True)
+                state = np.where(live[:, t, None, None], new, state)
+            through[rows.start : rows.stop] = state
+        into, back = np.ones((count, k)), np.ones((count, k))
+        for w in range(1, count):
+            into[w] = into[w - 1] @ through[w - 1]
+            into[w] /= into[w].sum()
+        for w in range(count - 2, -1, -1):
+            back[w] = through[w + 1] @ back[w + 1]
+            back[w] /= back[w].sum()
+        return into, back
+
     def emissions(self, found: list[str]) -> np.ndarray:
         if len(self.index) > 500_000:
             self._forget()
@@ -244,33 +286,33 @@ class LanguageModel:
         return int(p.argmax()), float(p.max())
 
     def label(self, texts: list[tuple[list[str], np.ndarray]]) -> list[np.ndarray]:
-        """(words, languages) probabilities of each text."""
-        pieces = []  # (text, from, keep from, keep to, to)
-        for i, (found, _) in enumerate(texts):
-            n = len(found)
-            for a in range(0, max(n, 1), WINDOW):
-                b = min(n, a + WINDOW)
-                if b > a:
-                    pieces.append((i, max(0, a - MARGIN), a, b, min(n, b + MARGIN)))
-        result = [np.zeros((len(found), len(self.languages)), np.float32) for found, _ in texts]
-        pieces.sort(key=lambda p: p[4] - p[1])
+        """(words, languages) probabilities of each text, whatever its length:
+        those of forward-backward over all its words."""
+        k = len(self.languages)
+        pieces = [(i, a, min(len(found), a + WINDOW)) for i, (found, _) in enumerate(texts) for a in range(0, len(found), WINDOW)]
+        long = {i: self._messages(*texts[i]) for i in {i for i, a, _ in pieces if a}}
+        result = [np.zeros((len(found), k), np.float32) for found, _ in texts]
+        pieces.sort(key=lambda p: p[2] - p[1])
         start = 0
         while start < len(pieces):
-            # padded blocks of like lengths, about a million words each at most
+            # padded blocks of like lengths, about a quarter of a million words each at most
             end = start + 1
-            while end < len(pieces) and end - start < 2048 and (end + 1 - start) * (pieces[end][4] - pieces[end][1]) <= 1 << 18:
+            while end < len(pieces) and end - start < 2048 and (end + 1 - start) * (pieces[end][2] - pieces[end][1]) <= 1 << 18:
                 end += 1
             block = pieces[start:end]
-            size = max(p[4] - p[1] for p in block)
-            emission = np.zeros((len(block), size, len(self.languages)), np.float32)
+            size = max(b - a for _, a, b in block)
+            emission = np.zeros((len(block), size, k), np.float32)
             starts, mask = np.zeros((len(block), size), bool), np.zeros((len(block), size), bool)
-            for r, (i, a, _, _, b) in enumerate(block):
+            inner, before, after = np.zeros(len(block), bool), np.ones((len(block), k)), np.ones((len(block), k))
+            for r, (i, a, b) in enumerate(block):
                 emission[r, : b - a] = self.emissions(texts[i][0][a:b])
                 starts[r, : b - a] = texts[i][1][a:b]
                 mask[r, : b - a] = True
-            prob = self.marginals(emission, starts, mask)
-            for r, (i, a, keep, to, _) in enumerate(block):
-                result[i][keep:to] = prob[r, keep - a : to - a]
+                if i in long:
+                    inner[r], before[r], after[r] = a > 0, long[i][0][a // WINDOW], long[i][1][a // WINDOW]
+            prob = self.marginals(emission, starts, mask, edges=(inner, before, after) if long else None)
+            for r, (i, a, b) in enumerate(block):
+                result[i][a:b] = prob[r, : b - a]
             start = end
         return result
 
@@ -281,12 +323,8 @@ def language_model(rows: tuple[tuple[str, str], ...]) -> LanguageModel:
 
 
 def training_rows(samples: DataFrame, per_language: int = 500) -> tuple[tuple[str, str], ...]:
-    """At most ``per_language`` labelled sentences of each language, the smallest by text."""
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("lang").orderBy("text")
-    rows = samples.filter("lang is not null and text is not null").select("lang", "text").distinct().withColumn("k", F.row_number().over(order)).filter(F.col("k") <= per_language)
-    return tuple(sorted((r["lang"], r["text"]) for r in rows.select("lang", "text").collect()))
+    """The labelled sentences to train on: at most ``per_language`` of each language."""
+    return tuple(labelled_sample(samples, per_language))
 
 
 def trained_field(samples: DataFrame) -> Broadcast:
@@ -296,14 +334,15 @@ def trained_field(samples: DataFrame) -> Broadcast:
 
 
 def label_code(label: str | None) -> str | None:
-    """Two-letter code of a delivered label in any spelling, else None."""
-    first = re.split(r"[-_ ]", (label or "").strip().lower())[0]
-    return next((code for code, names in LANGUAGE_NAMES.items() if first in names), None)
+    """Two-letter code of a delivered label, by the rule of ``tokens.lang_key``."""
+    m = re.fullmatch(LABEL, (label or "").strip().lower())
+    return next((code for code, names in LANGUAGE_NAMES.items() if m and m[1] in names), None)
 
 
 def segments(found: list[str], prob: np.ndarray, languages: list[str], least: int = 5) -> list[tuple[int, int, str, float]]:
-    """(first word, end, language, confidence): runs of one language; a run of
-    fewer than ``least`` words joins the run before it."""
+    """(first word, end, language, confidence): runs of one language. A run of
+    fewer than ``least`` words is no segment: it joins the run before it, with
+    that run's language, and a short first run the one after it."""
     if not len(found):
         return []
     best = prob.argmax(1)
@@ -320,22 +359,33 @@ def segments(found: list[str], prob: np.ndarray, languages: list[str], least: in
     return [(a, b, languages[k], float(prob[a:b, k].mean())) for a, b, k in runs]
 
 
-def mixture(found: list[str], starts: np.ndarray, prob: np.ndarray, languages: list[str], least: int = 20, share: float = 0.2) -> list[tuple[str, int, float]]:
+def mixture(found: list[str], starts: np.ndarray, prob: np.ndarray, languages: list[str], least: int = 20, share: float = 0.2, inner: int = 5) -> list[tuple[str, int, float]]:
     """(language, words, confidence) of the languages that hold ``least`` words
-    and ``share`` of the text, else of the one with most words. A sentence
-    counts for the language with most of its probability."""
+    and ``share`` of the text, else of the one with most words.
+
+    A sentence counts for the language with most of its probability; one in
+    which two languages have ``inner`` words each, the likeliest of each word,
+    counts by its segments.
+    """
     if not len(found):
         return []
+    k = len(languages)
     cuts = np.flatnonzero(starts)
     if not len(cuts) or cuts[0]:
         cuts = np.concatenate([[0], cuts])
+    own = np.add.reduceat(np.arange(k) == prob.argmax(1)[:, None], cuts, axis=0, dtype=np.int64)
+    switched = np.flatnonzero(np.sort(own, axis=1)[:, -2] >= inner)
+    if len(switched):
+        ends = np.append(cuts, len(found))
+        more = [a + x for s in switched for a, b in [(ends[s], ends[s + 1])] for x, *_ in segments(found[a:b], prob[a:b], languages, inner) if x]
+        cuts = np.unique(np.concatenate([cuts, np.array(more, cuts.dtype)]))
     sums = np.add.reduceat(prob, cuts, axis=0)
     sizes = np.diff(np.append(cuts, len(found)))
     best = sums.argmax(1)
-    n = np.bincount(best, sizes, len(languages))
-    sure = np.bincount(best, sums[np.arange(len(best)), best], len(languages)) / np.maximum(n, 1)
-    full = [k for k in range(len(languages)) if n[k] >= least and n[k] >= share * len(found)]
-    return [(languages[k], int(n[k]), float(sure[k])) for k in (full if len(full) > 1 else [int(n.argmax())])]
+    n = np.bincount(best, sizes, k)
+    sure = np.bincount(best, sums[np.arange(len(best)), best], k) / np.maximum(n, 1)
+    full = [x for x in range(k) if n[x] >= least and n[x] >= share * len(found)]
+    return [(languages[x], int(n[x]), float(sure[x])) for x in (full if len(full) > 1 else [int(n.argmax())])]
 
 
 def _prepared(df: DataFrame, id_col: str, text_col: str, lang_col: str | None) -> tuple[DataFrame, str]:
@@ -354,7 +404,7 @@ def document_languages(df: DataFrame, samples: DataFrame, id_col: str = "doc_id"
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = trained.value
-        for frame in frames:
+        for frame in slices(frames, "text", 1 << 22):
             texts = [units(t or "") for t in frame["text"]]
             rows = []
             for i, label, (found, starts), prob in zip(frame["id"], frame["label"], texts, field.label(texts)):
@@ -373,7 +423,7 @@ def language_segments(df: DataFrame, samples: DataFrame, id_col: str = "doc_id",
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field = trained.value
-        for frame in frames:
+        for frame in slices(frames, "text", 1 << 22):
             texts = [units(t or "") for t in frame["text"]]
             rows = [
                 (i, k, a, b - a, lang, sure)
@@ -395,8 +445,8 @@ def corrections(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field, garbled = trained.value, garble_model(clean)
-        for frame in frames:
-            frame = frame[[t is not None and len(t) >= 2 * least for t in frame["text"]]]
+        for frame in slices(frames, "text", 1 << 22):
+            frame = frame[frame["text"].notna()]
             texts = [units(t) for t in frame["text"]]
             rows = []
             for i, text, label, (found, starts), prob in zip(frame["id"], frame["text"], frame["label"], texts, field.label(texts)):
@@ -405,10 +455,11 @@ def corrections(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_
                 langs = [x[0] for x in mixture(found, starts, prob, field.languages, least)]
                 if len(langs) == 1 and label_code(label) == langs[0]:
                     continue
-                if judged(text, garbled)[0] is None and not garbled.judge(text)[0]:
+                if not garbled.judge(text)[0]:
                     rows += [(i, x) for x in langs]
             yield pd.DataFrame(rows, columns=["id", "lang"])
 
     slim, kind = _prepared(df, id_col, text_col, lang_col)
-    return slim.mapInPandas(run, f"id {kind}, lang string").withColumnRenamed("id", id_col)
+    looked = with_kinds(slim).select("id", F.when(F.col("kind").isNull(), F.col("text")).alias("text"), "label")
+    return looked.mapInPandas(run, f"id {kind}, lang string").withColumnRenamed("id", id_col)
 

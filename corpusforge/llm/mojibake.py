@@ -2,9 +2,12 @@
 
 A multinomial classifier over hashed byte bigrams is trained on words garbled
 on purpose: each clean word is run through every chain of (true encoding,
-wrong encoding). It names the chain of a word; the chain is then inverted and
-the inversion must decode strictly and give only characters that sound text
-has. Words are judged once per distinct word of a batch.
+wrong encoding), and through decoders that lose characters. The class of a word
+decides: where sound text is the likeliest, the word is left alone; else the
+chain is inverted, which must decode strictly and give only characters that
+sound text has. A class that fails this yields to the next that is likelier
+than sound text. Single-byte chains, which always decode, are classes of whole
+lines. Words are judged once per distinct word of a batch.
 """
 
 from __future__ import annotations
@@ -14,6 +17,7 @@ import re
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
+from .common import labelled_sample, slices
 
 #: Number of hashed byte bigrams.
 FEATURES = 1 << 14
@@ -31,19 +36,31 @@ FEATURES = 1 << 14
 MULTI = [((("utf-8", wrong),)) for wrong in ("cp1252", "latin-1", "cp437", "cp850", "mac_roman", "cp1250", "cp1251", "koi8-r", "cp866", "iso8859-2", "mac_cyrillic", "iso8859-15", "cp1254", "iso8859-5")]
 DOUBLE = [(("utf-8", a), ("utf-8", b)) for a in ("cp1252", "latin-1") for b in ("cp1252", "latin-1")]
 SINGLE = [((true, wrong),) for true, wrong in (("koi8-r", "latin-1"), ("koi8-r", "cp1252"), ("cp1251", "latin-1"), ("cp1251", "cp1252"), ("cp1251", "koi8-r"), ("koi8-r", "cp1251"), ("cp866", "cp1251"), ("cp1251", "cp866"), ("cp866", "latin-1"), ("iso8859-5", "cp1251"), ("mac_cyrillic", "cp1251"), ("cp1251", "mac_roman"), ("koi8-r", "mac_roman"), ("cp866", "cp1252"), ("iso8859-5", "latin-1"))]
-CHAINS = [*MULTI, *DOUBLE, *SINGLE]
+#: Typographic bytes read as controls: the letters stay, so only those words change.
+CONTROLS = [(("cp1252", "latin-1"),)]
+#: Decoding that lost characters cannot be inverted: (true encoding, decoder with replacement).
+LOST = (("lost", "utf-8"),)
+CHAINS = [*MULTI, *DOUBLE, *CONTROLS, LOST, *SINGLE]
+WORDWISE = [k for k, chain in enumerate(CHAINS, 1) if chain not in SINGLE]
+LINEWISE = [k for k, chain in enumerate(CHAINS, 1) if chain in SINGLE]
+#: What lost or misread characters leave behind.
+DAMAGE = re.compile("[\ufffd\x80-\x84\x86-\x9f]")
 
 #: Typographic marks and symbols that sound text may hold.
 MARKS = "’‘“”„‚«»‹›–—…•·¿¡©®™°±µ€£¥§¶½¼¾ªº№×÷¹²³†‡¢"
 
 #: Typographic training strings: marks as they stand at words in running text.
-PHRASES = ("“It’s", "isn’t", "it?”", "–", "—", "café,", "£3", "naïve,", "crème", "l’école", "d’œuf", "€5", "12 °C", "«bien»", "„gut“", "…", "Señor", "¿Qué", "¡Hola", "ça", "À", "Ünder", "Ärzte", "Öl", "Übung", "É", "È", "à", "è", "ù", "ò", "ì", "ñ", "ß", "Ñ", "Ç", "’s", "Zelne’s")
+PHRASES = ("“It’s", "isn’t", "it?”", "–", "—", "café,", "£3", "naïve,", "crème", "l’école", "d’œuf", "€5", "12 °C", "«bien»", "„gut“", "…", "Señor", "¿Qué", "¡Hola", "ça", "À", "Ünder", "Ärzte", "Öl", "Übung", "É", "È", "à", "è", "ù", "ò", "ì", "ñ", "ß", "Ñ", "Ç", "’s", "’s.", "aujourd’hui")
 
 #: The letters of the languages at hand beyond ASCII.
 LETTERS = "àáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿßабвгдежзийклмнопрстуфхцчшщъыьэюяё"
 
+#: Log odds against sound text that the words of a text, or of a line, must reach together.
+ODDS = 8.0
+
 SPACE = re.compile(r"[ \t\r\n]+")
 ASCII_LETTER = re.compile(r"[A-Za-z]")
+CYRILLIC = re.compile("[\u0400-\u04ff]")
 
 
 def doubtful(text: str) -> list[str]:
@@ -68,6 +85,7 @@ def _tables(name: str) -> tuple[dict[int, str], dict[str, int]]:
 
 
 def garble(text: str, chain: tuple) -> str | None:
+    """``text`` after a chain; None where an encoding lacks one of its characters."""
     for true, wrong in chain:
         try:
             raw = text.encode(true)
@@ -95,27 +113,58 @@ def _bigrams(text: str) -> np.ndarray:
     return ((raw[:-1] << 8 | raw[1:]) * 0x9E3779B1 >> 11) % FEATURES
 
 
+def _lossy(text: str) -> list[str]:
+    """``text`` as decoders leave it that lose characters."""
+    found = []
+    for true in ("cp1252", "cp1251", "koi8-r", "cp850", "mac_roman"):
+        try:
+            found.append(text.encode(true).decode("utf-8", "replace"))
+        except UnicodeEncodeError:
+            continue
+    bad = garble(text, MULTI[1]) or ""
+    # a control that has lost its neighbours
+    found += [bad[max(0, k - 1)] + c for k, c in enumerate(bad) if DAMAGE.match(c)]
+    return [f for f in found if f != text and DAMAGE.search(f)]
+
+
+def _order(word: str) -> int:
+    """A seeded order of words."""
+    return crc32(f"7|{word}".encode("utf-8", "replace"))
+
+
 class GarbleModel:
-    """Multinomial Bayes over hashed byte bigrams; class 0 is sound text."""
+    """Multinomial Bayes over hashed byte bigrams; class 0 is sound text, class
+    k the chain ``CHAINS[k - 1]``."""
 
     def __init__(self, clean: list[str], limit: int = 4000):
-        """``clean``: sound texts; at most ``limit`` distinct words of them with
-        other than ASCII characters are garbled for training (smallest first)."""
-        own = {w for t in clean for w in doubtful(unicodedata.normalize("NFC", t))}
-        own = sorted(own)[:limit] + list(PHRASES)
+        """``clean``: sound texts; at most ``limit`` of their distinct words with
+        other than ASCII characters are garbled for training: half of them
+        Cyrillic where there are as many, each half the first in a seeded order."""
+        own = sorted({w for t in clean for w in doubtful(unicodedata.normalize("NFC", t))}, key=_order)
+        cyrillic = [w for w in own if CYRILLIC.search(w)]
+        other = [w for w in own if not CYRILLIC.search(w)]
+        most = max(limit // 2, limit - len(cyrillic))
+        other = other[:most]
+        own = other + cyrillic[: limit - len(other)] + list(PHRASES)
         forms = [(f, weight) for w in own for f, weight in ((w, 1.0), (w.capitalize(), 0.3), (w.upper(), 0.05))]
-        self.alphabet = {c for w, _ in forms for c in w if c > "\x7f"} | set(MARKS + LETTERS + LETTERS.upper())
+        # every letter and mark at hand, so that none is unseen
+        forms += [(f"a{c}e" if c.islower() else c, 0.1) for c in LETTERS + LETTERS.upper() + MARKS]
+        self.alphabet = {c for w, _ in forms for c in w if c > "\x7f"}
         counts = np.full((len(CHAINS) + 1, FEATURES), 0.05)
         for w, weight in forms:
             np.add.at(counts[0], _bigrams(w), weight)
             for k, chain in enumerate(CHAINS, 1):
-                if chain in SINGLE and not any("Ѐ" <= c <= "ӿ" for c in w):
+                if chain in SINGLE and not CYRILLIC.search(w):
+                    continue
+                if chain is LOST:
+                    for bad in _lossy(w):
+                        np.add.at(counts[k], _bigrams(bad), weight)
                     continue
                 bad = garble(w, chain)
                 if bad is not None and bad != w:
                     np.add.at(counts[k], _bigrams(bad), weight)
         self.weights = np.log(counts / counts.sum(1, keepdims=True)).astype(np.float32)
-        self.known: dict[str, tuple[str | None, int]] = {}
+        self.known: dict[str, tuple[str | None, int, float]] = {}
         self.alone: dict[str, dict[int, tuple[float, str | None]]] = {}
 
     def sound(self, text: str) -> bool:
@@ -125,8 +174,9 @@ class GarbleModel:
         odd = "".join(re.findall(r".?[^\x00-\x7f]+.?", word))
         return self.weights[:, _bigrams(odd)].sum(1)
 
-    def word(self, word: str) -> tuple[str | None, int]:
-        """(restored word or None, number of the chain or 0), multi-byte chains only."""
+    def word(self, word: str) -> tuple[str | None, int, float]:
+        """(restored word or None, class of the word, log odds against sound
+        text): class 0 for a sound word. A lost one comes back as it is."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) > 200_000:
@@ -134,19 +184,22 @@ class GarbleModel:
             found = self.known[word] = self._word(word)
         return found
 
-    def _word(self, word: str) -> tuple[str | None, int]:
+    def _word(self, word: str) -> tuple[str | None, int, float]:
         plain = html.unescape(word) if "&" in word else word
         if plain.isascii():
-            return None, 0
-        first = np.argsort(-self.scores(plain))
-        # the classifier's order; a chain counts once it proves itself
-        for k in (int(k) for k in first):
-            if k == 0 or CHAINS[k - 1] in SINGLE:
+            return None, 0, 0.0
+        scores = self.scores(plain)
+        likelier = [k for k in WORDWISE if scores[k] > scores[0]]
+        for k in sorted(likelier, key=lambda k: -scores[k]):
+            chain, odds = CHAINS[k - 1], float(scores[k] - scores[0])
+            if chain is LOST:
+                if DAMAGE.search(plain):
+                    return plain, k, odds
                 continue
-            back = restore(plain, CHAINS[k - 1])
-            if back is not None and len(back) < len(plain) and self.sound(back) and not re.search(r"(?<=\S)[¡¿]", back):
-                return back, k
-        return None, 0
+            back = restore(plain, chain)
+            if back is not None and (len(back) < len(plain) or chain in CONTROLS and DAMAGE.search(plain)) and self.sound(back) and not re.search(r"(?<=\S)[¡¿]", back):
+                return back, k, odds
+        return None, 0, 0.0
 
     def single(self, word: str) -> dict[int, tuple[float, str | None]]:
         """By single-byte chain: the log odds against the sound reading, and the
@@ -158,24 +211,23 @@ class GarbleModel:
                 self.alone.clear()
             found = self.alone[word] = {}
             scores = self.scores(word)
-            for k, chain in enumerate(CHAINS, 1):
-                if chain in SINGLE:
-                    back = restore(word, chain)
-                    letters = [c for c in back or "" if c.isalpha()]
-                    shape = "".join(letters)
-                    if back is None or not self.sound(back) or any(c < "Ѐ" for c in letters) or re.search(r"(.)\1\1", shape) or not (shape.islower() or shape.isupper() or shape.istitle()):
-                        found[k] = (-8.0, None)
-                    elif len(set(letters)) < 2 or sum(a != b for a, b in zip(word, back)) < 0.6 * len(letters):
-                        found[k] = (0.0, back)
-                    else:
-                        found[k] = (float(scores[k] - scores[0]), back)
+            for k in LINEWISE:
+                back = restore(word, CHAINS[k - 1])
+                letters = [c for c in back or "" if c.isalpha()]
+                shape = "".join(letters)
+                if back is None or not self.sound(back) or any(c < "Ѐ" for c in letters) or re.search(r"(.)\1\1", shape) or not (shape.islower() or shape.isupper() or shape.istitle()):
+                    found[k] = (-8.0, None)
+                elif len(set(letters)) < 2 or sum(a != b for a, b in zip(word, back)) < 0.6 * len(letters):
+                    found[k] = (0.0, back)
+                else:
+                    found[k] = (float(scores[k] - scores[0]), back)
         return found
 
     def lines(self, text: str) -> tuple[dict[str, str], dict[int, int]]:
         """Restored words of the lines under a single-byte chain, and the
         number of words under each: such a chain always decodes, so its log
-        odds over all of a line's words in question must reach 8, from two
-        words at least."""
+        odds over all of a line's words in question must reach ``ODDS``, from
+        two words at least."""
         fixed: dict[str, str] = {}
         used: dict[int, int] = {}
         for line in re.split(r"[\r\n]+", text):
@@ -184,7 +236,7 @@ class GarbleModel:
             if len(tokens) < 2 or 2 * sum(not ASCII_LETTER.search(w) for w in tokens) < len(tokens):
                 continue
             read = [self.single(w) for w in tokens]
-            best, total = 0, 8.0
+            best, total = 0, ODDS
             for k in read[0]:
                 odds = sum(r[k][0] for r in read)
                 if odds >= total and sum(r[k][0] > 0 for r in read) >= max(2, 0.5 * len(read)):
@@ -197,24 +249,24 @@ class GarbleModel:
     def judge(self, text: str) -> tuple[bool, dict[str, str], int]:
         """(garbled, restored word of each garbled word, number of the commonest chain).
 
-        Multi-byte chains: one proven word is enough. Single-byte ones: see
-        ``lines``. U+FFFD and C1 controls are garbled, whether or not anything
-        can be restored.
+        The words that the classifier gives to a chain, and that decode strictly
+        by it, must reach ``ODDS`` together, as one word mostly does alone; so
+        must those that have lost characters, which are no restored words.
+        Single-byte chains: see ``lines``.
         """
-        tokens = doubtful(text)
-        if not tokens:
-            return False, {}, 0
-        lost = "\ufffd" in text or any("\x80" <= c <= "\x9f" and c != "\x85" for c in text)
         fixed: dict[str, str] = {}
         used: dict[int, int] = {}
-        for w in tokens:
-            back, k = self.word(w)
-            if back is not None:
-                fixed[w] = back
+        total = 0.0
+        for w in doubtful(text):
+            back, k, odds = self.word(w)
+            if k:
+                total += odds
                 used[k] = used.get(k, 0) + 1
-        if not fixed:
+                if CHAINS[k - 1] is not LOST:
+                    fixed[w] = back
+        if total < ODDS:
             fixed, used = self.lines(text)
-        return bool(fixed) or lost, fixed, max(used, key=lambda k: used[k], default=0)
+        return bool(used), fixed, max(used, key=lambda k: used[k], default=0)
 
 
 @lru_cache(maxsize=2)
@@ -226,10 +278,9 @@ def repair_text(text: str, fixed: dict[str, str]) -> str:
     return re.sub(r"[^ \t\r\n]+", lambda m: fixed.get(m[0], m[0]), text) if fixed else text
 
 
-def training_texts(samples: DataFrame, limit: int = 4000) -> tuple[str, ...]:
-    """Sound texts to train on: the ``limit`` smallest of ``samples.text``."""
-    rows = samples.select("text").filter("text is not null").distinct().orderBy("text").limit(limit).collect()
-    return tuple(r[0] for r in rows)
+def training_texts(samples: DataFrame, per_language: int = 500) -> tuple[str, ...]:
+    """Sound texts to train on: those of ``labelled_sample``."""
+    return tuple(t for _, t in labelled_sample(samples, per_language))
 
 
 def repairs(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -243,13 +294,13 @@ def repairs(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         judge = model(clean)
-        for frame in frames:
+        for frame in slices(frames, "text", 1 << 24):
             rows = []
             for i, text in zip(frame["id"], frame["text"]):
                 bad, fixed, k = judge.judge(text)
                 if bad:
                     new = repair_text(text, fixed)
-                    chain = "+".join(f"{a}/{b}" for a, b in CHAINS[k - 1]) if k else None
+                    chain = "+".join(f"{a}/{b}" for a, b in CHAINS[k - 1])
                     rows.append((i, chain, len(fixed), not judge.judge(new)[0], new))
             yield pd.DataFrame(rows, columns=["id", "chain", "n_words", "restored", "text"])
 

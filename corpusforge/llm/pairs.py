@@ -1,10 +1,10 @@
 """Broken prompt and response pairs (problem 6).
 
 Each pair is judged by, in this order: emptiness and placeholders, a grammar of
-refusals, greedy string tiling against instruction and input, the language of
-instruction and output by script and word shape, and a pushdown parser of
-fences, brackets, quotations, lists and sentences for truncation. The first
-that holds is the pair's defect.
+refusals, greedy string tiling against instruction and input, the scripts and
+then the languages of instruction and output, and a pushdown parser of fences,
+brackets, quotations, lists and markup for truncation. The first that holds is
+the pair's defect.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from .common import WORD, words
+from .common import WORD, slices, words
 from .langid import HIDDEN, INVISIBLE, LEXICON, LanguageModel, trained_field
 
 # ------------------------------------------------------------------- empty
@@ -31,13 +31,16 @@ from .langid import HIDDEN, INVISIBLE, LEXICON, LanguageModel, trained_field
 PLACEHOLDERS = {"", "nan", "none", "null", "nil", "n/a", "na", "tbd", "todo", "noinput", "nooutput", "no output", "no input", "no answer", "no response", "empty", "undefined", "output", "response", "answer", "placeholder", "blank", "missing", "not available", "insert answer here"}
 
 
+_LONGEST = max(map(len, PLACEHOLDERS))
+_MARKS = "<>[](){}\"'“”`*_-–—.…?!#: \t\r\n "
+
+
 def is_empty(output: str | None) -> bool:
     if output is None:
         return True
-    if len(output) > 200 and output.isascii() and any(map(str.isalnum, output[:50])):
-        return False  # longer than any placeholder
-    bare = (output if output.isascii() else output.translate(INVISIBLE)).strip().strip("<>[](){}\"'“”`*_-–—.…?!#: \t\r\n ").lower()
-    return " ".join(bare.replace("_", " ").split()) in PLACEHOLDERS
+    bare = (output.translate(INVISIBLE) if HIDDEN.search(output) else output).strip().strip(_MARKS)
+    # blanks and underscores inside may be several
+    return len(bare) <= 4 * _LONGEST and " ".join(bare.lower().replace("_", " ").split()) in PLACEHOLDERS
 
 
 # ----------------------------------------------------------------- refusal
@@ -46,7 +49,7 @@ def is_empty(output: str | None) -> bool:
 #: phrases. Each alternative is one of the language's ways to decline.
 OPENERS = r"(?:(?:i['’]?m (?:really |very |so )?sorry|i am (?:really |very |so )?sorry|sorry|i apologi[sz]e|my apologies|apologies|unfortunately|regrettably|i['’]?m afraid|i am afraid|i must be honest|thank you for (?:asking|your question)|thanks for asking|as an? (?:ai|assistant|language model|ai language model|ai assistant)[^,.]{0,30})[,.:;]?\s*(?:but|however|that|and)?[,:]?\s*)*"
 DECLINE = {
-    "en": r"(?:i (?:can(?:no|['’])t|can not|could(?:n['’]t| not)|won['’]?t|will not|must decline|have to decline|need to decline|am unable|['’]?m unable|am not able|['’]?m not able|do(?:n['’]t| not) (?:feel comfortable|think i can|have the ability)|['’]d rather not|would rather not|would prefer not|refuse|decline)\b(?! say how)[^.!?]*|(?:it is|it['’]s) not possible for me[^.!?]*|this is (?:something )?(?:i am|i['’]m) (?:unable|not able)[^.!?]*|this is something i (?:can['’]?t|cannot)[^.!?]*|(?:answering|doing|writing) (?:this|that) would (?:go against|violate)[^.!?]*|(?:this|that|your) request (?:goes|is) (?:against|outside)[^.!?]*)",
+    "en": r"(?:i(?: |(?=['’]))(?:can(?:no|['’])t|can not|could(?:n['’]t| not)|won['’]?t|will not|must decline|have to decline|need to decline|am unable|['’]?m unable|am not able|['’]?m not able|do(?:n['’]t| not) (?:feel comfortable|think i can|have the ability)|['’]d rather not|would rather not|would prefer not|refuse|decline)\b(?! say how)[^.!?]*|(?:it is|it['’]s) not possible for me[^.!?]*|this is (?:something )?(?:i am|i['’]m) (?:unable|not able)[^.!?]*|this is something i (?:can['’]?t|cannot)[^.!?]*|(?:answering|doing|writing) (?:this|that) would (?:go against|violate)[^.!?]*|(?:this|that|your) request (?:goes|is) (?:against|outside)[^.!?]*)",
     "any": r"(?:(?:diese|dieses|cette|ce|esta|este|questa|questo|essa|dit|deze|этот|je|debo|tengo|devo|tenho|ik|ich|должен)\b[^.!?]*\b(?:ablehnen|refuser|décliner|rechazar|declinar|rifiutare|declinare|recusar|afwijzen|weigeren|отклонить|отказать)\b[^.!?]*)",
     "de": r"(?:(?:es )?tut mir leid[^.!?]*|leider (?:kann|darf|bin|ist)[^.!?]*|(?:das|dabei|diese frage)? ?kann ich (?:leider )?(?:nicht|diese)[^.!?]*|ich kann (?:ihnen |dir )?(?:leider |dabei |das |diese frage )*nicht[^.!?]*)",
     "fr": r"(?:(?:je suis |)désolée?[^.!?]*|malheureusement,? je[^.!?]*|je (?:ne peux|ne suis|regrette|crains)[^.!?]*|il m['’]est impossible[^.!?]*)",
@@ -59,30 +62,27 @@ DECLINE = {
 #: Words that must stand in a Romance or Germanic clause of regret for it to decline.
 TASK = re.compile(r"ablehn|refus|déclin|rechaz|declin|rifiut|recus|afwijz|weiger|отклон|отказ|help|answer|assist|provide|do (?:that|this)|fulfil|respond|request|write|unable|able|comfortable|guidelines|possible|decline|rather not|discuss|comply|continue|complete|create|generate|engage|hilf|helfen|helpen|beantwort|antwort|antwoord|bearbeit|möglich|mogelijk|aid|répond|réponse|question|mesure|demande|ayud|respond|pregunta|solicitud|aiut|rispond|domanda|richiesta|ajud|respond|pergunta|pedido|помочь|ответить|вопрос|запрос|выполнить", re.I)
 REFUSAL = re.compile("^" + OPENERS + "(?:" + "|".join(DECLINE.values()) + ")", re.I)
-#: How a sentence of a refusal can begin, as a cheap first look.
-BEGINS = re.compile(
-    r"\W*(?:i\b|i['’]|sorry|my\b|apolog|unfortun|regret|thank|as\b|it\b|it['’]|this\b|that\b|your\b|answer|doing|writing|es\b|leider|das\b|dabei|diese|ich\b|tut\b|je\b|malheur|désol|il\b|cette|ce\b|lo\b|lament|desaf|no\b|est[ae]\b|debo|tengo|"
-    r"mi\b|purtr|non\b|quest|essa|devo|desc|sinto|infel|não\b|tenho|het\b|helaas|dat\b|daar|deze|dit\b|ik\b|извин|прост|к\b|я\b|не\b|этот|должен|is\b|please|you\b|perhaps|maybe|feel|if\b|let\b|instead)",
-    re.I,
-)
 CLOSING = re.compile(r"^\s*(?:is there|please (?:ask|try|let|consult)|you (?:may|might|could|can)|i hope|perhaps|maybe|feel free|thank|if you|let me know|instead)", re.I)
 LETTER = re.compile(r"\b(?:letter|note|message|apolog|email|e-mail|brief|lettre|carta|lettera|bericht|письмо)", re.I)
 
 
+OPENING = re.compile("(?:" + OPENERS + ")[.!]?", re.I)
+BREAK = re.compile(r"(?<=[.!?])\s+")
+
+
 def is_refusal(instruction: str, output: str) -> bool:
-    """Whether the output declines and does nothing else."""
+    """Whether the output declines and does nothing else: each of its sentences
+    is read by the grammar, up to the first that is part of no refusal."""
     bare = output.strip().strip("\"“”")
-    if not BEGINS.match(bare) or not TASK.search(bare):
-        return False
-    sentences = [s for s in re.split(r"(?<=[.!?])\s+", bare) if s]
-    if not sentences:
-        return False
-    declined = 0
-    for s in sentences:
+    at = declined = 0
+    while at < len(bare):
+        end = BREAK.search(bare, at)
+        s = bare[at : end.start()] if end else bare[at:]
         if REFUSAL.match(s) and TASK.search(s):
             declined += 1
-        elif not CLOSING.match(s) and not re.fullmatch("(?:" + OPENERS + ")[.!]?", s, re.I):
+        elif not CLOSING.match(s) and not OPENING.fullmatch(s):
             return False
+        at = end.end() if end else len(bare)
     # an apology that was asked for is an answer
     return declined > 0 and not (LETTER.search(instruction) and re.search(r"\bdear\b|offer|forgive", bare, re.I))
 
@@ -231,6 +231,28 @@ def _scores(field: LanguageModel) -> _Scores:
     return _Scores(field)
 
 
+#: Letters by script: (name, class). Others are none.
+SCRIPTS = {
+    "latin": re.compile("[A-Za-z\u00aa-\u024f\u1e00-\u1eff]"),
+    "cyrillic": re.compile("[\u0400-\u052f]"),
+    "greek": re.compile("[\u0370-\u03ff\u1f00-\u1fff]"),
+    "arabic": re.compile("[\u0600-\u06ff\u0750-\u077f]"),
+    "hebrew": re.compile("[\u0590-\u05ff]"),
+    "indic": re.compile("[\u0900-\u0dff]"),
+    "hangul": re.compile("[\u1100-\u11ff\uac00-\ud7af]"),
+    "han": re.compile("[\u3040-\u30ff\u3400-\u9fff]"),
+}
+
+
+def script_of(text: str, share: float = 0.8) -> str | None:
+    """The script of ``share`` of a text's letters, four at least; else None."""
+    if text.isascii():
+        return "latin" if len(SCRIPTS["latin"].findall(text)) >= 4 else None
+    counts = {name: len(letters.findall(text)) for name, letters in SCRIPTS.items()}
+    total, top = sum(counts.values()), max(counts, key=lambda k: counts[k])
+    return top if total >= 4 and counts[top] >= share * total else None
+
+
 def language_of(field: LanguageModel, text: str, least: int) -> tuple[str | None, float]:
     """(language, probability) of a text of ``least`` words that are no numbers."""
     if not text.isascii():
@@ -248,72 +270,112 @@ def language_of(field: LanguageModel, text: str, least: int) -> tuple[str | None
 # --------------------------------------------------------------- truncation
 
 PAIRS = {"(": ")", "[": "]", "{": "}", "“": "”", "«": "»"}
-BRACKETS = re.compile(r'```|["()\[\]{}“”«»]')
 TERMINAL = re.compile(r"""[.!?…。:;]["”»’')\]*_`]*$|["”»)\]`*_]$""")
 SENTENCE_END = re.compile(r"""[.!?…]["”»’')\]]*(?:\s|$)""")
-ITEM = re.compile(r"^\s*(?:[-*•–+]\s|\(?\w{1,2}[.)]\s|\[[ x]?\])")
 SIGNED = re.compile(r"^(?:yours|best|kind|regards|sincerely|love|warm|with|mit|cordialement|saludos|atentamente|cordiali|atenciosamente|groet)", re.I)
-
-
-def open_at_end(text: str) -> list[str]:
-    """What a pushdown parser of fences, markup, brackets and quotations still
-    expects when the text ends. An apostrophe inside a word, a lone closing mark
-    (as of "a)") and an emoticon are no brackets."""
+#: What the parser reads: line ends with the mark of a list item, fences,
+#: tags, emphasis, brackets and quotations.
+TOKEN = re.compile(r'''(?P<item>(?:^|\n)[ \t]*(?:[-*•–+][ \t]|\(?\w{1,2}[.)][ \t]|\[[ x]?\]))|(?P<line>\n)|(?P<fence>```)|</?(?P<tag>[A-Za-z][A-Za-z0-9]*)[^<>\n]*>|(?P<strong>\*\*(?=\S)|(?<=\S)\*\*)|(?P<mark>["()\[\]{}“”«»])''')
+#: Elements of markup that have no end tag.
+VOID = {"br", "hr", "img", "input", "meta", "link", "wbr", "source"}
+ITEM = "item"
+TAGS_AT_END = re.compile(r"(?:\s*</?[A-Za-z][^<>\n]*>)+$")
+#: Requests that only sentences answer.
+SENTENCES = re.compile(r"\b(?:sentences?|explain|describe|tell me|summari[sz]e|how (?:would|do|does|can)|what do you know|what is the link|shorten|sätzen?|erkläre|beschreibe|phrases|expliquez|décrivez|frases|explica|describe|spiega|descrivi|frasi|explique|descreva|zinnen|leg uit|beschrijf|предложени\w*|объясните|опишите)\b", re.I)
+
+
+def parse(text: str) -> tuple[list[str], list[str]]:
+    """(what is open at the end, list items) by a pushdown parser.
+
+    The stack holds what a fence, bracket, quotation, tag or emphasis still
+    waits for, and ``ITEM`` while in a list item, which its line ends. A closing
+    mark takes what was opened after its partner with it; one without a partner
+    is text, as an apostrophe, the bracket of "a)" and an emoticon are. In a fence only
+    its end counts.
+    """
     stack: list[str] = []
-    for m in BRACKETS.finditer(text):
-        c = m[0]
-        if c == "```":
-            if stack and stack[-1] == c:
+    items: list[str] = []
+    begin = 0
+
+    def leave(at: int) -> None:
+        if ITEM in stack:
+            items.append(text[begin:at])
+            del stack[stack.index(ITEM) :]
+
+    for m in TOKEN.finditer(text):
+        kind, c = m.lastgroup, m[0]
+        if stack and stack[-1] == "```":
+            if kind == "fence":
                 stack.pop()
-            elif c not in stack:
-                stack.append(c)
-        elif stack and stack[-1] == "```":
             continue
-        elif c == '"':
-            if c in stack:
-                while stack.pop() != c:
-                    pass
-            else:
-                stack.append(c)
-        elif c in PAIRS:
-            stack.append(PAIRS[c])
-        elif c in stack:
-            while stack.pop() != c:
+        if kind in ("item", "line"):
+            leave(m.start())
+            if kind == "item":
+                stack.append(ITEM)
+                begin = m.end()
+            continue
+        if kind == "tag":
+            name = m["tag"].lower()
+            opens, closes = ("", f"</{name}>") if c[1] == "/" else (f"</{name}>", "")
+            if name in VOID or c.endswith("/>"):
+                continue
+        elif kind == "mark":
+            opens, closes = PAIRS.get(c, c if c == '"' else ""), "" if c in PAIRS else c
+        else:
+            opens = closes = c
+        if closes and closes in stack:
+            while stack.pop() != closes:
                 pass
-    return stack
+        elif opens:
+            stack.append(opens)
+    if ITEM in stack:
+        items.append(text[begin:])
+    return stack, items
+
+
+def open_at_end(text: str) -> list[str]:
+    """What the parser still waits for when the text ends, list items aside."""
+    return [x for x in parse(text)[0] if x != ITEM]
 
 
 def is_truncated(instruction: str, output: str) -> bool:
     """Whether an answer in sentences breaks off."""
-    bare = output.rstrip().rstrip("​﻿­")
+    bare = output.rstrip().rstrip("\u200b\ufeff\u00ad")
     if not bare:
         return False
     lines = [x for x in bare.split("\n") if x.strip()]
     last = lines[-1].strip()
-    waiting = open_at_end(bare)
-    if "```" in waiting:
+    stack, items = parse(bare)
+    waiting = [x for x in stack if x != ITEM]
+    if "```" in waiting or any(x.startswith("</") for x in waiting):
         return True
+    if not waiting and bare.endswith(">"):
+        # closed markup after the last word
+        bare = TAGS_AT_END.sub("", bare)
+        last = TAGS_AT_END.sub("", last)
     n = len(last.split())
     if TERMINAL.search(bare) and not re.search(r"[:;]$", bare):
         # an open bracket or quotation, unless its closing mark was merely left out in an earlier sentence
         tail = re.split(r"[.!?]\s", bare)[-1]
         return any(x in waiting for x in ")]”»") and bool(open_at_end(tail)) and n > 3
-    if ITEM.match(last) or len(lines) >= 3 and all(len(x.split()) <= 6 for x in lines):
+    if ITEM in stack or len(lines) >= 3 and all(len(x.split()) <= 6 for x in lines):
         # a list of short items needs no mark; items in sentences do
-        others = [x for x in lines[:-1] if ITEM.match(x)]
-        if not others or not all(SENTENCE_END.search(x.strip()) and len(x.split()) >= 6 for x in others):
+        others = items[:-1] if ITEM in stack else items
+        if not others or not all(SENTENCE_END.search(x.strip()) and len(x.split()) >= 5 for x in others):
             return False
     if SIGNED.match(last) or len(lines) > 1 and n <= 4 and (LETTER.search(instruction) or SIGNED.match(lines[-2].strip())):
         return False
     body = bare[: -len(last)] if len(lines) > 1 else ""
     sentences = len(SENTENCE_END.findall(body + last))
-    if waiting and any(x in waiting for x in (")", "]", "”", "»", '"')) and n > 2:
+    if any(x in waiting for x in (")", "]", "”", "»", '"', "**")) and n > 2:
         return True
     if last.endswith((",", ";", "-", "–", "—", ":")) and n >= 3:
         return True
     if sentences:
         return n > 0
     # no sentence has ended: a short answer, a title, or one sentence cut off
+    if SENTENCES.search(instruction) and not OPTIONS.search(instruction) and not _titled(last):
+        return True
     return n >= 6 and any(w.islower() for w in last.split()[1:]) and not _titled(last)
 
 
@@ -334,6 +396,9 @@ def defect(field: LanguageModel, instruction: str | None, given: str | None, out
         return "refusal", 1.0
     if is_copy(instruction, given, output):
         return "copy", 1.0
+    script, asked_script = script_of(output), script_of(instruction)
+    if script and asked_script and script != asked_script and not asks_language(instruction) and not (COPYING.search(instruction) and script_of(given) == script):
+        return "other_language", 1.0
     got, sure = language_of(field, output, 4)
     asked, sure_asked = _asked(field, instruction) if got else (None, 0.0)
     if asked and got and asked != got and sure > 0.9 and sure_asked > 0.5 and not asks_language(instruction):
@@ -370,7 +435,7 @@ def defects(df: DataFrame, samples: DataFrame, id_col: str = "row_id") -> DataFr
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         field, known = trained.value, {}
-        for frame in frames:
+        for frame in slices(frames, "output", 1 << 24):
             rows = []
             for i, *pair in zip(frame["id"], frame["instruction"], frame["input"], frame["output"]):
                 key = tuple(pair)

@@ -2,25 +2,21 @@
 
 ``statistics`` computes the published heuristics as Column expressions in one
 pass; ``rule_failures`` applies fixed thresholds and names each rule that
-fails. ``kinds`` weighs the lines of a text by the same signals (length,
-symbols, punctuation, bullets, common words, repetition) to tell lists, tables
-and junk from prose.
+fails. ``kinds`` tells lists, tables and junk from prose by fixed thresholds over
+the same statistics and, for texts that are no prose by them, over those of
+their lines (``signals``); each case comes with the rule that named it.
 """
 
 from __future__ import annotations
 
-import html
-import re
-import unicodedata
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import spread
-from .common import WORD
+from .common import slices
 from .mojibake import model, training_texts
 
 #: The commonest function words of the languages at hand.
@@ -47,30 +43,34 @@ def statistics(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     or of non-blank lines, and 0 where there are none. A null text counts as
     empty. All are Column expressions, so the scan is the only stage.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = df.select(F.col(id_col), text.alias("t")).select(
-        id_col,
-        "t",
-        F.filter(F.split(F.lower("t"), "[ \\t\\r\\n]+"), lambda w: w != "").alias("w"),
-        F.regexp_count("t", F.lit("(?:^|\\n)[ \\t]*[^ \\t\\r\\n]")).alias("n_lines"),
-    )
-    n, lines = F.size("w"), F.col("n_lines")
-
-    def share(part: Column, whole: Column) -> Column:
-        return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
-
-    return base.select(
-        id_col,
-        F.length("t").cast("long").alias("n_chars"),
-        n.cast("long").alias("n_words"),
-        share(F.length(F.array_join("w", "")), n).alias("mean_word_length"),
-        share(F.regexp_count("t", F.lit("#|\\.\\.\\.|…")), n).alias("symbol_ratio"),
-        lines.cast("long").alias("n_lines"),
-        share(F.regexp_count("t", F.lit("[.!?…][\"”»')]*[ \\t\\r]*(?:\\n|\\z)")), lines).alias("punctuated_lines"),
-        share(F.regexp_count("t", F.lit("(?:^|\\n)[ \\t]*[-•*–]")), lines).alias("bullet_lines"),
-        share(F.size(F.filter("w", lambda x: x.isin(COMMON_WORDS))), n).alias("common_words"),
-        share(F.size(F.array_distinct("w")), n).alias("distinct_words"),
+    return _measured(df.select(F.col(id_col), F.col(text_col).alias("_text")), "_text").select(id_col, *STATISTICS)
+
+
+STATISTICS = ("n_chars", "n_words", "mean_word_length", "symbol_ratio", "n_lines", "punctuated_lines", "bullet_lines", "common_words", "distinct_words")
+
+
+def _measured(df: DataFrame, text_col: str) -> DataFrame:
+    """``df`` with the statistics."""
+    base = df.withColumn("_s", F.coalesce(F.col(text_col), F.lit(""))).withColumns(
+        {"_v": F.filter(F.split(F.lower("_s"), "[ \\t\\r\\n]+"), lambda w: w != ""), "n_lines": F.regexp_count("_s", F.lit("(?:^|\\n)[ \\t]*[^ \\t\\r\\n]")).cast("long")}
     )
+    n, lines = F.size("_v"), F.col("n_lines")
+    return base.withColumns(
+        {
+            "n_chars": F.length("_s").cast("long"),
+            "n_words": n.cast("long"),
+            "mean_word_length": _share(F.length(F.array_join("_v", "")), n),
+            "symbol_ratio": _share(F.regexp_count("_s", F.lit("#|\\.\\.\\.|…")), n),
+            "punctuated_lines": _share(F.regexp_count("_s", F.lit("[.!?…][\"”»')]*[ \\t\\r]*(?:\\n|\\z)")), lines),
+            "bullet_lines": _share(F.regexp_count("_s", F.lit("(?:^|\\n)[ \\t]*[-•*–]")), lines),
+            "common_words": _share(F.size(F.filter("_v", lambda x: x.isin(COMMON_WORDS))), n),
+            "distinct_words": _share(F.size(F.array_distinct("_v")), n),
+        }
+    ).drop("_s", "_v")
+
+
+def _share(part: Column, whole: Column) -> Column:
+    return F.when(whole > 0, part / whole).otherwise(F.lit(0.0))
 
 
 #: Published fixed thresholds: (rule, least, most) of each statistic.
@@ -93,171 +93,167 @@ def rule_failures(stats: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------- kinds
 
-HIDDEN = re.compile("[\u0300-\u036f]")
-INVISIBLE = re.compile("[\u00ad\u200b-\u200f\u202a-\u202e\u2060\ufeff]")
-BULLET = re.compile(r"\s*(?:[-*•–—·▪◦+]\s+|\[[ xX]?\]\s*|\(?(?:\d{1,3}|[A-Za-z])[.)]\s+)")
-COUNTED = re.compile(r"\s*(?:\d+\s*[x×]\s+)?\S")
-EDGES = "([{<\"'“”„«»‹›‘’¡¿–—…*_#.,;:!?)]}>-"
-JOINERS = str.maketrans("", "", "'’·/-.,:%°£€$–—×")
-NUMBER = re.compile(r"\d+[^\W\d_]{0,2}")
-
-
-def plain(token: str) -> bool:
-    """Whether a blank-separated token is a word, a number, or a short mark."""
-    if token.isalpha():
-        return True
-    known = _KNOWN.get(token)
-    if known is None:
-        if len(_KNOWN) > 500_000:
-            _KNOWN.clear()
-        known = _KNOWN[token] = _plain(token)
-    return known
-
-
-_KNOWN: dict[str, bool] = {}
-
-
-def _plain(token: str) -> bool:
-    core = token.strip(EDGES)
-    if not core:
-        return len(token) <= 3
-    core = core.translate(JOINERS)
-    return core.isalpha() or NUMBER.fullmatch(core) is not None or not core and len(token) <= 3 or core in ("|", "&", "+", "=", "©", "±", "§", "•", "½")
-
-
-ENDING = re.compile(r"""[.!?…]["”»’')\]]*$""")
-STOP = re.compile(r"""[.!?…]["”»’')\]]*(?:\s|$)""")
-LONG = re.compile(r"\S{25,}")
-SEPARATORS = re.compile(r"\s*(?:\||>>|»|;|,|/|·|•|\n|\t)\s*")
-
-
-def _cells(line: str) -> str:
-    """The separator that cuts a line into cells, or ''."""
-    bare = line.strip()
-    if bare.count("|") >= 2 or re.search(r"\S \| \S", bare):
-        return "|"
-    if "\t" in bare:
-        return "\t"
-    if len(re.findall(r";(?=\S)", bare)) >= 1:
-        return ";"
-    if re.search(r"""["\w%)],(?=["\w(-])""", bare) and not re.fullmatch(r".*\d,\d{3}\b[^,]*", bare):
-        return ","
-    if re.search(r"\S {2,}\S", bare):
-        return "  "
-    return ""
-
-
-def kind_of(text: str | None) -> tuple[str | None, str]:
-    """('list' | 'table' | 'junk' | None, reason). None is prose, or too short to say."""
-    if text is None or len(text) < 60:
-        return None, "short"
-    if not text.isascii():
-        text = INVISIBLE.sub("", text).replace("\u00a0", " ")
-        if HIDDEN.search(text):
-            text = unicodedata.normalize("NFC", text)
-    if "&" in text:
-        text = html.unescape(text)
-    lines = [x for x in re.split("[\r\n\u2028\u2029]+", text) if x.strip()]
-    tokens = text.split()
-    if not tokens:
-        return "junk", "blank"
-    # symbols and long runs: tokens that are neither words nor numbers
-    odd = sum(len(t) for t in tokens if not plain(t))
-    size = sum(map(len, tokens))
-    # a row of cells is short: no table where the lines are paragraphs
-    cells = Counter(map(_cells, lines)) if len(lines) >= 3 and len(tokens) <= 30 * len(lines) else Counter()
-    if 2 * sum("{" in x and "}" in x for x in lines) >= len(lines):
-        return "junk", "code"
-    for sep, n in cells.most_common(2):
-        if sep and n >= 0.6 * len(lines) and _is_table(lines, sep):
-            return "table", "cells"
-    if odd > 0.45 * size:
-        return "junk", "symbols"
-    if sum(len(t) for t in tokens if LONG.fullmatch(t)) > 0.5 * size:
-        return "junk", "runs"
-    if len(tokens) >= 12 and len(set(tokens)) <= min(12, 0.3 * len(tokens)):
-        return "junk", "repetition"
-    # repetition: few distinct phrases, or few distinct words, and hardly a sentence
-    if len(tokens) >= 12 and 30 * len(STOP.findall(text)) <= len(tokens):
-        phrases = [p for p in SEPARATORS.split(re.sub(r"[ \t]+(?=[ \t])|[ \t]+(?=\n)", "", text.replace("\t", "|"))) if p.strip()]
-        if len(phrases) >= 8 and len(set(phrases)) <= 0.5 * len(phrases) and sum(len(p.split()) for p in phrases) <= 6 * len(phrases):
-            return "junk", "repetition"
-        if len(lines) < 3 and len(set(tokens)) <= 0.4 * len(tokens) and 60 * len(STOP.findall(text)) <= len(tokens):
-            return "junk", "repetition"
-    if len(lines) >= 3 and len(tokens) <= 12 * len(lines) and _is_list(lines):
-        return "list", "items"
-    return None, "prose"
-
-
-def _is_table(lines: list[str], sep: str) -> bool:
-    rows = [x for x in lines if _cells(x) == sep]
-    if sep == "  ":
-        parts = [re.split(r" {2,}", x.strip()) for x in rows]
-    else:
-        parts = [x.strip().strip("|").split(sep) for x in rows]
-    widths = Counter(map(len, parts))
-    width, n = widths.most_common(1)[0]
-    longest = [max((len(c.split()) for c in p), default=0) for p in parts]
-    return width >= 2 and n >= 0.6 * len(rows) and sum(x <= 6 for x in longest) >= 0.8 * len(rows)
-
-
-def _is_list(lines: list[str]) -> bool:
-    """Most of the text stands in short items, one per line; a heading or one
-    leading sentence is left out of the count."""
-    first = lines[0].strip()
-    if len(lines) > 4 and (len(first.split()) <= 8 or len(STOP.findall(first)) <= 1):
-        lines = lines[1:]
-    bullets = [bool(BULLET.match(x)) for x in lines]
-    items = total = 0
-    marked = sum(bullets) >= 0.5 * len(lines)
-    for k, line in enumerate(lines):
-        bare = line.strip()
-        n = len(bare.split())
-        total += len(bare)
-        if marked:
-            # an item is short or no sentence
-            if bullets[k] and (n <= 9 or not STOP.search(bare)):
-                items += len(bare)
-        elif n <= 6 and not re.search(r"[.!?…]\s+\S", bare) and not _runs_on(lines, k):
-            items += len(bare)
-    return items > 0.6 * total
-
-
-def _runs_on(lines: list[str], k: int) -> bool:
-    """Whether a line is part of a wrapped sentence: it breaks off where the
-    next begins in lower case, or begins so after one that breaks off."""
-    bare = lines[k].strip()
-    words = len(bare.split())
-    if ENDING.search(bare) and words >= 5:
-        return True
-    if bare.endswith(",") and words >= 4:
-        return True
-    return len(bare) >= 32 and words >= 5
+#: Marks that stand at the edges of a word, and those that stand inside one.
+_EDGE = r"(\[{<\"'“”„«»‹›‘’¡¿–—…*_#.,;:!?)\]}>\-"
+_JOIN = r"'’·/\-.,:%°£€$–—×"
+#: A word or number in its marks, up to three marks alone, or a lone sign. The
+#: quantifiers are possessive, so a long token costs one pass.
+PLAIN = (
+    rf"(?<![^ \t\n])(?:[{_EDGE}]*+(?:(?=[{_JOIN}]*+[\p{{L}}\p{{M}}])[\p{{L}}\p{{M}}{_JOIN}]++|[\p{{Nd}}{_JOIN}]++[\p{{L}}{_JOIN}]{{0,2}}+|[|&+=©±§•½])[{_EDGE}]*+|[{_EDGE}{_JOIN}]{{1,3}}+)(?![^ \t\n])"
+)
+STOP = r"[.!?…][\"”»’')\]]*+(?=[ \t\n]|\z)"
+BULLET = r"^[ \t]*(?:[-*•–—·▪◦+][ \t]+|\[[ xX]?\][ \t]*|\(?(?:\p{Nd}{1,3}|[A-Za-z])[.)][ \t]+)"
+#: What cuts a line into cells, the first that holds: (name, the line has it, its places, seven words without it).
+CELLS = (
+    ("bar", r"\|[^|]*\||[^ \t] \| [^ \t]", r"\|", r"(?<![^ \t|])[^ \t|]++(?:[ \t]++[^ \t|]++){6}"),
+    ("tab", r"[^ \t] *\t[ \t]*[^ \t]", r"\t", r"(?<![^ \t])[^ \t]++(?: ++[^ \t]++){6}"),
+    ("semicolon", r";[^ \t]", r";", r"(?<![^ \t;])[^ \t;]++(?:[ \t]++[^ \t;]++){6}"),
+    ("comma", r"(?U)[\"\w%)],(?=[\"\w(-])(?!(?<=\d,)\d{3}\b[^,]*$)", r",", r"(?<![^ \t,])[^ \t,]++(?:[ \t]++[^ \t,]++){6}"),
+    ("gap", r"[^ \t] {2,}[^ \t]", r" {2,}", r"(?<![^ \t])[^ \t]++(?: [^ \t]++){6}"),
+)
+SEPARATORS = r"[ \t]*(?:\||>>|»|;|,|/|·|•|\n|\t)[ \t\n]*"
+
+#: Fixed thresholds: a text that keeps both is running prose and is not looked at by lines.
+PROSE = "common_words >= 0.2 and punctuated_lines >= 0.6"
+#: Fixed thresholds: the first rule that holds names kind and reason. Statistics are those of ``signals``.
+KIND_RULES = (
+    ("junk", "blank", "n_words = 0"),
+    ("junk", "code", "code_lines >= 0.5"),
+    ("table", "cells", "n_lines >= 3 and n_words <= 30 * n_lines and cell_lines >= 0.6 and even_rows >= 0.6 and short_rows >= 0.8"),
+    ("junk", "symbols", "odd_characters > 0.45"),
+    ("junk", "runs", "long_runs > 0.5"),
+    ("junk", "repetition", "n_words >= 12 and n_distinct <= least(12, 0.3 * n_words)"),
+    ("junk", "repetition", "n_words >= 12 and 30 * stops <= n_words and n_phrases >= 8 and distinct_phrases <= 0.5 and n_words <= 6 * n_phrases"),
+    ("junk", "repetition", "n_words >= 12 and 60 * stops <= n_words and n_lines < 3 and n_distinct <= 0.4 * n_words"),
+    ("list", "items", "n_lines >= 3 and n_words <= 12 * n_lines and item_characters > 0.6"),
+)
+
+
+def plain_text(text: Column) -> Column:
+    """``text`` without invisible characters, with entities read, blanks of any
+    kind as the blank and line ends of any kind as one newline."""
+    c = F.regexp_replace(text, "[\\u00ad\\u200b-\\u200f\\u202a-\\u202e\\u2060\\ufeff]", "")
+    c = F.regexp_replace(c, "&nbsp;|&#160;|[\\x0b\\x0c\\x1c-\\x1f\\x85\\u00a0\\u1680\\u2000-\\u200a\\u202f\\u205f\\u3000]", " ")
+    for name, mark in (("quot|#34|apos|#39", '"'), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        c = F.regexp_replace(c, f"&(?:{name});", mark)
+    # any other entity stands for a letter or a mark inside a word
+    c = F.regexp_replace(c, "&(?:#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,30});", "e")
+    return F.regexp_replace(c, "[\\r\\n\\u2028\\u2029]+", "\n")
+
+
+def _sum(xs: Column) -> Column:
+    return F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+
+
+def _bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value computed once: as a lambda variable, as the
+    optimizer may else put its expression into a lambda, once an element."""
+    return F.transform(F.array(value), use)[0]
+
+
+def _n_words(line: Column) -> Column:
+    return F.regexp_count(line, F.lit("[^ \\t]+"))
+
+
+def signals(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with the statistics of ``KIND_RULES``: of length, symbols,
+    punctuation, bullets, cells and repetition, all Column expressions.
+
+    n_words, n_distinct, n_lines, stops (marks that end a sentence), n_phrases
+    (between separators); shares of lines: code_lines, cell_lines; of the lines
+    cut by the commonest separator: even_rows (as many cells as most of them),
+    short_rows (no cell of seven words); of characters: odd_characters (in
+    neither words nor numbers), long_runs (of 25 characters without a blank),
+    item_characters (in short items, one a line); and distinct_phrases.
+    """
+    c = F.col
+    base = df.withColumn("_t", plain_text(c(text_col)))
+    base = base.withColumns(
+        {
+            "_w": F.filter(F.split("_t", "[ \\t\\n]+"), lambda w: w != ""),
+            "_l": F.filter(F.transform(F.split("_t", "\\n"), lambda x: F.trim(F.regexp_replace(x, "^[ \\t]+|[ \\t]+$", ""))), lambda x: x != ""),
+            "_p": F.filter(F.split("_t", SEPARATORS), lambda x: x.rlike("[^ \\t\\n]")),
+        }
+    )
+    kind_of_line = None
+    for name, has, _, _ in reversed(CELLS):
+        kind_of_line = (lambda rest, name, has: lambda x: F.when(x.rlike(has), name).otherwise(rest(x) if rest else F.lit("")))(kind_of_line, name, has)
+    base = base.withColumns({"n_words": F.size("_w"), "n_lines": F.size("_l"), "n_distinct": F.size(F.array_distinct("_w")), "_c": F.transform("_l", kind_of_line)})
+    # a separator that cuts 0.6 of the lines is the commonest
+    sep = F.lit(None).cast("string")
+    for name, _, _, _ in CELLS:
+        sep = F.when(F.size(F.filter("_c", lambda x: x == name)) >= 0.6 * c("n_lines"), name).otherwise(sep)
+    base = base.withColumn("_sep", sep)
+    rows = _bound(F.struct("_c", "_sep"), lambda b: F.filter("_l", lambda x, i: b["_c"][i] == b["_sep"]))
+    bars = F.transform(c("_r"), lambda x: F.regexp_replace(x, "^\\|+|\\|+$", ""))
+    width = short = None
+    for name, _, place, wordy in CELLS:
+        w = F.transform(bars, lambda x: F.least(F.regexp_count(x, F.lit(place)) + 1, F.lit(64)))
+        s = F.size(F.filter(bars, lambda x: ~x.rlike(wordy)))
+        width = F.when(c("_sep") == name, w) if width is None else width.when(c("_sep") == name, w)
+        short = F.when(c("_sep") == name, s) if short is None else short.when(c("_sep") == name, s)
+    base = base.withColumn("_r", rows).withColumns({"_width": width, "_short": short})
+    # (rows, cells) of the commonest number of cells, at most 64 numbers
+    most = _bound(c("_width"), lambda w: F.array_max(F.transform(F.array_distinct(w), lambda v: F.struct(F.size(F.filter(w, lambda y: y == v)).alias("n"), v.alias("cells")))))
+    base = base.withColumns({"_most": most, "_headed": (c("n_lines") > 4) & ((_n_words(F.get("_l", F.lit(0))) <= 8) | (F.regexp_count(F.get("_l", F.lit(0)), F.lit(STOP)) <= 1))})
+    base = base.withColumn("_i", F.when(c("_headed"), F.slice("_l", F.lit(2), F.greatest(c("n_lines"), F.lit(1)))).otherwise(c("_l")))
+    base = base.withColumn("_marked", F.size(F.filter("_i", lambda x: x.rlike(BULLET))) >= 0.5 * F.size("_i"))
+
+    def item(x: Column, marked: Column) -> Column:
+        n = _n_words(x)
+        # part of a wrapped sentence: ended, or broken off after a comma, or long
+        runs_on = (x.rlike("[.!?…][\"”»’')\\]]*$") & (n >= 5)) | (x.endswith(",") & (n >= 4)) | ((F.length(x) >= 32) & (n >= 5))
+        return F.when(marked, x.rlike(BULLET) & ((n <= 9) | ~x.rlike(STOP))).otherwise((n <= 6) & ~x.rlike("[.!?…][ \\t]+[^ \\t]") & ~runs_on)
+
+    size = F.length(F.regexp_replace("_t", "[ \\t\\n]+", ""))
+    left = lambda pattern: F.length(F.regexp_replace(F.regexp_replace("_t", pattern, ""), "[ \\t\\n]+", ""))
+    return base.withColumns(
+        {
+            "stops": F.regexp_count("_t", F.lit(STOP)),
+            "code_lines": _share(F.size(F.filter("_l", lambda x: x.contains("{") & x.contains("}"))), c("n_lines")),
+            "cell_lines": F.when(c("_sep").isNotNull(), _share(F.size("_r"), c("n_lines"))).otherwise(0.0),
+            "even_rows": F.when(c("_most.cells") >= 2, _share(c("_most.n"), F.size("_r"))).otherwise(0.0),
+            "short_rows": F.when(c("_sep").isNotNull(), _share(c("_short"), F.size("_r"))).otherwise(0.0),
+            "odd_characters": _share(left(PLAIN), size),
+            "long_runs": F.lit(1.0) - _share(left("(?<![^ \\t\\n])[^ \\t\\n]{25,}+"), size),
+            "n_phrases": F.size("_p"),
+            "distinct_phrases": _share(F.size(F.array_distinct("_p")), F.size("_p")),
+            "item_characters": _share(_sum(F.transform(_bound(c("_marked"), lambda m: F.filter("_i", lambda x: item(x, m))), lambda x: F.length(x))), _sum(F.transform("_i", lambda x: F.length(x)))),
+        }
+    ).drop("_t", "_w", "_l", "_p", "_c", "_sep", "_r", "_width", "_short", "_most", "_headed", "_i", "_marked")
+
+
+def with_kinds(df: DataFrame, text_col: str = "text") -> DataFrame:
+    """``df`` with ``kind`` ('list', 'table', 'junk', null for prose) and
+    ``reason`` (what the rule that held looks at). Null texts and texts of
+    fewer than 60 characters are null in both. One pass, no shuffle."""
+    measured = _measured(df.select("*", F.when(F.length(text_col) >= 60, F.col(text_col)).alias("_text")), "_text").drop(*[n for n in STATISTICS if n not in ("common_words", "punctuated_lines")])
+    open_ = measured.withColumn("_open", F.when(~F.expr(PROSE), F.col("_text")))
+    looked = signals(open_.drop("common_words", "punctuated_lines", "_text"), "_open")
+    found = F.lit(None).cast("struct<kind:string,reason:string>")
+    for kind, reason, rule in reversed(KIND_RULES):
+        found = F.when(F.expr(rule), F.struct(F.lit(kind).alias("kind"), F.lit(reason).alias("reason"))).otherwise(found)
+    decided = looked.withColumn("_k", F.when(F.col("_open").isNotNull(), found))
+    return decided.select(*df.columns, F.col("_k.kind").alias("kind"), F.col("_k.reason").alias("reason"))
 
 
 def kinds(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, kind, reason) of the texts of 60 characters or more that are mostly
     not running prose; texts that look odd for being wrongly decoded are none.
-    Null and shorter texts and null ids have no row; each row of ``df`` is judged alone."""
+    Null and shorter texts and null ids have no row; each row of ``df`` is judged alone.
+
+    Only the texts with odd characters go to a kernel, which asks the
+    classifier of wrong encodings whether that is why.
+    """
     clean = training_texts(samples)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         garbled = model(clean)
-        for frame in frames:
-            rows = [(i, *judged(t, garbled)) for i, t in zip(frame["id"], frame["text"])]
-            yield pd.DataFrame([r for r in rows if r[1]], columns=["id", "kind", "reason"])
+        for frame in slices(frames, "text", 1 << 24):
+            kept = [k is not None and not (t is not None and garbled.judge(t)[0]) for k, t in zip(frame["kind"], frame["text"])]
+            yield frame.loc[kept, ["id", "kind", "reason"]]
 
     kind = df.schema[id_col].dataType.simpleString()
-    slim = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))).filter("id is not null and length(text) >= 60")
-    return slim.mapInPandas(run, f"id {kind}, kind string, reason string").withColumnRenamed("id", id_col)
-
-
-def judged(text: str | None, garbled) -> tuple[str | None, str]:
-    kind, reason = kind_of(text)
-    if kind == "junk" and reason == "symbols" and garbled.judge(text)[0]:
-        return None, "garbled"
-    return kind, reason
-
-
-def n_words(text: str) -> int:
-    return len(WORD.findall(text))
+    slim = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null"))
+    decided = with_kinds(slim).select("id", "kind", "reason", F.when(F.col("reason") == "symbols", F.col("text")).alias("text"))
+    return decided.mapInPandas(run, f"id {kind}, kind string, reason string").withColumnRenamed("id", id_col)

@@ -315,9 +315,13 @@ LANGUAGE_NAMES = {
 }
 
 
+#: A label: the language, then region or script after a separator or in brackets.
+LABEL = r"([a-z]+)(?:[-_ ][a-z0-9()]+)*"
+
+
 def lang_key(column: str) -> "F.Column":
     """The two-letter code of a label in any spelling; null where it is missing
     or names no known language. A region is left out."""
-    first = F.regexp_extract(F.lower(F.trim(F.col(column))), "^([a-z]+)(?:[-_][a-z0-9]+)*$", 1)
+    first = F.regexp_extract(F.lower(F.trim(F.col(column))), f"^{LABEL}$", 1)
     known = F.create_map(*[F.lit(x) for code, names in LANGUAGE_NAMES.items() for n in names for x in (n, code)])
     return F.try_element_at(known, first)

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from corpusforge.llm import langid, mojibake, pairs, quality
@@ -51,6 +52,28 @@ def test_sound_text_is_left_alone(garbled, text):
     assert not garbled.judge(text)[0]
 
 
+def test_the_classifier_decides(garbled):
+    """Without its weights nothing is found, and with weights shuffled over classes or features less than half."""
+    import copy
+
+    texts = [mojibake.garble(" ".join(v), chain) for v in SAMPLES.values() for chain in mojibake.MULTI[:6]]
+    texts = [t for t in texts if t is not None and not t.isascii()]
+    assert all(garbled.judge(t)[0] for t in texts)
+    rng = np.random.default_rng(1)
+    for weights in (np.zeros_like(garbled.weights), rng.permuted(garbled.weights, axis=0), rng.permuted(garbled.weights, axis=1)):
+        other = copy.copy(garbled)
+        other.weights, other.known, other.alone = weights, {}, {}
+        assert sum(other.judge(t)[0] for t in texts) < 0.5 * len(texts)
+
+
+def test_training_words_hold_every_script():
+    """Thousands of Latin words leave room for the Cyrillic ones."""
+    clean = [f"é{k}wörter" for k in range(6000)] + SAMPLES["ru"]
+    model = mojibake.GarbleModel(clean)
+    bad = mojibake.garble(" ".join(SAMPLES["ru"]), (("cp1251", "latin-1"),))
+    assert model.judge(bad)[0] and "cp1251" in str(mojibake.CHAINS[model.judge(bad)[2] - 1])
+
+
 def test_lost_characters_are_a_case(garbled):
     assert garbled.judge("Cet �t�")[0] and garbled.judge("it\x80\x99s")[0]
 
@@ -66,30 +89,42 @@ def test_repairs(spark, samples):
 PROSE = "The young baker opened the old window because the rain had stopped. After the storm we walked along the river and counted the boats. What the farmer carried was not a heavy basket but a small letter."
 
 
-@pytest.mark.parametrize(
-    ("text", "kind"),
-    [
-        (PROSE, None),
-        (PROSE.upper(), None),
-        (PROSE.replace(". ", ".\n"), None),
-        ("\n".join(PROSE[i : i + 40] for i in range(0, len(PROSE), 40)), None),
-        (PROSE + "\n- jar\n- old dam", None),
-        ("- red jar\n- old dam\n- bell\n- the quiet well\n- a candle\n- spade\n- lantern of tin", "list"),
-        ("A sentence that leads into the things below it.\n\n1. jar\n2. dam\n3. bell\n4. well\n5. tin lantern\n6. old rope\n7. sharp spade\n8. cup", "list"),
-        ("a|b|c\n1|2|3\nx y|z|w\n4|5|6\nlong name|other name|third name here", "table"),
-        ("Name;Town;Price\njar;Ash;12\ndam;Elm;30\nbell;Oak;41\nwell;Fir;7\nrope;Yew;19", "table"),
-        ("name   town   price\njar    Ash    12\ndam    Elm    30\nbell   Oak    41\nwell   Fir    99", "table"),
-        ("#### <<<< ~~~~ ==== !!!! @@@@ ***** ____ %%%% ^^^^ ++++ //// ---- |||| >>>>", "junk"),
-        ("old jar | red dam | old jar | red dam | red dam | old jar | old jar | red dam | old jar", "junk"),
-        ("aGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8gd29ybGQ= aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ", "junk"),
-        ("too short", None),
-        ("", None),
-        (None, None),
-        (" " * 100, "junk"),
-    ],
-)
-def test_kinds(text, kind):
-    assert quality.kind_of(text)[0] == kind
+KINDS = [
+    (PROSE, None),
+    (PROSE.upper(), None),
+    (PROSE.replace(". ", ".\n"), None),
+    ("\n".join(PROSE[i : i + 40] for i in range(0, len(PROSE), 40)), None),
+    (PROSE + "\n- jar\n- old dam", None),
+    ("- red jar\n- old dam\n- bell\n- the quiet well\n- a candle\n- spade\n- lantern of tin", "list"),
+    ("A sentence that leads into the things below it.\n\n1. jar\n2. dam\n3. bell\n4. well\n5. tin lantern\n6. old rope\n7. sharp spade\n8. cup", "list"),
+    ("a|b|c\n1|2|3\nx y|z|w\n4|5|6\nlong name|other name|third name here", "table"),
+    ("Name;Town;Price\njar;Ash;12\ndam;Elm;30\nbell;Oak;41\nwell;Fir;7\nrope;Yew;19", "table"),
+    ("name   town   price\njar    Ash    12\ndam    Elm    30\nbell   Oak    41\nwell   Fir    99", "table"),
+    ("#### <<<< ~~~~ ==== !!!! @@@@ ***** ____ %%%% ^^^^ ++++ //// ---- |||| >>>>", "junk"),
+    ("old jar | red dam | old jar | red dam | red dam | old jar | old jar | red dam | old jar", "junk"),
+    ("aGVsbG8gd29ybGQgaGVsbG8gd29ybGQgaGVsbG8gd29ybGQ= aGVsbG8gd29ybGQgaGVsbG8gd29ybGQ", "junk"),
+    ("too short", None),
+    ("", None),
+    (None, None),
+    (" " * 100, "junk"),
+]
+
+
+def test_kinds(spark):
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(KINDS)], "doc_id long, text string")
+    got = {r.doc_id: (r.kind, r.reason) for r in quality.with_kinds(df).collect()}
+    assert {i: k for i, (k, _) in got.items()} == {i: k for i, (_, k) in enumerate(KINDS)}
+    # every case has the rule that named it, prose has none
+    assert all((k is None) == (r is None) for k, r in got.values())
+    assert {r for _, r in got.values()} - {None} <= {r for _, r, _ in quality.KIND_RULES}
+
+
+def test_long_texts_do_not_upset_the_patterns(spark):
+    """A million characters in one token, in one line, and in many lines."""
+    rows = [(1, "#" * 1_000_000), (2, "a(b" * 300_000), (3, "jar | dam\n" * 100_000), (4, PROSE * 5000), (5, "item\n" * 200_000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.kind for r in quality.with_kinds(df).collect()}
+    assert got[1] == got[2] == "junk" and got[3] in ("table", "junk") and got[4] is None
 
 
 def test_kinds_of_a_frame(spark, samples):
@@ -118,16 +153,43 @@ def test_code_switched_text(field):
 
 def test_windows_agree_with_one_pass(field, monkeypatch):
     found, starts = langid.units(" ".join([*SAMPLES["en"], *SAMPLES["fr"]] * 30))
-    whole = field.label([(found, starts)])[0].argmax(1)
-    monkeypatch.setattr(langid, "WINDOW", 200)
-    assert (field.label([(found, starts)])[0].argmax(1) == whole).mean() > 0.99
+    whole = field.label([(found, starts), (found[:50], starts[:50])])
+    for size in (200, 37, 1):
+        monkeypatch.setattr(langid, "WINDOW", size)
+        parts = field.label([(found, starts), (found[:50], starts[:50])])
+        assert all(np.allclose(a, b, atol=2e-3) for a, b in zip(parts, whole))
+
+
+def test_a_switch_inside_a_sentence(field):
+    """No mark between the languages, and both are found, each from its first word to its last."""
+    parts = [langid.units(" ".join(SAMPLES[g]).replace(".", "").replace(",", ""))[0] for g in ("de", "ru")]
+    found = [w for p in parts for w in p]
+    starts = np.zeros(len(found), bool)
+    starts[0] = True
+    prob = field.label([(found, starts)])[0]
+    assert {x[0] for x in langid.mixture(found, starts, prob, field.languages, least=15)} == {"de", "ru"}
+    got = langid.segments(found, prob, field.languages)
+    assert [g[2] for g in got] == ["de", "ru"] and abs(got[0][1] - len(parts[0])) <= 1
+
+
+def test_twenty_short_words_count(spark, samples):
+    """Twenty words of one letter are 39 characters."""
+    text = " ".join("вкосуиаявкосуиаявкос")
+    got = langid.corrections(spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string"), samples).collect()
+    assert [tuple(r) for r in got] == [(1, "ru")]
+
+
+@pytest.mark.parametrize(("label", "code"), [("English (US)", "en"), ("de_AT", "de"), ("POR", "pt"), (" fr ", "fr"), ("xx", None), ("", None), (None, None), ("e n", None)])
+def test_one_rule_for_labels(spark, label, code):
+    from corpusforge.llm.tokens import lang_key
+
+    assert langid.label_code(label) == code
+    assert spark.createDataFrame([(label,)], "lang string").select(lang_key("lang")).first()[0] == code
 
 
 def test_forward_backward_against_enumeration(field):
     import itertools
 
-    import numpy as np
-
     found, starts = langid.units("The Bäcker la. ventana")
     e, k = field.emissions(found).astype(float), len(field.languages)
     total = np.zeros((len(found), k))
@@ -167,6 +229,14 @@ ANSWER = "The young baker opened the old window. After the storm we walked along
         ("Tell me about the baker.", "", ANSWER[:-14], "truncated"),
         ("Tell me about the baker.", "", "The young baker opened the old window. After the storm (see", "truncated"),
         ("Write code.", "", "Here it is:\n```python\nx = 1", "truncated"),
+        ("Tell me about the baker.", "", "I'd rather not respond to this one. You may want to talk to a mason instead.", "refusal"),
+        ("Tell me about the baker.", "", "Kann ich leider nicht beantworten.", "refusal"),
+        ("Tell me about the baker.", "", "N/A" + "." * 400, "empty"),
+        ("Tell me about the baker.", "", "The young ba", "truncated"),
+        ("Tell me about the baker.", "", "The <b>young baker opened the old window.", "truncated"),
+        ("Tell me about the baker.", "", "The <b>young</b> baker opened the **old** window.<br>", None),
+        ("Tell me about the baker.", "", "1. The young baker opened the window.\n2. After the storm we walked home.\n3. What the farmer", "truncated"),
+        ("Tell me about the baker.", "", "Да, конечно", "other_language"),
         (LIST_TASK, "", "- Old jar\n- Red dam\n- Bell", None),
         (LIST_TASK, "", "Old jar\nRed dam\nBell", None),
         (CHOICE, "", "B)", None),
@@ -247,3 +317,26 @@ def test_repairs_of_numeric_entities(spark, samples):
     """ASCII texts whose wrongly decoded characters are numeric entities, decimal and hexadecimal."""
     df = spark.createDataFrame([(1, "Der B&#195;&#164;cker"), (2, "Der B&#xC3;&#xa4;cker"), (3, "Der B&Atilde;&curren;cker"), (4, "one &#38; two &#8212; three"), (5, "AT&T; plain")], "doc_id long, text string")
     assert {r.doc_id: r.text for r in mojibake.repairs(df, samples).collect()} == dict.fromkeys((1, 2, 3), "Der Bäcker")
+
+
+def test_whatever_the_grammar_accepts_is_a_refusal():
+    """No first look stands before the grammar."""
+    for text in ("Kann ich leider nicht beantworten.", "Dabei kann ich nicht helfen.", "I’m unable to help with this request.", "Regrettably, I’d rather not respond to this one."):
+        assert pairs.REFUSAL.match(text) and pairs.is_refusal("Write a poem.", text)
+
+
+@pytest.mark.parametrize(
+    ("text", "waiting", "items"),
+    [
+        ("a (b [c) d", [], 0),
+        ("a (b", [")"], 0),
+        ("```\n( [ <b>\n```", [], 0),
+        ("- one (two\n- three", [], 2),
+        ("1. **one**\n2. **two", ["**"], 2),
+        ("<p>a <i>b</i>", ["</p>"], 0),
+        ("a) b) :)", [], 1),
+        ("", [], 0),
+    ],
+)
+def test_pushdown_parser(text, waiting, items):
+    assert pairs.open_at_end(text) == waiting and len(pairs.parse(text)[1]) == items
