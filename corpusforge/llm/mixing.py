@@ -14,8 +14,9 @@ from .common import source_key
 from .tokens import source_totals
 
 
-def rates(counts: DataFrame, documents: DataFrame, configs: DataFrame, plans: DataFrame) -> DataFrame:
-    """(source, tokens, target_tokens, max_repeats, rate, reachable) of each config.
+def rates(counts: DataFrame, configs: DataFrame, plans: DataFrame) -> DataFrame:
+    """(source, n_documents, tokens, target_tokens, max_repeats, rate, reachable)
+    of each config; ``counts`` has doc_id, n_tokens and key, the ``source_key``.
 
     The budget is the sum of ``plans.target_tokens``; a source's target is that
     of its plan, else its ``ratio`` of the budget. A source without tokens has
@@ -23,7 +24,7 @@ def rates(counts: DataFrame, documents: DataFrame, configs: DataFrame, plans: Da
     """
     budget = plans.agg(F.coalesce(F.sum("target_tokens"), F.lit(0)).alias("budget"))
     goal = plans.groupBy(source_key("name").alias("plan_key")).agg(F.sum("target_tokens").alias("planned"))
-    totals = source_totals(counts, documents, configs)
+    totals = source_totals(counts, configs)
     return (
         configs.select(F.col("name").alias("source"), "ratio", F.coalesce("max_repeats", F.lit(1)).alias("max_repeats"))
         .join(totals, "source")
@@ -42,7 +43,7 @@ def rates(counts: DataFrame, documents: DataFrame, configs: DataFrame, plans: Da
     )
 
 
-def copies(counts: DataFrame, documents: DataFrame, rated: DataFrame, seed: int = 42) -> DataFrame:
+def copies(counts: DataFrame, rated: DataFrame, seed: int = 42) -> DataFrame:
     """(doc_id, source, n_tokens, n_copies): every document of a rated source
     with the number of times it is used, 0 included.
 
@@ -50,10 +51,9 @@ def copies(counts: DataFrame, documents: DataFrame, rated: DataFrame, seed: int
     [0, 1), is below the fraction; never above ``max_repeats``.
     """
     draw = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 52)) / F.lit(float(1 << 52))
-    slim = documents.select("doc_id", source_key("source").alias("key")).filter("key is not null")
     few = rated.select("source", source_key("source").alias("key"), "rate", "max_repeats")
     return (
-        slim.join(counts.select("doc_id", "n_tokens"), "doc_id")
+        counts.filter("key is not null")
         .join(few, "key")
         .withColumn("n_copies", F.least(F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("int"), F.col("max_repeats")).cast("int"))
         .select("doc_id", "source", "n_tokens", "n_copies")

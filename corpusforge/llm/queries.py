@@ -20,10 +20,14 @@ def _documents(spark: SparkSession, d: str) -> DataFrame:
 # ------------------------------------------------------- 1: token budgets
 
 
+def _counted(documents: DataFrame) -> DataFrame:
+    """Tokens of each document, with the key of its source."""
+    return tokens.token_counts(documents.withColumn("key", tokens.source_key("source")), keep=("key",))
+
+
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
     plans = table(spark, d, "source_plans")
-    documents = _documents(spark, d)
-    totals = tokens.source_totals(tokens.token_counts(documents), documents, plans)
+    totals = tokens.source_totals(_counted(_documents(spark, d)), plans)
     return totals.join(plans.select(F.col("name").alias("source"), "target_tokens"), "source").filter("tokens < target_tokens").select("source").distinct()
 
 
@@ -35,9 +39,9 @@ def p1_budget(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of each slice: source as named in the plans, language code, site."""
     documents, plans = _documents(spark, d), table(spark, d, "source_plans")
     named = plans.select(F.col("name").alias("plan"), tokens.source_key("name").alias("key"), "target_tokens")
-    slim = documents.select("doc_id", tokens.source_key("source").alias("key"), tokens.lang_key("lang").alias("lang"), tokens.domain_key("domain").alias("domain"))
+    slices = documents.withColumns({"key": tokens.source_key("source"), "lang": tokens.lang_key("lang"), "domain": tokens.domain_key("domain")})
     return (
-        slim.join(tokens.token_counts(documents), "doc_id")
+        tokens.token_counts(slices, keep=("key", "lang", "domain"))
         .groupBy("key", "lang", "domain")
         .agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("tokens"))
         .join(named, "key", "left")
@@ -139,24 +143,24 @@ def p7_round_trip(spark: SparkSession, d: str) -> DataFrame:
 # -------------------------------------------------------------- 8: mixing
 
 
-def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    documents, configs = _documents(spark, d), table(spark, d, "source_configs")
-    counts = tokens.token_counts(documents)
-    return counts, documents, mixing.rates(counts, documents, configs, table(spark, d, "source_plans")), configs
+def _rated(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    configs = table(spark, d, "source_configs")
+    counts = _counted(_documents(spark, d))
+    return counts, mixing.rates(counts, configs, table(spark, d, "source_plans")), configs
 
 
 def p8_found(spark: SparkSession, d: str) -> DataFrame:
-    return _rated(spark, d)[2].filter("not reachable").select("source").distinct()
+    return _rated(spark, d)[1].filter("not reachable").select("source").distinct()
 
 
 def p8_mix(spark: SparkSession, d: str) -> DataFrame:
-    counts, documents, rated, _ = _rated(spark, d)
-    return mixing.mix(mixing.copies(counts, documents, rated))
+    counts, rated, _ = _rated(spark, d)
+    return mixing.mix(mixing.copies(counts, rated))
 
 
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
-    counts, documents, rated, configs = _rated(spark, d)
-    return mixing.shares(mixing.copies(counts, documents, rated), rated, configs)
+    counts, rated, configs = _rated(spark, d)
+    return mixing.shares(mixing.copies(counts, rated), rated, configs)
 
 
 # ------------------------------------------------------ 9: wrong encoding
@@ -175,8 +179,8 @@ QUERIES: dict[str, Query] = {name: f for name, f in list(globals().items()) if n
 _COMMON = "[" + ",".join("'" + w.replace("'", "''") + "'" for w in quality.COMMON_WORDS) + "]"
 _STATISTICS = (
     "SELECT doc_id, length(t) AS n_chars, len(w) AS n_words, CASE WHEN len(w) > 0 THEN length(array_to_string(w, '')) / len(w) ELSE 0.0 END AS mean_word_length, "
-    "CASE WHEN len(w) > 0 THEN len(regexp_extract_all(t, '#|\.\.\.|…')) / len(w) ELSE 0.0 END AS symbol_ratio, n_lines, "
-    "CASE WHEN n_lines > 0 THEN len(regexp_extract_all(t, '[.!?…][\"”»'')]*[ \t\r]*(?:\n|\z)')) / n_lines ELSE 0.0 END AS punctuated_lines, "
+    "CASE WHEN len(w) > 0 THEN len(regexp_extract_all(t, '#|[.][.][.]|…')) / len(w) ELSE 0.0 END AS symbol_ratio, n_lines, "
+    "CASE WHEN n_lines > 0 THEN len(regexp_extract_all(t, '[.!?…][\"”»'')]*[ \t\r]*(?:\n|\\z)')) / n_lines ELSE 0.0 END AS punctuated_lines, "
     "CASE WHEN n_lines > 0 THEN len(regexp_extract_all(t, '(?:^|\n)[ \t]*[-•*–]')) / n_lines ELSE 0.0 END AS bullet_lines, "
     "CASE WHEN len(w) > 0 THEN len(list_filter(w, lambda x: list_contains(" + _COMMON + ", x))) / len(w) ELSE 0.0 END AS common_words, "
     "CASE WHEN len(w) > 0 THEN len(list_distinct(w)) / len(w) ELSE 0.0 END AS distinct_words "

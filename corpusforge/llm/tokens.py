@@ -33,8 +33,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Texts above this many characters are cut at safe boundaries before encoding.
 BLOCK = 1 << 16
 
-#: A single space between two visible characters: a piece always begins there.
-SAFE = regex.compile(r"(?<=\S) (?=\S)")
+#: Places where a piece always begins and the one before always ends: at a
+#: single blank or newline between visible characters, and between letters,
+#: digits and other marks, but for an apostrophe before a letter.
+SAFE = regex.compile(r"(?<=\S)[ \n](?=\S)|(?<=\p{L})(?=[^\s\p{L}])|(?<=\p{N})(?=[^\s\p{N}])|(?<=[^\s\p{L}\p{N}'])(?=[\p{L}\p{N}])")
 
 
 @lru_cache(maxsize=4)
@@ -48,9 +50,8 @@ def encoding(name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR) -> tiktoke
 def blocks(text: str, size: int = BLOCK) -> list[str]:
     """``text`` in runs of about ``size`` characters that can be encoded alone.
 
-    Each cut is before a single space between visible characters, where the
-    pattern always begins a piece, so the ids of the runs joined are the ids of
-    the text. A stretch without such a place stays whole.
+    Each cut is at a place of ``SAFE``, so the ids of the runs joined are the
+    ids of the text. A stretch without one is a single piece, or blanks.
     """
     parts, start = [], 0
     while len(text) - start > size:
@@ -125,6 +126,7 @@ class PieceTrie:
         self.bytes = {i: b for b, i in self.ranks.items()}
         self.tails = {b[k:] for b in self.ranks for k in range(len(b))}
         self.pairs: dict[tuple[int, int], bool] = {}
+        self.before, self.states = b"", [(-1, 0)]
 
     def fits(self, left: int, right: int) -> bool:
         known = self.pairs.get((left, right))
@@ -149,30 +151,33 @@ class PieceTrie:
             else:
                 raise ValueError("the vocabulary lacks single bytes")
 
-    def counts(self, pieces: list[bytes]) -> list[int]:
-        """Numbers of tokens of sorted distinct pieces."""
-        states, before, found = [(-1, 0)], b"", []
-        for piece in pieces:
-            shared, most = 0, min(len(piece), len(before))
-            while shared < most and piece[shared] == before[shared]:
+    def count(self, piece: bytes) -> int:
+        """Number of tokens of a piece; of what it shares with the piece asked
+        for before, the states are there, so sorted pieces walk the trie once."""
+        before, states = self.before, self.states
+        shared, most = 0, min(len(piece), len(before))
+        if piece[:most] == before[:most]:
+            shared = most
+        else:
+            while piece[shared] == before[shared]:
                 shared += 1
-            del states[shared + 1 :]
-            self.extend(piece, states)
-            before = piece
-            found.append(states[-1][1])
-        return found
+        del states[shared + 1 :]
+        self.extend(piece, states)
+        self.before = piece
+        return states[-1][1]
 
 
-def _postings(frame: pd.DataFrame, cutter: regex.Pattern, salts: int, chunk: int) -> pd.DataFrame:
+def _postings(frame: pd.DataFrame, cutter: regex.Pattern, salts: int, chunk: int, keep: tuple[str, ...]) -> pd.DataFrame:
     """One row a distinct piece of the frame's texts: the rows that hold it and
-    how often; and one row with the frame's ids, under a null piece."""
+    how often; and one row with the frame's ids and kept columns, under a null piece."""
     index: dict[str, int] = {}
     flat, sizes = [], []
     for text in frame["text"]:
         found = cutter.findall(text) if text else []
         sizes.append(len(found))
         flat.append(np.fromiter((index.setdefault(p, len(index)) for p in found), np.int64, len(found)))
-    rows = [(chunk, None, 0, np.asarray(frame["id"], np.int64).tobytes(), b"")]
+    kept = [[None if v is None else str(v) for v in frame[name]] for name in keep]
+    rows = [(chunk, None, 0, np.asarray(frame["id"], np.int64).tobytes(), b"", kept)]
     n = len(frame)
     keys, times = np.unique(np.concatenate(flat) * n + np.repeat(np.arange(n), sizes), return_counts=True)
     starts = np.searchsorted(keys, np.arange(len(index) + 1) * n)
@@ -180,35 +185,60 @@ def _postings(frame: pd.DataFrame, cutter: regex.Pattern, salts: int, chunk: int
     for piece, i in index.items():
         a, b = starts[i], starts[i + 1]
         raw = piece.encode("utf-8", "replace")
-        rows.append((chunk, raw, ((chunk >> 32) + chunk) % salts, np.diff(at[a:b], prepend=np.int32(0)).astype(np.int32).tobytes(), b"" if (times[a:b] == 1).all() else times[a:b].tobytes()))
-    return pd.DataFrame(rows, columns=["chunk", "piece", "salt", "rows", "times"])
+        rows.append((chunk, raw, ((chunk >> 32) + chunk) % salts, np.diff(at[a:b], prepend=np.int32(0)).astype(np.int32).tobytes(), b"" if (times[a:b] == 1).all() else times[a:b].tobytes(), None))
+    return pd.DataFrame(rows, columns=["chunk", "piece", "salt", "rows", "times", "kept"])
 
 
-def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, prefix: int = 3, salts: int = 4) -> DataFrame:
-    """(id, n_tokens): the exact number of tokens of each text.
+def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", name: str = "byte_bpe_50k", folder: str = TOKENIZER_DIR, prefix: int = 3, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(id, *keep, n_tokens): the exact number of tokens of each text.
 
     By partitioned tries of distinct pieces (see the module). ``id_col`` is an
     integer column; rows with a null id have none; an empty or null text has 0.
-    Repeated ids keep a row for each of their rows. ``salts`` spreads the postings of one
-    prefix, however frequent, over as many tasks.
+    Repeated ids keep a row for each of their rows. The columns of ``keep``
+    travel with the ids, as strings, so that totals by them need no join.
+
+    The postings of one prefix, however frequent, are spread over a number of
+    tasks that grows with the text, so a task's share of it does not.
     """
     spark = df.sparkSession
+    scanned = partitions(df.select(text_col), 1)
+    salts = max(4, scanned // 4)
+    # as many lanes as the text has partitions at least, so that a task's share stays the same as the corpus grows
+    lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * scanned)
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         cutter = regex.compile(PATTERN)
         # the same for a task that runs again
         first = TaskContext.get().partitionId() << 32
         for k, part in enumerate(slices(frames, "text", 1 << 24)):
-            yield _postings(part, cutter, salts, first + k)
+            yield _postings(part, cutter, salts, first + k, keep)
+
+    def pack(sums: dict[int, np.ndarray]) -> pd.DataFrame:
+        rows = []
+        for c, x in sums.items():
+            some = np.flatnonzero(x)
+            values = x[some] if 2 * len(some) < len(x) else x
+            # positions only where most of the chunk's rows are not touched here
+            wide = x.max(initial=0) >> 31
+            raw = values.astype(np.int64 if wide else np.int32).tobytes()
+            rows.append((c, None, some.astype(np.int32).tobytes(), raw, None) if values is not x else (c, None, b"", (b"8" if wide else b"4").ljust(8) + raw, None))
+        return pd.DataFrame(rows, columns=["chunk", "ids", "at", "part", "kept"])
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        trie: PieceTrie | None = None
+        """Token counts of a lane's pieces, which come sorted, met with their
+        postings: partial sums of each chunk's rows. Ids pass through."""
+        trie = PieceTrie(encoding(name, folder))
         sums: dict[int, np.ndarray] = {}
         for frame in frames:
-            trie = trie or PieceTrie(encoding(name, folder))
-            pieces = sorted(set(frame["piece"]))
-            tokens = dict(zip(pieces, trie.counts(pieces)))
+            known = frame["piece"].isna()
+            if known.any():
+                own = frame[known]
+                yield pd.DataFrame({"chunk": own["chunk"], "ids": own["rows"], "at": b"", "part": None, "kept": own["kept"]})
+                frame = frame[~known]
+            last, n = None, 0
             for chunk, piece, rows, times in zip(frame["chunk"], frame["piece"], frame["rows"], frame["times"]):
+                if piece != last:
+                    last, n = piece, trie.count(piece)
                 at = np.cumsum(np.frombuffer(rows, np.int32))
                 most = int(at[-1]) + 1
                 total = sums.get(chunk)
@@ -217,26 +247,16 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     if total is not None:
                         grown[: len(total)] = total
                     total = sums[chunk] = grown
-                total[at] += tokens[piece] * (np.frombuffer(times, np.int32) if times else 1)
+                total[at] += n * (np.frombuffer(times, np.int32) if times else 1)
             if sum(map(len, sums.values())) > 1 << 22:
                 yield pack(sums)
                 sums = {}
         if sums:
             yield pack(sums)
 
-    def pack(sums: dict[int, np.ndarray]) -> pd.DataFrame:
-        rows = []
-        for c, x in sums.items():
-            some = np.flatnonzero(x)
-            values = x[some] if 2 * len(some) < len(x) else x
-            # positions only where most of the chunk's rows are not touched here
-            wide = x.max(initial=0) >> 31
-            raw = values.astype(np.int64 if wide else np.int32).tobytes()
-            rows.append((c, None, some.astype(np.int32).tobytes(), raw) if values is not x else (c, None, b"", (b"8" if wide else b"4").ljust(8) + raw))
-        return pd.DataFrame(rows, columns=["chunk", "ids", "at", "part"])
-
     def join(frame: pd.DataFrame) -> pd.DataFrame:
-        ids = np.frombuffer(frame["ids"][frame["ids"].notna()].iloc[0], np.int64)
+        own = frame[frame["ids"].notna()].iloc[0]
+        ids = np.frombuffer(own["ids"], np.int64)
         total = np.zeros(len(ids), np.int64)
         for at, part in zip(frame["at"], frame["part"]):
             if not part:
@@ -245,51 +265,30 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 place = np.frombuffer(at, np.int32)
                 total[place] += np.frombuffer(part, np.int32 if len(part) == 4 * len(place) else np.int64)
             else:
-                # dense from the first row on; the length tells 4 from 8 bytes a row
+                # dense from the first row on; the first byte tells 4 from 8 bytes a row
                 wide = part[:1] == b"8"
                 x = np.frombuffer(part, np.int64 if wide else np.int32, offset=8)[: len(ids)]
                 total[: len(x)] += x
-        return pd.DataFrame({"id": ids, "n_tokens": total})
+        return pd.DataFrame({"id": ids} | {k: pd.Series(list(v), dtype=object) for k, v in zip(keep, own["kept"])} | {"n_tokens": total})
 
-    slim = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))).filter("id is not null")
-    postings = slim.mapInPandas(cut, "chunk long, piece binary, salt int, rows binary, times binary")
-    # as many lanes as the text has partitions at least, so that a task's share stays the same as the corpus grows
-    lanes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 2 * partitions(df.select(text_col), 1))
+    slim = spread(df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), *[F.col(k).cast("string").alias(k) for k in keep])).filter("id is not null")
+    postings = slim.mapInPandas(cut, "chunk long, piece binary, salt int, rows binary, times binary, kept array<array<string>>")
     # one exchange: pieces go by prefix and salt, a chunk's ids by the chunk
     key = F.when(F.col("piece").isNull(), F.xxhash64("chunk")).otherwise(F.xxhash64(F.substring("piece", 1, prefix), "salt"))
-    spreaded = postings.withColumn("lane", key).repartition(lanes, "lane").drop("lane")
-
-    def both(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def real() -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                known = frame["piece"].isna()
-                if known.any():
-                    ids.append(frame[known])
-                if not known.all():
-                    yield frame[~known]
+    lane = postings.withColumn("lane", key).repartition(lanes, "lane").drop("lane").sortWithinPartitions("piece")
+    sums = lane.mapInPandas(walk, "chunk long, ids binary, at binary, part binary, kept array<array<string>>")
+    kept = "".join(f"`{k}` string, " for k in keep)
+    return sums.groupBy("chunk").applyInPandas(join, f"id long, {kept}n_tokens long").withColumnRenamed("id", id_col)
 
-        ids: list[pd.DataFrame] = []
-        yield from walk(real())
-        for frame in ids:
-            yield pd.DataFrame({"chunk": frame["chunk"], "ids": frame["rows"], "at": b"", "part": None})
 
-    sums = spreaded.mapInPandas(both, "chunk long, ids binary, at binary, part binary")
-    return sums.groupBy("chunk").applyInPandas(join, "id long, n_tokens long").withColumnRenamed("id", id_col)
-
-
-def source_totals(counts: DataFrame, documents: DataFrame, names: DataFrame) -> DataFrame:
-    """(source, n_documents, tokens): the tokens of each name in ``names.name``.
+def source_totals(counts: DataFrame, names: DataFrame) -> DataFrame:
+    """(source, n_documents, tokens): the tokens of each name in ``names.name``,
+    from ``counts`` with ``key``, the documents' ``source_key``.
 
     Other spellings of a name belong to it; documents with a null source or
     one in no name are left out; a name without documents has 0.
     """
-    totals = (
-        documents.select("doc_id", source_key("source").alias("key"))
-        .filter("key is not null")
-        .join(counts.select("doc_id", "n_tokens"), "doc_id")
-        .groupBy("key")
-        .agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("tokens"))
-    )
+    totals = counts.filter("key is not null").groupBy("key").agg(F.count(F.lit(1)).alias("n_documents"), F.sum("n_tokens").alias("tokens"))
     return (
         names.select(F.col("name").alias("source"), source_key("name").alias("key"))
         .join(totals, "key", "left")
