@@ -1,14 +1,14 @@
 """Evaluation texts inside training texts (problem 2).
 
 Each shard of the corpus becomes a sequence of word numbers and a suffix array
-over it, ordered by its first six words. Every suffix of every test item is
-looked up in every shard by binary search; the range found holds all places
+over it, ordered by its first six words, once. Every suffix of every test item
+is looked up in every shard by binary search; the range found holds all places
 that share its first words. Each place is extended to the longest verbatim
 match, and the passage around it is compared word by word, and by alignment
 where words were dropped or added, under the tolerance of the problem.
 
-The test items are the query set; they are collected in blocks of a bounded
-number of words, and the corpus is scanned once a block.
+The test items are the query set, cut into blocks of a bounded number of words;
+a shard takes one block after the other and holds one at a time.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from __future__ import annotations
 import unicodedata
 from collections import defaultdict
 from collections.abc import Iterator
+from copy import copy
 
 import numpy as np
 import pandas as pd
@@ -65,10 +66,11 @@ class Items:
                 blanks = tuple(np.cumsum([len(p) for p in parts[:-1]]).tolist())
                 by[tuple(flat), blanks].append(i)
         self.ids = [sorted(set(v)) for v in by.values()]
-        self.vocabulary: dict[str, int] = {}
-        texts = [np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in ws], np.int64) for ws, _ in by]
+        # words by their number in the block; a shard has numbers of its own
+        vocabulary: dict[str, int] = {}
+        texts = [np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in ws], np.int64) for ws, _ in by]
+        self.words = list(vocabulary)
         self.blanks = [set(b) for _, b in by]
-        self.texts = texts
         self.sizes = np.array([len(t) for t in texts], np.int64)
         pad = np.full(REACH + DEPTH + FILL, -1, np.int64)
         chunks, self.starts, at = [pad], [], len(pad)
@@ -118,36 +120,47 @@ def _search(a1: np.ndarray, a2: np.ndarray, k1: np.ndarray, k2: np.ndarray, righ
         low, high = np.where(open_ & below, mid + 1, low), np.where(open_ & ~below, mid, high)
 
 
-def scan(items: Items, texts: list[str]) -> list[tuple[int, int, int, int, int]]:
+class Shard:
+    """Texts as numbers, and the suffix array over them."""
+
+    def __init__(self, texts: list[str]):
+        pad = [0] * (REACH + DEPTH + FILL)
+        self.vocabulary: dict[str, int] = {}
+        number = self.vocabulary.setdefault
+        flat: list[int] = list(pad)
+        begins = []
+        for text in texts:
+            begins.append(len(flat))
+            flat += [number(w, len(self.vocabulary) + 1) for w in normal_words(text)]
+            flat += pad
+        self.flat, self.first = np.array(flat, np.int64), np.array(begins, np.int64)
+        suffixes = np.flatnonzero(self.flat)
+        a1, a2 = _pack(self.flat, suffixes)
+        order = np.lexsort((a2, a1))
+        self.suffixes, self.keys = suffixes[order], (a1[order], a2[order])
+
+    def numbered(self, items: Items) -> Items:
+        """``items`` in the shard's numbers, -2 for words it has not; seeds with such a word are left out."""
+        known = self.vocabulary.get
+        number = np.array([-2, *[known(w, -2) for w in items.words], -1], np.int64)
+        own = copy(items)
+        own.flat = number[items.flat]  # padding is -1, the last
+        whole = own.flat[items.place] > 0
+        for k in range(1, DEPTH):
+            whole &= (own.flat[items.place + k] > 0) | (items.seed <= k)
+        own.place, own.owner, own.seed = items.place[whole], items.owner[whole], items.seed[whole]
+        return own
+
+
+def scan(block: Items, shard: Shard) -> list[tuple[int, int, int, int, int]]:
     """(text, item, first word in the text, first word in the item, length of
     the longest verbatim match) of the texts of a shard that leak an item."""
-    pad = [0] * (REACH + DEPTH + FILL)
-    known = items.vocabulary.get
-    flat: list[int] = list(pad)
-    begins = []
-    for text in texts:
-        begins.append(len(flat))
-        flat += [known(w, 0) for w in normal_words(text)]
-        flat += pad
-    train = np.array(flat, np.int64)
-    first = np.array(begins, np.int64)
-    if not len(items.place):
-        return []
-    # the suffix array: only places that could begin a seed
-    least = int(items.seed.min())
-    live = train > 0
-    good = live.copy()
-    for k in range(1, least):
-        good[: len(good) - k] &= live[k:]
-    suffixes = np.flatnonzero(good)
-    if not len(suffixes):
+    if not len(shard.suffixes):
         return []
-    a1, a2 = _pack(train, suffixes)
-    order = np.lexsort((a2, a1))
-    suffixes, a1, a2 = suffixes[order], a1[order], a2[order]
+    items, train, first, suffixes = shard.numbered(block), shard.flat, shard.first, shard.suffixes
     top = (1 << 21) - 1
-    low = _search(a1, a2, *_pack(items.flat, items.place, items.seed, 0), right=False)
-    high = _search(a1, a2, *_pack(items.flat, items.place, items.seed, top), right=True)
+    low = _search(*shard.keys, *_pack(items.flat, items.place, items.seed, 0), right=False)
+    high = _search(*shard.keys, *_pack(items.flat, items.place, items.seed, top), right=True)
     found: dict[tuple[int, int], tuple[int, int, int]] = {}
     tried: set[tuple[int, int, int]] = set()
     sizes = high - low
@@ -237,13 +250,13 @@ def _judge(items: Items, train: np.ndarray, first: np.ndarray, p: np.ndarray, q:
             for c in np.flatnonzero(could[r]).tolist():
                 a = int(q[r] - base[r]) + c - REACH
                 lo = int(p[r]) + c - REACH - FILL - SHIFT
-                if _aligned(items.texts[k[r]][a : a + length], train[max(lo, 0) : lo + length + 2 * (FILL + SHIFT)], {x - a for x in items.blanks[k[r]]}, length // tolerance):
+                if _aligned(items.flat[base[r] + a : base[r] + a + length], train[max(lo, 0) : lo + length + 2 * (FILL + SHIFT)], {x - a for x in items.blanks[k[r]]}, length // tolerance):
                     accept(np.array([r]))
                     break
     for r in np.flatnonzero(~done & short & (near.sum(1) >= items.sizes[k] - items.sizes[k] // tolerance)).tolist():
         n = int(items.sizes[k[r]])
         lo = int(p[r] - (q[r] - base[r])) - FILL - SHIFT
-        if _aligned(items.texts[k[r]], train[max(lo, 0) : lo + n + 2 * (FILL + SHIFT)], items.blanks[k[r]], n // tolerance):
+        if _aligned(items.flat[base[r] : base[r] + n], train[max(lo, 0) : lo + n + 2 * (FILL + SHIFT)], items.blanks[k[r]], n // tolerance):
             accept(np.array([r]))
 
 
@@ -280,21 +293,20 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     kind, item_kind = df.schema[id_col].dataType.simpleString(), items.schema[item_col].dataType.simpleString()
     clean = items.select(F.col(item_col).alias("item"), F.col(item_text).alias("text")).filter("item is not null and text is not null").distinct()
     schema = f"id {kind}, item {item_kind}, doc_word int, item_word int, n_words int"
-    result = None
-    for rows in _blocks(clean, block_words):
-        block = spark.sparkContext.broadcast(Items(rows))
-
-        def run(frames: Iterator[pd.DataFrame], block=block) -> Iterator[pd.DataFrame]:
-            own = block.value
-            for frame in slices(frames, "text", 1 << 22):
-                ids = frame["id"].tolist()
-                out = [(ids[t], i, x, y, n) for t, k, x, y, n in scan(own, frame["text"].tolist()) for i in own.ids[k]]
+    blocks = [spark.sparkContext.broadcast(Items(rows)) for rows in _blocks(clean, block_words)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in slices(frames, "text", 1 << 22):
+            ids, shard = frame["id"].tolist(), Shard(frame["text"].tolist())
+            for block in blocks:
+                own = block.value
+                out = [(ids[t], i, x, y, n) for t, k, x, y, n in scan(own, shard) for i in own.ids[k]]
                 yield pd.DataFrame(out, columns=["id", "item", "doc_word", "item_word", "n_words"])
+                if len(blocks) > 1:
+                    # of many blocks a worker keeps none but the one at hand; the file stays on its disk
+                    vars(block).pop("_value", None)
 
-        found = slim.mapInPandas(run, schema)
-        result = found if result is None else result.unionByName(found)
-    if result is None:
-        result = spark.createDataFrame([], schema)
+    result = slim.mapInPandas(run, schema) if blocks else spark.createDataFrame([], schema)
     best = result.groupBy("id", "item").agg(F.max(F.struct("n_words", "doc_word", "item_word")).alias("m"))
     return best.select(F.col("id").alias(id_col), F.col("item").alias("item_id"), "m.doc_word", "m.item_word", "m.n_words")
 

@@ -9,11 +9,13 @@ lanes whose code has an odd product with it. Two vectors that differ in at most
 two lanes of a part agree on all lanes of at least one of its seven masks,
 whichever lanes those are: the codes of two lanes leave a nonzero mask
 orthogonal to both. So every pair within the radius of some part collides in
-some table; a text whose radius is exceeded in all of ``PARTS`` parts at once
-has probability below 1e-4 at similarity 0.7 and 5e-4 at 0.6.
+some table. That a pair exceeds the radius in all of ``PARTS`` parts at once
+has the probability 9e-4 at similarity 0.6, 5e-6 at 0.7 and 1e-9 at 0.8.
 
-Candidates are compared by their lanes and then exactly, on the full sets of
-shingles. Equal texts are folded into one representative first.
+Candidates are compared by their lanes, where five deviations below the
+expected agreement are let through (at most 2e-5 of the true pairs are not),
+and then exactly, on the full sets of shingles. Equal texts are folded into one
+representative first.
 """
 
 from __future__ import annotations
@@ -116,32 +118,21 @@ def _buckets(representatives: DataFrame) -> DataFrame:
     return representatives.select("id", "sketch").mapInPandas(run, "key long, id long")
 
 
-def similar_pairs(df: DataFrame, similarity: float = 0.8, size: int = 5, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(pairs, members).
-
-    ``members`` (id, representative): each text of ``least_words`` words or
-    more and the smallest id with the same words. ``pairs`` (a, b, jaccard),
-    a < b: representatives with different words whose sets of distinct runs of
-    ``size`` words have at least ``similarity`` in common. Null ids and texts
-    and shorter texts are in neither; repeated ids count once. Texts of fewer
-    than ``size`` words, where asked for, are in no pair; those without words
-    are equal where they are the same text.
-
-    ``similarity`` is at least 0.6, for which the parts are chosen.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
+def _prepared(df: DataFrame, size: int, least_words: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """(members, kept): id and representative of each text, and id, n and sketch of
+    the representatives that have shingles."""
+    checkpoint_dir(df.sparkSession)
     made = sketches(df, id_col, text_col, size, least_words).checkpoint()
     firsts = made.groupBy("same").agg(F.min("id").alias("representative"), F.min(F.struct("id", "n", "sketch")).alias("first"))
     members = made.select("id", "same").distinct().join(firsts.select("same", "representative"), "same").select("id", "representative")
     # texts shorter than a shingle are like no other but their equals
-    kept = firsts.select("first.*").filter("n > 0")
-    buckets = _buckets(kept)
-    # both sides are one plan, so the buckets are shuffled once; a hot key is split by the join (AQE)
-    left, right = buckets.alias("l"), buckets.alias("r")
-    candidates = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
-    # lanes: agreement below the expected less four deviations cannot reach the similarity
-    floor = max(0.0, similarity - 4 * (similarity * (1 - similarity) / LANES) ** 0.5)
+    return members, firsts.select("first.*").filter("n > 0")
+
+
+def _near(candidates: DataFrame, kept: DataFrame, similarity: float) -> DataFrame:
+    """The candidate pairs (a, b) that their sizes and lanes let be similar."""
+    # lanes: agreement below the expected less five deviations
+    floor = max(0.0, similarity - 5 * (similarity * (1 - similarity) / LANES) ** 0.5)
 
     @F.pandas_udf("double")
     def agreement(x: pd.Series, y: pd.Series) -> pd.Series:
@@ -151,7 +142,7 @@ def similar_pairs(df: DataFrame, similarity: float = 0.8, size: int = 5, least_w
         q = np.frombuffer(b"".join(y), np.uint32).reshape(-1, LANES)
         return pd.Series((p == q).mean(1))
 
-    near = (
+    return (
         candidates.join(kept.select(F.col("id").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), "a")
         .join(kept.select(F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b")), "b")
         .filter((F.col("n_a") >= similarity * F.col("n_b")) & (F.col("n_b") >= similarity * F.col("n_a")))
@@ -159,8 +150,28 @@ def similar_pairs(df: DataFrame, similarity: float = 0.8, size: int = 5, least_w
         .select("a", "b")
         .checkpoint()
     )
-    pairs = _verified(near, df, similarity, size, id_col, text_col)
-    return pairs, members
+
+
+def similar_pairs(df: DataFrame, similarity: float = 0.8, size: int = 5, least_words: int = 20, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(pairs, members).
+
+    ``members`` (id, representative): each text of ``least_words`` words or
+    more and the smallest id with the same words. ``pairs`` (a, b, jaccard),
+    a < b: representatives with different words whose sets of distinct runs of
+    ``size`` words have at least ``similarity`` in common. Null ids and texts
+    and shorter texts are in neither; repeated ids count once. Texts of fewer
+    than ``size`` words, where asked for, are in no pair; those without words
+    are equal where they are the same text.
+
+    ``similarity`` is at least 0.6, for which the parts are chosen. There are as
+    many pairs as there are: ``document_groups`` is the form that stays linear.
+    """
+    members, kept = _prepared(df, size, least_words, id_col, text_col)
+    buckets = _buckets(kept)
+    # both sides are one plan, so the buckets are shuffled once; a hot key is split by the join (AQE)
+    left, right = buckets.alias("l"), buckets.alias("r")
+    candidates = left.join(right, (F.col("l.key") == F.col("r.key")) & (F.col("l.id") < F.col("r.id"))).select(F.col("l.id").alias("a"), F.col("r.id").alias("b")).distinct()
+    return _verified(_near(candidates, kept, similarity), df, similarity, size, id_col, text_col), members
 
 
 def _verified(near: DataFrame, df: DataFrame, similarity: float, size: int, id_col: str, text_col: str) -> DataFrame:
@@ -202,18 +213,19 @@ def all_pairs(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return equal.unionByName(similar)
 
 
-def groups(pairs: DataFrame, members: DataFrame, rounds: int = 50) -> DataFrame:
+def groups(pairs: DataFrame, members: DataFrame) -> DataFrame:
     """(id, group): one row a text, with the smallest id of its connected
     component under the pairs; a text like no other is its own group.
 
     Alternating large-star and small-star rounds over the edges until nothing
-    changes; the number of rounds grows with the logarithm of the longest chain.
+    changes, which they reach whatever the edges; the number of rounds grows
+    with the logarithm of the longest chain.
     """
     spark = pairs.sparkSession
     checkpoint_dir(spark)
     edges = pairs.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct().checkpoint()
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
@@ -230,11 +242,56 @@ def groups(pairs: DataFrame, members: DataFrame, rounds: int = 50) -> DataFrame:
     return members.join(roots, F.col("representative") == F.col("u"), "left").select("id", F.coalesce("root", "representative").alias("group"))
 
 
-def document_groups(df: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, group): ``groups`` of all ids of ``df`` but null, whatever the size
-    of their texts. Texts of fewer than ``size`` words are grouped with their
+#: Pairs a bucket row that are compared without thinking; beyond, buckets are thinned by stars first.
+PAIRS_A_ROW = 16
+
+
+def document_groups(df: DataFrame, similarity: float = 0.8, size: int = 5, id_col: str = "doc_id", text_col: str = "text", pairs_a_row: int = PAIRS_A_ROW) -> DataFrame:
+    """(id, group): the smallest id of each text's connected component under
+    ``similar_pairs``, for all ids of ``df`` but null, whatever the size of
+    their texts. Texts of fewer than ``size`` words are grouped with their
     equals; a null text is its own group.
+
+    Only pairs in different components are ever compared. While the buckets
+    hold more than ``pairs_a_row`` of them a row, each bucket's texts are
+    compared with one of its texts, another one each round, and what is
+    similar becomes one component: a family of n copies costs n pairs, not
+    n²/2. When there are few left, or a round joins nothing, the pairs that
+    are left are compared, so no link between components is lost.
     """
-    found = groups(*similar_pairs(df, similarity, size, 0, id_col, text_col))
+    members, kept = _prepared(df, size, 0, id_col, text_col)
+    every = _buckets(kept)
+    several = every.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
+    buckets = every.join(several, "key", "left_semi").checkpoint()
+    ids = kept.select("id", F.col("id").alias("representative"))
+    edges: DataFrame | None = None
+    found = kept.select("id", F.col("id").alias("group"))
+    joined, turn = True, 0
+    while True:
+        placed = buckets.join(found, "id").select("key", "id", "group").checkpoint()
+        counts = placed.groupBy("key", "group").agg(F.count(F.lit(1)).alias("c"))
+        by_key = counts.groupBy("key").agg(F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c")).alias("squares"), F.max(F.struct("c", "group"))["group"].alias("main"), F.count(F.lit(1)).alias("groups")).filter("groups > 1").checkpoint()
+        open_ = by_key.agg(F.coalesce(F.sum((F.col("n") * F.col("n") - F.col("squares")) / 2), F.lit(0.0)).alias("pairs"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        thin = joined and open_["pairs"] > pairs_a_row * open_["rows"]
+        if thin:
+            # one text of each bucket, another each round, with all others
+            first = F.min(F.struct(F.xxhash64(F.lit(turn), F.col("id")).alias("h"), "id", "group"))
+            stars = placed.join(by_key.select("key"), "key", "left_semi").groupBy("key").agg(first.alias("f")).select("key", F.col("f.id").alias("x"), F.col("f.group").alias("x_group"))
+            both = placed.join(stars, "key").filter("group <> x_group")
+            candidates = both.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct()
+        else:
+            # those outside the largest component of a bucket with all of other components
+            rest = placed.join(by_key.select("key", "main"), "key").withColumn("out", F.col("group") != F.col("main"))
+            one, all_ = rest.filter("out").alias("l"), rest.alias("r")
+            both = one.join(all_, F.col("l.key") == F.col("r.key")).filter("l.group <> r.group and (not r.out or l.id < r.id)")
+            candidates = both.select(F.least("l.id", "r.id").alias("a"), F.greatest("l.id", "r.id").alias("b")).distinct()
+        new = _verified(_near(candidates, kept, similarity), df, similarity, size, id_col, text_col).select("a", "b").checkpoint()
+        joined, turn = not new.isEmpty(), turn + 1
+        if joined:
+            edges = new if edges is None else edges.unionByName(new)
+            found = groups(edges, ids).checkpoint()
+        if not thin:
+            break
+    grouped = members.join(found.withColumnRenamed("id", "representative"), "representative", "left").select("id", F.coalesce("group", "representative").alias("group"))
     empty = df.filter(F.col(text_col).isNull()).select(F.col(id_col).cast("long").alias("id")).filter("id is not null").distinct()
-    return found.unionByName(empty.join(found.select("id"), "id", "left_anti").select("id", F.col("id").alias("group")))
+    return grouped.unionByName(empty.join(grouped.select("id"), "id", "left_anti").select("id", F.col("id").alias("group")))

@@ -76,6 +76,25 @@ def test_every_document_has_a_group(spark):
     assert got == [(10, 10), (11, 10), (12, 10), (20, 20), (21, 20), (22, 22), (30, 30), (31, 30), (32, 32), (40, 40), (41, 41)]
 
 
+@pytest.mark.parametrize("pairs_a_row", [0, 16])
+def test_a_family_costs_pairs_in_proportion(spark, corpus, monkeypatch, pairs_a_row):
+    """1,500 near copies of one text, beside others: the components are those of
+    all pairs, from far fewer comparisons than the family has pairs."""
+    rng = random.Random(8)
+    base = [f"f{k}" for k in range(120)]
+    family = [(5000 + k, " ".join(base[:k % 100] + [f"x{k}"] + base[k % 100 + 1 :])) for k in range(1500)]
+    near = [(9000 + k, " ".join(w if rng.random() > 0.03 else "y" for w in base)) for k in range(20)]
+    df = spark.createDataFrame(corpus + family + near, "doc_id long, text string").repartition(4)
+    pairs, members = neardup.similar_pairs(df, least_words=0)
+    slow = {r.id: r.group for r in neardup.groups(pairs, members).collect()}
+    compared = []
+    plain = neardup._near
+    monkeypatch.setattr(neardup, "_near", lambda c, *rest: compared.append(c.count()) or plain(c, *rest))
+    got = {r.id: r.group for r in neardup.document_groups(df, pairs_a_row=pairs_a_row).collect()}
+    assert {i: g for i, g in got.items() if i in slow} == slow
+    assert sum(compared) < 40 * len(got) < 1500 * 1499 / 2
+
+
 def test_every_vector_within_the_radius_collides():
     """Any two of six lanes may differ in a part: some mask of it keeps none of them."""
     rng = np.random.default_rng(1)
@@ -144,7 +163,7 @@ def test_leaks_against_brute_force(spark):
 )
 def test_blank_spacing_and_dropped_words(doc, leaks):
     item = "Anna could not put the old jar into the red box from the far town because the _ was much too wide, so she sold it."
-    assert bool(leakage.scan(leakage.Items([(1, item)]), [doc])) == leaks
+    assert bool(leakage.scan(leakage.Items([(1, item)]), leakage.Shard([doc]))) == leaks
 
 
 def test_longest_match_beyond_the_window(spark):
