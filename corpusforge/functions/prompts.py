@@ -85,9 +85,10 @@ def history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Data
     return early.groupBy(conv).agg(F.concat(F.lit("Previous conversation:\n\n"), body).alias("history"))
 
 
-def ancestor_chains(messages: DataFrame) -> DataFrame:
-    """(message_id, chain, depth) of the assistant messages whose ancestors lead
-    to a root, prompter and assistant in turn.
+def ancestor_chains(messages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(message_id, chain, depth) of the assistant messages, or those of
+    ``wanted`` (message_id), whose ancestors lead to a root, prompter and
+    assistant in turn.
 
     ``messages`` has message_id, parent_id, role, text. One self-join a level,
     until no chain grows; a chain that meets itself, or a missing parent, or
@@ -97,7 +98,10 @@ def ancestor_chains(messages: DataFrame) -> DataFrame:
     checkpoint_dir(messages.sparkSession)
     slim = messages.select("message_id", "parent_id", "role", "text").filter("message_id is not null")
     parents = slim.select(F.col("message_id").alias("p_id"), F.col("parent_id").alias("p_parent"), F.col("role").alias("p_role"), F.col("text").alias("p_text"))
-    live = slim.filter("role = 'assistant'").select("message_id", "parent_id", F.col("role").alias("last"), F.array(F.struct("role", "text")).alias("chain"), F.array("message_id").alias("seen"))
+    leaves = slim.filter("role = 'assistant'")
+    if wanted is not None:
+        leaves = leaves.join(wanted, "message_id", "left_semi")
+    live = leaves.select("message_id", "parent_id", F.col("role").alias("last"), F.array(F.struct("role", "text")).alias("chain"), F.array("message_id").alias("seen"))
     done = None
     while True:
         ended = live.filter("parent_id is null and last = 'prompter'").select("message_id", "chain")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b, md5
 
 import numpy as np
 import pandas as pd
@@ -13,7 +14,7 @@ from ..functions.parsing import sentences
 from ..functions.text import decontam_normalise, split_words, squeeze, strip, text_of
 from ..sources.tables import spread
 
-#: Most word runs of the index that are broadcast at once; more come in blocks.
+#: Most hashes of word runs in a block: 16 MB; a task holds one block at a time.
 INDEX_BLOCK = 2_000_000
 
 
@@ -25,17 +26,28 @@ def word_runs(words: Column, n: int) -> Column:
     )
 
 
+def segments_of(items: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """(t): the texts of columns of any of these shapes: a string, a list of
+    strings, a struct with ``text`` (a string or a list), a list of such structs.
+    Null ones are left out."""
+    out = None
+    for name in names:
+        kind, c = items.schema[name].dataType, F.col(name)
+        if kind.typeName() == "struct":
+            kind, c = kind["text"].dataType, c["text"]
+        if kind.typeName() == "array":
+            if kind.elementType.typeName() == "struct":
+                c = F.transform(c, lambda x: x["text"])
+            c = F.explode(c)
+        part = items.select(c.alias("t"))
+        out = part if out is None else out.unionAll(part)
+    return out.filter("t is not null")
+
+
 def ngram_index(items: DataFrame, text_cols: tuple[str, ...] = ("text",), n: int = 13) -> DataFrame:
     """(gram): the distinct MD5 digests of the word runs of all text columns,
-    strings or arrays of strings."""
-    parts = []
-    for name in text_cols:
-        c = F.explode(name) if items.schema[name].dataType.typeName() == "array" else F.col(name)
-        parts.append(items.select(c.alias("t")).filter("t is not null").select(F.explode(word_runs(split_words("t"), n)).alias("g")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
-    return out.select(F.md5("g").alias("gram")).distinct()
+    of any shape ``segments_of`` reads."""
+    return segments_of(items, text_cols).select(F.explode(word_runs(split_words("t"), n)).alias("g")).select(F.md5("g").alias("gram")).distinct()
 
 
 def _words(text: str | None) -> list[str]:
@@ -46,27 +58,56 @@ def ngram_hits(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col
     """(id, hits): the number of word runs of each text, with multiplicity, that
     stand in some item; texts without one have no row.
 
-    A rolling hash finds positions that could match a sorted array of the
-    items' hashes; each is then compared as text. The items are read in blocks
-    of bounded size, each broadcast to one scan of ``df``; null ids or texts
-    have no row.
+    Rolling hashes of the items' runs, 8 bytes each, are broadcast in blocks; in
+    one scan of ``df`` they pick the runs that could match, and only the digests of those
+    are joined with the index, which settles each match. Null ids or texts have no row.
     """
     spark = df.sparkSession
-    slim = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("text is not null"))
+    slim = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).filter("id is not null and text is not null"))
     kind = df.schema[id_col].dataType.simpleString()
-    grams = items.select(F.explode(word_runs(split_words(item_text), n)).alias("g")).distinct()
-    result, block = None, []
-    for (g,) in grams.coalesce(8).toLocalIterator(prefetchPartitions=True):
-        block.append(g)
-        if len(block) >= INDEX_BLOCK:
-            result, block = _union(result, _scan(spark, slim, block, n, kind)), []
-    if block or result is None:
-        result = _union(result, _scan(spark, slim, block, n, kind))
-    return result.groupBy("id").agg(F.sum("hits").alias("hits")).withColumnRenamed("id", id_col)
+    blocks = [spark.sparkContext.broadcast(x) for x in _hash_blocks(items.select(F.col(item_text).alias("text")), n)]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = _Roller(n)
+        for frame in frames:
+            texts = [_words(t) for t in frame["text"]]
+            hashes = [own.hashes(w) for w in texts]
+            found = [np.zeros(len(h), bool) for h in hashes]
+            for block in blocks:
+                index = block.value
+                for h, hit in zip(hashes, found):
+                    hit |= index[np.minimum(np.searchsorted(index, h), len(index) - 1)] == h
+                if len(blocks) > 1:
+                    # of many blocks a worker keeps none but the one at hand
+                    vars(block).pop("_value", None)
+            rows = [(i, md5(" ".join(words[k : k + n]).encode("utf-8", "surrogatepass")).hexdigest()) for i, words, hit in zip(frame["id"], texts, found) for k in np.flatnonzero(hit).tolist()]
+            yield pd.DataFrame(rows, columns=["id", "gram"])
+
+    schema = f"id {kind}, gram string"
+    could = slim.mapInPandas(run, schema) if blocks else spark.createDataFrame([], schema)
+    per_run = could.groupBy("id", "gram").agg(F.count(F.lit(1)).alias("k"))
+    return per_run.join(ngram_index(items, (item_text,), n), "gram", "left_semi").groupBy("id").agg(F.sum("k").alias("hits")).withColumnRenamed("id", id_col)
+
+
+def _hash_blocks(items: DataFrame, n: int) -> Iterator[np.ndarray]:
+    """Sorted distinct rolling hashes of the items' word runs, in blocks of
+    ``INDEX_BLOCK``; they are made by the tasks and come piece by piece."""
 
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        roller = _Roller(n)
+        for frame in frames:
+            found = [roller.hashes(_words(t)) for t in frame["text"]]
+            every = np.unique(np.concatenate(found)) if found else np.empty(0, np.uint64)
+            yield pd.DataFrame({"h": [every[k : k + (1 << 17)].tobytes() for k in range(0, len(every), 1 << 17)]})
 
-def _union(a: DataFrame | None, b: DataFrame) -> DataFrame:
-    return b if a is None else a.unionByName(b)
+    held: list[np.ndarray] = []
+    for (piece,) in items.filter("text is not null").mapInPandas(run, "h binary").toLocalIterator():
+        held.append(np.frombuffer(bytes(piece), np.uint64))
+        if sum(map(len, held)) >= INDEX_BLOCK:
+            yield np.unique(np.concatenate(held))
+            held = []
+    if held:
+        yield np.unique(np.concatenate(held))
 
 
 class _Roller:
@@ -78,8 +119,6 @@ class _Roller:
         self.factors = rng.integers(1, 1 << 62, n, dtype=np.uint64) | np.uint64(1)
 
     def hashes(self, words: list[str]) -> np.ndarray:
-        from hashlib import blake2b
-
         if len(words) < self.n:
             return np.empty(0, np.uint64)
         if len(self.known) > 1_000_000:
@@ -97,30 +136,6 @@ class _Roller:
         return out
 
 
-def _scan(spark, slim: DataFrame, block: list[str], n: int, kind: str) -> DataFrame:
-    roller = _Roller(n)
-    index = np.unique(np.array([roller.hashes(g.split(" "))[0] for g in block], np.uint64)) if block else np.empty(0, np.uint64)
-    shared = spark.sparkContext.broadcast((index, set(block)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        index, exact = shared.value
-        own = _Roller(n)
-        for frame in frames:
-            rows = []
-            for i, text in zip(frame["id"], frame["text"]):
-                words = _words(text)
-                h = own.hashes(words)
-                if len(h) and len(index):
-                    at = np.searchsorted(index, h)
-                    could = np.flatnonzero(index[np.minimum(at, len(index) - 1)] == h)
-                    hits = sum(" ".join(words[k : k + n]) in exact for k in could.tolist())
-                    if hits:
-                        rows.append((i, hits))
-            yield pd.DataFrame(rows, columns=["id", "hits"])
-
-    return slim.mapInPandas(run, f"id {kind}, hits long")
-
-
 def remove_hit(df: DataFrame, hits: DataFrame, id_col: str = "doc_id", threshold: int = 0) -> DataFrame:
     """The rows of ``df`` with at most ``threshold`` hits."""
     return df.join(hits.filter(F.col("hits") > threshold).select(id_col), id_col, "left_anti")
@@ -135,15 +150,19 @@ def sentence_hashes(items: DataFrame, text_col: str = "text", least: int = 10) -
 def remove_sentences(df: DataFrame, blocked: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 10) -> DataFrame:
     """(id, text, n_removed): texts without the blocked sentences, the rest
     joined by blanks; shorter sentences stay, a text that loses all is empty,
-    a null text stays null."""
-    pieces = df.select(F.col(id_col), F.posexplode(sentences(text_col)).alias("pos", "s")).withColumn("n", squeeze("s"))
-    marked = pieces.withColumn("h", F.when(F.length("n") >= least, F.md5("n"))).join(blocked.withColumn("bad", F.lit(True)), "h", "left")
-    # partial aggregation: the kept sentences of a text, in order
-    kept = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("bad").isNull(), F.struct("pos", "s")))), lambda x: x["s"]), " ")
-    cut = marked.groupBy(id_col).agg(kept.alias("text"), F.count("bad").alias("n_removed"))
-    return df.select(id_col, F.col(text_col).alias("_old")).join(cut, id_col, "left").select(
-        id_col, F.when(F.col("_old").isNotNull(), F.coalesce("text", F.lit(""))).alias("text"), F.coalesce("n_removed", F.lit(0)).alias("n_removed")
-    )
+    a null text stays null.
+
+    Digests of sentences look for blocked ones; only the ids with a hit and
+    their blocked digests meet the texts, which are cut where they lie. Rows of
+    one id are cut alike; a null id loses nothing.
+    """
+    digest = lambda s: F.md5(squeeze(s))
+    own = F.array_distinct(F.transform(F.filter(sentences(text_col), lambda s: F.length(squeeze(s)) >= least), digest))
+    hit = df.filter(F.col(id_col).isNotNull()).select(F.col(id_col), F.explode(own).alias("h")).join(blocked.select("h").distinct(), "h", "left_semi")
+    bad = hit.groupBy(id_col).agg(F.collect_set("h").alias("_bad"))
+    cut = df.select(id_col, F.col(text_col).alias("_old"), sentences(text_col).alias("_s")).join(bad, id_col, "left")
+    cut = cut.withColumn("_kept", F.when(F.col("_bad").isNull(), F.col("_s")).otherwise(F.filter("_s", lambda s: ~(F.array_contains("_bad", digest(s)) & (F.length(squeeze(s)) >= least)))))
+    return cut.select(id_col, F.when(F.col("_old").isNotNull(), F.array_join("_kept", " ")).alias("text"), (F.size("_s") - F.size("_kept")).cast("long").alias("n_removed"))
 
 
 def prompt_hashes(instruction: str, given: str) -> Column:

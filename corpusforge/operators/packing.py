@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from ..session import checkpoint_dir
+from ..sources.tables import partitions, shuffle_partitions
 
 #: End of text of the public 50k vocabulary; padding too.
 EOS = 50256
@@ -19,29 +25,33 @@ def with_eos(ids: str) -> Column:
     return F.concat(F.coalesce(checked, F.array().cast("array<int>")), F.array(F.lit(EOS)))
 
 
-def _range_of(c: Column, cuts: list, at: int = 0) -> Column:
-    """Number of the range between sorted ``cuts``, as a balanced tree of comparisons."""
-    if not cuts:
-        return F.lit(at)
-    mid = len(cuts) // 2
-    return F.when(c <= cuts[mid], _range_of(c, cuts[:mid], at)).otherwise(_range_of(c, cuts[mid + 1 :], at + mid + 1))
-
-
-def offsets(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens", ranges: int = 64) -> DataFrame:
-    """``df`` with ``token_offset``: the tokens before it in order of the id.
+def offsets(df: DataFrame, id_col: str = "doc_id", size_col: str = "n_tokens") -> DataFrame:
+    """``df`` with ``token_offset``: the tokens before it in order of the id;
+    of equal ids in any order. Null ids have none.
 
-    The ids are cut into ranges at approximate quantiles; sizes are summed per
-    range (a small table), whose running sum is joined back and completed
-    inside each range. No task sees more than its range. Null ids have none.
+    The rows, which should be slim, are put into ranges of the id, as many as
+    two for each partition of the input; each task runs through its sorted
+    range once. The ranges are written to the shared folder, as their totals and their rows must
+    be of one cut; the totals, a row a range, are summed up and added.
     """
-    df = df.filter(F.col(id_col).isNotNull())
-    cuts = sorted({int(b) for b in df.stat.approxQuantile(id_col, [k / ranges for k in range(1, ranges)], 0.002)})
-    keyed = df.withColumn("_b", _range_of(F.col(id_col), cuts))
-    totals = keyed.groupBy("_b").agg(F.sum(size_col).alias("_s"))
-    # at most ``ranges`` rows
-    before = totals.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
-    inside = F.coalesce(F.sum(size_col).over(Window.partitionBy("_b").orderBy(id_col).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return keyed.join(F.broadcast(before), "_b").withColumn("token_offset", (F.col("_before") + inside).cast("long")).drop("_b", "_before")
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    rows = df.filter(F.col(id_col).isNotNull())
+    ranges = max(shuffle_partitions(spark), 2 * partitions(df, 1))
+    sorted_ = rows.repartitionByRange(ranges, id_col).sortWithinPartitions(id_col)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        part, total = TaskContext.get().partitionId(), 0
+        for frame in frames:
+            sums = frame[size_col].cumsum() + total
+            yield frame.assign(_part=part, _inside=sums - frame[size_col])
+            total = int(sums.iloc[-1]) if len(sums) else total
+
+    schema = StructType([*rows.schema.fields, StructField("_part", IntegerType()), StructField("_inside", LongType())])
+    made = sorted_.mapInPandas(run, schema).checkpoint()
+    totals = made.groupBy("_part").agg(F.sum(size_col).alias("_s"))
+    before = totals.withColumn("_before", F.coalesce(F.sum("_s").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_s")
+    return made.join(F.broadcast(before), "_part").withColumn("token_offset", (F.col("_before") + F.col("_inside")).cast("long")).drop("_part", "_before", "_inside")
 
 
 def pack(df: DataFrame, length: int, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -49,11 +59,13 @@ def pack(df: DataFrame, length: int, id_col: str = "doc_id", ids_col: str = "ids
     of ``length``; targets are shifted by one; the tail is dropped.
 
     A text is cut at sample borders where it lies, so only the pieces of one
-    sample meet in a task. The ids are written once to the shared folder, as
-    offsets and cutting both read them.
+    sample meet in a task. The ids are written once to the shared folder, with
+    a number a row by which their offsets, made from sizes alone, are joined.
     """
     checkpoint_dir(df.sparkSession)
-    sized = offsets(df.select(id_col, F.col(ids_col).alias("ids"), F.size(ids_col).alias("n_tokens")).filter("n_tokens > 0").checkpoint(), id_col)
+    rows = df.select(id_col, F.col(ids_col).alias("ids"), F.size(ids_col).cast("long").alias("n_tokens")).filter("n_tokens > 0").withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    placed = offsets(rows.select(id_col, "_row", "n_tokens"), id_col).select("_row", "token_offset")
+    sized = rows.join(placed, "_row")
     first, last = F.floor(F.col("token_offset") / length), F.floor((F.col("token_offset") + F.col("n_tokens") - 1) / length)
     # the first token of a sample is also the last target of the one before
     begin = F.greatest(F.lit(0), F.when(F.col("token_offset") % length == 0, first - 1).otherwise(first))

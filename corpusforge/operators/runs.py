@@ -40,11 +40,41 @@ def summarise(steps: DataFrame) -> DataFrame:
     return steps.groupBy("run_name").agg(F.max("step").alias("last_step"), best["val_loss"].alias("best_val"), best["step"].alias("best_step"), F.count(F.lit(1)).alias("n_steps"))
 
 
+def _half_cosine(step: Column, begin: int, length: int, low: float) -> Column:
+    """From 1 to ``low`` along half a cosine of ``length`` steps from ``begin`` on."""
+    part = F.least(F.lit(1.0), (step - begin) / float(max(1, length)))
+    return low + (1 - low) * 0.5 * (1 + F.cos(math.pi * part))
+
+
 def cosine(step: Column, top: float, low: float, warm: int, total: int) -> Column:
-    part = F.least(F.lit(1.0), (step - warm) / float(max(1, total - warm)))
-    return F.when(step < warm, F.lit(top) * (step + 1) / warm).otherwise(low + 0.5 * (top - low) * (1 + F.cos(math.pi * part)))
+    """Learning rate: from 0 linearly to ``top`` in ``warm`` steps, then half a
+    cosine to ``low`` of it at ``total``."""
+    return top * F.when(step < warm, step / float(max(1, warm))).otherwise(_half_cosine(step, warm, total - warm, low))
+
+
+def warm_stable_decay(step: Column, top: float, low: float, warm: int, total: int, decay: float) -> Column:
+    """Learning rate: warm-up, ``top``, and in the last ``decay`` of the steps half a cosine to ``low`` of it."""
+    falling = int(total * decay)
+    return top * F.when(step < warm, step / float(max(1, warm))).when(step < total - falling, F.lit(1.0)).otherwise(_half_cosine(step, total - falling, falling, low))
+
+
+def parameter_count(shapes: DataFrame, vocabulary: int = 50_257) -> DataFrame:
+    """``shapes`` (d_model, n_layers, d_ff, activation) with ``n_params`` of a
+    decoder whose output shares the embedding: a gated unit (swiglu) has three
+    matrices in its forward layer, any other two; two norms a block, one at the end."""
+    h, f = F.col("d_model"), F.col("d_ff")
+    block = 4 * h * h + F.when(F.col("activation") == "swiglu", 3).otherwise(2) * h * f + 2 * h
+    return shapes.withColumn("n_params", (vocabulary * h + F.col("n_layers") * block + h).cast("long"))
+
+
+def sweep(checkpoints: DataFrame, betas: Sequence[float], epochs: Sequence[int]) -> DataFrame:
+    """(name, checkpoint, beta, epochs): every setting of every row of
+    ``checkpoints`` (place from 1, checkpoint), as explosions of its rows."""
+    out = checkpoints.withColumn("beta", F.explode(F.array(*[F.lit(b) for b in betas]))).withColumn("epochs", F.explode(F.array(*[F.lit(e) for e in epochs])))
+    return out.select(F.concat(F.lit("sft"), "place", F.lit("_b"), F.col("beta").cast("string"), F.lit("_e"), "epochs").alias("name"), "checkpoint", "beta", "epochs")
 
 
-def warm_stable_decay(step: Column, top: float, low: float, warm: int, stable: int, total: int) -> Column:
-    part = F.least(F.lit(1.0), (step - stable) / float(max(1, total - stable)))
-    return F.when(step < warm, F.lit(top) * (step + 1) / warm).when(step < stable, F.lit(top)).otherwise(low + (top - low) * (1 - part))
+def improvement(runs: DataFrame, loss: str = "best_val") -> DataFrame:
+    """``runs`` with ``gain_pct``, how far below the worst loss each is, in percent of it."""
+    worst = runs.agg(F.max(loss).alias("_worst"))
+    return runs.crossJoin(F.broadcast(worst)).withColumn("gain_pct", F.lit(100.0) * (F.col("_worst") - F.col(loss)) / F.col("_worst")).drop("_worst")  # one row

@@ -3,16 +3,20 @@
 An order is the MD5 of seed and id: the same on every cluster and in SQL.
 Counts per group come from an aggregate; ranks are needed only inside a group,
 and a global rank is taken in two steps (ranges first, then inside each range)
-so that no task sees all rows.
+so that no task sees all rows. The number of ranges follows that of the input's
+partitions.
 """
 
 from __future__ import annotations
 
 from hashlib import sha256
+from math import ceil, log
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import partitions, shuffle_partitions
+
 
 def order_key(id_col: str, seed: int = 42) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
@@ -23,18 +27,21 @@ def take(df: DataFrame, n: int, id_col: str = "doc_id", seed: int = 42) -> DataF
     return df.orderBy(order_key(id_col, seed), id_col).limit(n)
 
 
-def ranked(df: DataFrame, by: list[str] | None, id_col: str, seed: int = 42, name: str = "rn", buckets: int = 256) -> DataFrame:
+def ranked(df: DataFrame, by: list[str] | None, id_col: str, seed: int = 42, name: str = "rn", digits: int | None = None) -> DataFrame:
     """``df`` with the rank of each row in the seeded order, inside ``by`` or over all.
 
-    The first two hex digits of the key cut the rows into ``buckets`` ranges,
-    so a group that holds most rows is still spread; the number of rows in
-    the earlier ranges is added from a small table.
+    The first hex digits of the key cut the rows into ranges, two digits or as
+    many more as give four ranges for each partition of the input, so a group
+    that holds most rows is still spread, whatever its size; the number of rows
+    in the earlier ranges is added from a small table.
     """
     by = by or []
-    keyed = df.withColumn("_k", order_key(id_col, seed)).withColumn("_b", F.substring("_k", 1, 2))
+    if digits is None:
+        digits = max(2, ceil(log(4 * partitions(df, shuffle_partitions(df.sparkSession)), 16)))
+    keyed = df.withColumn("_k", order_key(id_col, seed)).withColumn("_b", F.substring("_k", 1, digits))
     sizes = keyed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    # at most 256 rows a group
+    # a row a group and range
     offsets = sizes.withColumn("_before", before).drop("_n")
     cond = None
     for c in [*by, "_b"]:
@@ -84,6 +91,21 @@ def split_groups(df: DataFrame, by: str = "source", id_col: str = "row_id", frac
     return r.join(sizes, r[by].eqNullSafe(sizes["_by"])).withColumn("split", F.when(F.col("rn") <= val, "val").otherwise("train")).drop("rn", "_total", "_by")
 
 
+def split_pooled(df: DataFrame, id_col: str = "row_id", fraction: float = 0.05, seed: int = 42) -> DataFrame:
+    """``df`` with ``split``: the first max(1, fraction of all) rows of the order
+    are val, whatever their groups; one row alone is val."""
+    n = df.agg(F.count(F.lit(1)).alias("_total"))
+    r = ranked(df, None, id_col, seed).crossJoin(F.broadcast(n))  # one row
+    return r.withColumn("split", F.when(F.col("rn") <= F.greatest(F.lit(1), F.floor(F.col("_total") * fraction)), "val").otherwise("train")).drop("rn", "_total")
+
+
+def take_each(df: DataFrame, budgets: DataFrame, by: str = "source", id_col: str = "doc_id", seed: int = 42) -> DataFrame:
+    """The first rows of each group of ``df`` in the seeded order, as many as
+    ``budgets`` (``by``, n_docs) says; groups without a budget are left out."""
+    r = ranked(df, [by], id_col, seed)
+    return r.join(budgets.select(by, F.col("n_docs").alias("_n")), by).filter("rn <= _n").drop("rn", "_n")
+
+
 def check_weights(weights: dict[str, float], known: set[str]) -> None:
     for name, w in weights.items():
         if name not in known:
@@ -107,8 +129,10 @@ def weight_copies(df: DataFrame, weights: dict[str, float], by: str = "source",
 
 
 def cap(df: DataFrame, n: int, by: str = "source", id_col: str = "row_id", seed: int = 42) -> DataFrame:
-    """The first ``n`` rows of each group in the seeded order."""
-    return ranked(df, [by], id_col, seed).filter(F.col("rn") <= n).drop("rn")
+    """The first ``n`` rows of each group in the seeded order. A limit on the
+    rank of a group is applied on each task before the shuffle."""
+    k = F.row_number().over(Window.partitionBy(by).orderBy(order_key(id_col, seed), id_col))
+    return df.withColumn("_rn", k).filter(F.col("_rn") <= n).drop("_rn")
 
 
 def probe_windows(spark: SparkSession, n: int, total: Column, source: DataFrame, length: int, seed: int = 42) -> DataFrame:

@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import parsing as P
 from ..functions import text as T
 from ..operators import decontam, dedup, packing, sampling
 from ..session import checkpoint_dir
@@ -20,6 +21,29 @@ _NS = _S.replace("[", "[^", 1)
 _WORDS = f"list_filter(regexp_split_to_array(lower(coalesce(text,'')), '{_S}+'), lambda x: x <> '')"
 
 
+#: Unicode's letters, marks, digits and joining marks, without brackets.
+_WC = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200c}\x{200d}"
+
+
+def re2(pattern: str) -> str:
+    """A pattern of the JVM with Unicode's classes (flag U) for RE2, quoted for SQL."""
+    flags = {"(?mdU)": "(?m)", "(?iU)": "(?i)", "(?imdU)": "(?im)", "(?isU)": "(?is)", "(?U)": ""}
+    for jvm, own in flags.items():
+        pattern = pattern.replace(jvm, own)
+    out, inside, k = [], False, 0
+    while k < len(pattern):
+        two = pattern[k : k + 2]
+        if two[:1] == "\\":
+            swap = {"\\s": _S[1:-1] if inside else _S, "\\S": _NS, "\\w": _WC if inside else f"[{_WC}]", "\\d": r"\p{Nd}"}
+            out.append(swap.get(two, two))
+            k += 2
+            continue
+        inside = {"[": True, "]": False}.get(two[:1], inside)
+        out.append(two[:1])
+        k += 1
+    return "".join(out).replace("'", "''")
+
+
 def query(name: str, sql: str | None = None):
     def add(f):
         QUERIES[name] = f
@@ -74,7 +98,19 @@ _PREFIX_SQL = "CASE " + " ".join(f"WHEN starts_with(text, '{p}') THEN regexp_rep
 _cleaner("boilerplate_prefix", T.drop_prefix, _brief_sql(_PREFIX_SQL))
 
 
-@query("clean_text_full")
+def _chain(c: str) -> str:
+    """``clean_text`` of a field in SQL."""
+    for pattern, by in ((T.URL, ""), (T.HTML, ""), (T.FENCED_CODE, ""), ("(?U)" + T.INDENTED_CODE, ""), (T.CODE_LINE, ""), (T.INLINE_CODE, ""), (T.LATEX, ""), (T.MATH, " ")):
+        c = f"regexp_replace({c}, '{re2(pattern)}', '{by}', 'g')"
+    prefix = f"regexp_replace({c}, '^(?:{'|'.join(T.BOILERPLATE_PREFIXES)}){_S}*', '')"
+    return f"regexp_replace(regexp_replace(regexp_replace({prefix}, '\\n{{3,}}', chr(10)||chr(10), 'g'), '[ \\t]{{2,}}', ' ', 'g'), '^{_S}+|{_S}+$', '', 'g')"
+
+
+def clean_sql(c: str) -> str:
+    return _chain("translate(nfc_normalize(coalesce(" + c + ",'')), chr(65533)||chr(65279)||chr(8203)||chr(8204)||chr(8205)||chr(173)||chr(65534), '')")
+
+
+@query("clean_text_full", _brief_sql(clean_sql("text")))
 def clean_text_full(spark, d):
     return _brief(texts(spark, d), T.clean_text("text"))
 
@@ -123,24 +159,28 @@ def english_heuristic(spark, d):
     return texts(spark, d, "lang").select("doc_id", "lang", T.is_english("text").alias("english"))
 
 
-@query("has_code_or_markup")
-def has_code_or_markup(spark, d):
-    return texts(spark, d).select("doc_id", T.has_code_or_markup("text").alias("hit"))
+def _has_code(c: str) -> str:
+    return f"(regexp_matches(coalesce({c},''), '{re2(T.HTML_MARKUP)}') OR regexp_matches(coalesce({c},''), '{re2(T.CODE_MARKERS)}'))"
 
 
-def _re2(pattern: str) -> str:
-    return pattern.replace("(?mdU)", "(?m)").replace("(?iU)", "(?i)").replace(r"\s", _S).replace("'", "''")
+@query("has_code_or_markup", f"SELECT doc_id, {_has_code('text')} AS hit FROM documents")
+def has_code_or_markup(spark, d):
+    return texts(spark, d).select("doc_id", T.has_code_or_markup("text").alias("hit"))
 
 
-_HAS_MATH = f"(regexp_matches(coalesce(text,''), '{_re2(T.LATEX)}') OR regexp_matches(coalesce(text,''), '{_re2(T.MATH)}'))"
+def _has_math(c: str) -> str:
+    return f"(regexp_matches(coalesce({c},''), '{re2(T.LATEX)}') OR regexp_matches(coalesce({c},''), '{re2(T.MATH)}'))"
 
 
-@query("has_math_content", f"SELECT doc_id, {_HAS_MATH} AS hit FROM documents")
+@query("has_math_content", f"SELECT doc_id, {_has_math('text')} AS hit FROM documents")
 def has_math_content(spark, d):
     return texts(spark, d).select("doc_id", T.has_math_content("text").alias("hit"))
 
 
-@query("code_or_math_task")
+_TOPICS = " OR ".join(f"regexp_matches(coalesce(instruction,''), '{re2(x)}')" for x in (T.CODE_TOPIC, T.MATH_TOPIC))
+
+
+@query("code_or_math_task", f"SELECT row_id, ({_TOPICS} OR {_has_code('instruction')} OR {_has_math('instruction')}) AS hit FROM sft_rows")
 def code_or_math_task(spark, d):
     return table(spark, d, "sft_rows").select("row_id", T.is_code_or_math_task("instruction").alias("hit"))
 
@@ -209,10 +249,31 @@ def decontam_threshold(spark, d):
     return decontam.remove_hit(docs(spark, d), hits(spark, d), threshold=10).select("doc_id")
 
 
-@query("sentence_overlap_removal")
+_ABBR = ", ".join(f"'{x}'" for x in P.ABBREVIATIONS)
+
+
+def sentences_sql(source: str, key: str) -> str:
+    """(key, s): the sentences of ``text`` in ``source``. Every place that could
+    be a cut is marked, and those after an abbreviation or a number are closed again."""
+    body = "string_split(p[%s], chr(2))[-1]"
+    last = body % "j - 1"
+    open_ = f"rtrim(regexp_extract({last}, '{_NS}+$'), '.!?') IN ({_ABBR}) OR regexp_matches({last}, '\\p{{Nd}}\\.$')"
+    glued = f"list_transform(range(1, len(p) + 1), lambda j: CASE WHEN j = 1 THEN p[1] WHEN {open_} THEN string_split(p[j], chr(2))[1] || string_split(p[j], chr(2))[2] ELSE chr(1) || string_split(p[j], chr(2))[2] END)"
+    marked = f"string_split(regexp_replace(coalesce(text,''), '([.!?])({_S}+)([A-Z])', '\\1' || chr(1) || '\\2' || chr(2) || '\\3', 'g'), chr(1))"
+    return f"SELECT {key}, list_filter(string_split(array_to_string({glued}, ''), chr(1)), lambda x: x <> '') AS s FROM (SELECT {key}, {marked} AS p FROM {source})"
+
+
+def _squeezed(c: str) -> str:
+    return f"array_to_string(list_filter(regexp_split_to_array(lower({c}), '{_S}+'), lambda x: x <> ''), ' ')"
+
+
+_BLOCKED = f"SELECT DISTINCT {_squeezed('x')} AS b FROM (SELECT unnest(s) AS x FROM ({sentences_sql('eval_items', 'item_id')})) WHERE length({_squeezed('x')}) >= 10"
+
+
+@query("sentence_overlap_removal", f"WITH b AS ({_BLOCKED}), s AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS k FROM ({sentences_sql('documents', 'doc_id')})), t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t FROM s WHERE {_squeezed('x')} NOT IN (SELECT b FROM b) GROUP BY doc_id) SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(t, '')) END AS text_md5, CASE WHEN text IS NOT NULL THEN length(coalesce(t, '')) END AS n_chars FROM documents d LEFT JOIN t USING (doc_id)")
 def sentence_overlap_removal(spark, d):
     blocked = decontam.sentence_hashes(table(spark, d, "eval_items"))
-    return _brief(decontam.remove_sentences(docs(spark, d), blocked), F.col("text"))
+    return _brief(decontam.remove_sentences(texts(spark, d), blocked), F.col("text"))
 
 
 # ----------------------------------------------------- samples and budgets
@@ -312,6 +373,9 @@ def probe_windows(spark, d):
 # ------------------------------------------------------------------ profile
 
 
+PERCENTS = (1, 5, 25, 50, 75, 95, 99)
+
+
 @query("length_summary", "SELECT " + ", ".join(f"avg({m}) AS {m}_mean, stddev_pop({m}) AS {m}_std, " + ", ".join(f"quantile_cont({m}, {p / 100}) AS {m}_p{p}" for p in (1, 5, 25, 50, 75, 95, 99)) for m in ("chars", "words", "sentences")) + f" FROM (SELECT length(t)::DOUBLE AS chars, len(list_filter(regexp_split_to_array(t, '{_S}+'), lambda x: x <> ''))::DOUBLE AS words, len(list_filter(regexp_split_to_array(t, '[.!?]+'), lambda x: regexp_replace(x, '^{_S}+|{_S}+$', '', 'g') <> ''))::DOUBLE AS sentences FROM (SELECT coalesce(text,'') AS t FROM documents))")
 def length_summary(spark, d):
     t = T.text_of("text")
@@ -323,10 +387,14 @@ def length_summary(spark, d):
     aggs = []
     for m in ("chars", "words", "sentences"):
         aggs += [F.avg(m).alias(f"{m}_mean"), F.stddev_pop(m).alias(f"{m}_std")]
-        aggs += [F.percentile(m, F.lit(p / 100)).alias(f"{m}_p{p}") for p in (1, 5, 25, 50, 75, 95, 99)]
-    return sized.agg(*aggs)
+        # one buffer for all fractions of a measure
+        aggs.append(F.percentile(m, F.array(*[F.lit(p / 100) for p in PERCENTS])).alias(f"{m}_p"))
+    one = sized.agg(*aggs)
+    names = [f"{m}_p{p}" for m in ("chars", "words", "sentences") for p in PERCENTS]
+    return one.select("*", *[F.col(f"{n.split('_p')[0]}_p")[PERCENTS.index(int(n.split("_p")[1]))].alias(n) for n in names]).drop("chars_p", "words_p", "sentences_p")
 
 
+# Phrases, flags and characters of the profile.
 BOILERPLATE = ("cookie", "privacy policy", "terms of service", "subscribe", "sign up", "log in", "all rights reserved", "copyright", "click here", "read more", "advertisement")
 
 
@@ -438,6 +506,13 @@ def length_histogram(spark, d):
     return b.groupBy("bin").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("token_stats", f"SELECT avg(n) AS mean, quantile_cont(n, 0.5) AS median, sum(n)::DOUBLE / sum(w) AS per_word FROM (SELECT len({_WORDS}) + 1 AS n, len({_WORDS}) AS w FROM documents)")
+def token_stats(spark, d):
+    """Mean and median of the tokens of a text, its end included, and tokens a word."""
+    w = F.size(T.split_words("text"))
+    return texts(spark, d).select((w + 1).alias("n"), w.alias("w")).agg(F.avg("n").alias("mean"), F.percentile("n", F.lit(0.5)).alias("median"), (F.sum("n").cast("double") / F.sum("w")).alias("per_word"))
+
+
 @query("vocab_coverage", f"SELECT count(*) AS n_tokens, count(DISTINCT w) AS n_distinct FROM (SELECT unnest({_WORDS}) AS w FROM documents)")
 def vocab_coverage(spark, d):
     by = texts(spark, d).select(F.explode(T.split_words("text")).alias("w")).groupBy("w").count()
@@ -452,24 +527,32 @@ def curate(documents: DataFrame, items: DataFrame, normalise: bool = True) -> Da
     duplicates (least id), English where the source is not known to be so,
     13-word runs of evaluation text, length again.
 
-    The cleaned texts are written once to the shared folder, with the answer of
-    the language rule, as later steps read them and a filter would else pull
-    the chain of patterns into itself. The steps then work on digests, ids and
+    The cleaned texts that are long enough are written once to the shared
+    folder, with the answer of the language rule, as later steps read them. The steps then work on digests, ids and
     flags; the texts meet the ids of the survivors once, at the end.
     """
     checkpoint_dir(documents.sparkSession)
     wiki = F.coalesce(F.col("source") == "wikipedia", F.lit(False))
     raw = F.when(wiki, T.clean_wikipedia("text")).otherwise(T.text_of("text"))
-    cleaned = documents.select("doc_id", "source", raw.alias("text")).withColumn("text", T.clean_text("text", normalise=normalise))
+    # cleaned through a generator of one row, as a filter would else compute the patterns a second time
+    cleaned = documents.select("doc_id", "source", F.explode(F.array(raw)).alias("text")).select("doc_id", "source", F.explode(F.array(T.clean_text("text", normalise=normalise))).alias("text"))
     trusted = F.coalesce(F.col("source").isin("wikipedia", "bookcorpus"), F.lit(False))
-    cleaned = cleaned.withColumn("english", trusted | T.is_english("text")).checkpoint().filter(long_enough())
+    kept = cleaned.filter(long_enough()).withColumn("english", trusted | T.is_english("text")).checkpoint()
     # the first of equal texts is chosen before its language is looked at
-    first = cleaned.groupBy(F.md5("text").alias("h")).agg(F.min(F.struct("doc_id", "english")).alias("f")).filter("f.english").select("f.doc_id")
-    leaked = decontam.ngram_hits(cleaned.filter("english"), items).select("doc_id")
-    return cleaned.join(first.join(leaked, "doc_id", "left_anti"), "doc_id", "left_semi").drop("english")
+    first = kept.groupBy(F.md5("text").alias("h")).agg(F.min(F.struct("doc_id", "english")).alias("f")).filter("f.english").select("f.doc_id")
+    leaked = decontam.ngram_hits(kept.filter("english"), items).select("doc_id")
+    return kept.join(first.join(leaked, "doc_id", "left_anti"), "doc_id", "left_semi").drop("english")
+
+
+_WIKI_RAW = f"CASE WHEN source = 'wikipedia' THEN {_WIKI_SQL} ELSE coalesce(text,'') END"
+_CURATED = (
+    f"WITH c AS (SELECT doc_id, source, lang, {clean_sql('z')} AS text FROM (SELECT doc_id, source, lang, {_WIKI_RAW} AS z FROM documents)), l AS (SELECT * FROM c WHERE length(text) >= CASE WHEN source = 'wikipedia' THEN 200 ELSE 50 END), "
+    f"f AS (SELECT * FROM l WHERE doc_id IN (SELECT min(doc_id) FROM l GROUP BY text)), e AS (SELECT doc_id FROM ({_ENGLISH_SQL.replace('FROM documents', 'FROM l')}) WHERE english), "
+    f"h AS ({_HITS.replace('FROM documents', 'FROM l')}) SELECT doc_id, md5(text) AS text_md5, length(text) AS n_chars FROM f WHERE (source IN ('wikipedia', 'bookcorpus') OR doc_id IN (SELECT doc_id FROM e)) AND doc_id NOT IN (SELECT doc_id FROM h)"
+)
 
 
-@query("curation_pipeline")
+@query("curation_pipeline", _CURATED)
 def curation_pipeline(spark, d):
     out = curate(texts(spark, d, "source"), table(spark, d, "eval_items"))
     return _brief(out, F.col("text"))
@@ -481,16 +564,14 @@ _FUNNEL += " UNION ALL ".join(f"SELECT {i} AS step, '{name}' AS stage, (SELECT c
 
 @query("funnel_counts", _FUNNEL)
 def funnel_counts(spark, d):
-    """Rows after each step, over the raw texts."""
-    documents = texts(spark, d, "source")
-    kept = documents.filter(long_enough())
-    single = dedup.exact(kept)
-    english = single.filter(F.coalesce(F.col("source").isin("wikipedia", "bookcorpus"), F.lit(False)) | T.is_english("text"))
-    clean = decontam.remove_hit(english, hits(spark, d))
-    steps = [("raw", documents), ("length", kept), ("exact_dedup", single), ("english", english), ("decontam", clean)]
-    out = None
-    for i, (name, df) in enumerate(steps):
-        one = df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(i).alias("step"), F.lit(name).alias("stage"), "n")
-        out = one if out is None else out.unionByName(one)
-    total = documents.agg(F.count(F.lit(1)).alias("total"))
-    return out.crossJoin(F.broadcast(total)).select("step", "stage", "n", (F.lit(100.0) * F.col("n") / F.col("total")).alias("pct"))  # one row
+    """Rows after each step, over the raw texts: one scan to the first of each
+    long enough text, and one for the leaked ones."""
+    english = F.coalesce(F.col("source").isin("wikipedia", "bookcorpus"), F.lit(False)) | T.is_english("text")
+    rows = texts(spark, d, "source").select("doc_id", F.when(long_enough(), F.md5("text")).alias("h"), F.when(long_enough(), english).alias("english"))
+    by = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "english")).alias("f"))
+    leaked = hits(spark, d).select("doc_id", F.lit(True).alias("leaked"))
+    flat = by.select("n", F.col("h").isNotNull().alias("long"), "f.doc_id", "f.english").join(leaked, "doc_id", "left")
+    kept = F.col("long") & F.col("english")
+    one = flat.agg(F.sum("n").alias("raw"), F.coalesce(F.sum(F.when(F.col("long"), F.col("n"))), F.lit(0)).alias("length"), F.count_if("long").alias("exact_dedup"), F.count_if(kept).alias("english"), F.count_if(kept & F.col("leaked").isNull()).alias("decontam"))
+    names = ("raw", "length", "exact_dedup", "english", "decontam")
+    return one.selectExpr("raw AS total", f"stack(5, {', '.join(f'{i}, {n!r}, {n}' for i, n in enumerate(names))}) AS (step, stage, n)").select("step", "stage", "n", (F.lit(100.0) * F.col("n") / F.col("total")).alias("pct"))

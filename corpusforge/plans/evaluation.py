@@ -118,12 +118,49 @@ def winogrande_split(spark, d):
     return i.select("item_id", F.substring("text", F.lit(1), at - 1).alias("head"), F.substring("text", at + 1, F.length("text")).alias("tail"), F.replace("text", F.lit("_"), F.col("choices")[0]).alias("filled"))
 
 
-@query("benchmark_rollup", "SELECT e.eval_set, count(*) AS n, avg((md5('m|' || item_id) < md5('n|' || item_id))::INT) AS score, max(b) AS baseline FROM eval_items e LEFT JOIN (VALUES ('hellaswag', 0.25), ('winogrande', 0.5), ('openbookqa', 0.25), ('lambada', 0.0)) v(eval_set, b) ON e.eval_set = v.eval_set GROUP BY e.eval_set")
+# What guessing scores.
+BASELINES = (("hellaswag", 0.25), ("winogrande", 0.5), ("openbookqa", 0.25), ("lambada", 0.0))
+_V = ", ".join(f"('{k}', {v})" for k, v in BASELINES)
+_GOLD = "SELECT item_id, eval_set, len(choices) AS k, CASE WHEN eval_set = 'hellaswag' THEN try_cast(answer AS INT) WHEN regexp_matches(answer, '^[1-9]$') THEN answer::INT - 1 WHEN regexp_matches(answer, '^[A-J]$') THEN strpos('ABCDEFGHIJ', answer) - 1 END AS gold FROM eval_items WHERE choices IS NOT NULL"
+
+
+def gold_choices(spark, d):
+    """(item_id, eval_set, k, gold): items with choices, and the number of the right one."""
+    a = F.col("answer")
+    gold = F.when(F.col("eval_set") == "hellaswag", a.try_cast("int")).when(a.rlike("^[1-9]$"), a.try_cast("int") - 1).when(a.rlike("^[A-J]$"), F.instr(F.lit("ABCDEFGHIJ"), a) - 1)
+    return table(spark, d, "eval_items").filter("choices is not null").select("item_id", "eval_set", F.size("choices").alias("k"), gold.alias("gold"))
+
+
+@query("benchmark_rollup", f"SELECT g.eval_set, count(*) AS n, avg((g.gold = c.choice)::INT) AS score, max(b) AS baseline FROM ({_GOLD}) g JOIN (SELECT item_id, max_by(choice, (score, -choice)) AS choice FROM (SELECT g.item_id, l.item // 16 AS choice, avg(l.logit) AS score FROM ({_GOLD}) g JOIN ({_L}) l ON l.vec_id = g.item_id % (SELECT count(*) FROM embeddings) WHERE l.item // 16 < g.k GROUP BY 1, 2) GROUP BY item_id) c USING (item_id) LEFT JOIN (VALUES {_V}) v(eval_set, b) ON v.eval_set = g.eval_set GROUP BY g.eval_set")
 def benchmark_rollup(spark, d):
-    base = spark.createDataFrame([("hellaswag", 0.25), ("winogrande", 0.5), ("openbookqa", 0.25), ("lambada", 0.0)], "eval_set string, b double")
-    key = F.col("item_id").cast("string")
-    got = table(spark, d, "eval_items").select("eval_set", (F.md5(F.concat(F.lit("m|"), key)) < F.md5(F.concat(F.lit("n|"), key))).cast("int").alias("ok"))
-    return got.groupBy("eval_set").agg(F.count(F.lit(1)).alias("n"), F.avg("ok").alias("score")).join(base, "eval_set", "left").select("eval_set", "n", "score", F.col("b").alias("baseline"))
+    """Accuracy of each set against guessing: the choice of greatest mean score
+    is compared with the answer; sixteen values of a vector score each choice."""
+    base = spark.createDataFrame(BASELINES, "eval_set string, baseline double")
+    gold = gold_choices(spark, d)
+    n = table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n_vec"))
+    keyed = gold.crossJoin(F.broadcast(n)).withColumn("vec_id", F.col("item_id") % F.col("n_vec"))  # one row
+    scored = keyed.select("item_id", "k", "vec_id").join(logits(spark, d), "vec_id").withColumn("choice", F.floor(F.col("item") / 16)).filter("choice < k")
+    best = S.choose(S.mean_score(scored, ["item_id", "choice"], "logit"), "item_id", "choice", "score")
+    by = gold.join(best, "item_id").groupBy("eval_set").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("gold") == F.col("choice")).cast("int")).alias("score"))
+    return by.join(F.broadcast(base), "eval_set", "left")
+
+
+@query("lambada_accuracy", f"SELECT count(*) AS n, avg((lower(trim(guess)) = lower(trim(target)))::INT) AS accuracy FROM (SELECT regexp_extract(text, '(?s)^(.*) (.*)$', 2) AS target, answer AS guess FROM eval_items WHERE eval_set = 'lambada' AND answer IS NOT NULL)")
+def lambada_accuracy(spark, d):
+    """How many last words are the guessed one, but for case and outer blanks; the answer stands in for the guess."""
+    i = lambada_split(spark, d).join(table(spark, d, "eval_items").select("item_id", F.col("answer").alias("guess")), "item_id").filter("guess is not null")
+    return i.agg(F.count(F.lit(1)).alias("n"), F.avg((F.lower(F.trim("guess")) == F.lower(F.trim("target"))).cast("int")).alias("accuracy"))
+
+
+@query("val_by_source", f"SELECT source, sum(-least(logit, 0)) / count(*) AS loss, exp(least(sum(-least(logit, 0)) / count(*), 20)) AS perplexity FROM ({_L}) l JOIN (SELECT row_id % (SELECT count(*) FROM embeddings) AS vec_id, source FROM sft_rows) s USING (vec_id) GROUP BY source")
+def val_by_source(spark, d):
+    """Mean loss and capped perplexity of each source; vectors stand in for the tokens' scores."""
+    n = table(spark, d, "embeddings").agg(F.count(F.lit(1)).alias("n_vec"))
+    nll = -F.least(F.col("logit"), F.lit(0.0))
+    per = logits(spark, d).groupBy("vec_id").agg(F.sum(nll).alias("s"), F.count(F.lit(1)).alias("c"))
+    rows = table(spark, d, "sft_rows").select("source", "row_id").crossJoin(F.broadcast(n)).groupBy("source", (F.col("row_id") % F.col("n_vec")).alias("vec_id")).agg(F.count(F.lit(1)).alias("w"))  # one row
+    by = rows.join(per, "vec_id").groupBy("source").agg((F.sum(F.col("s") * F.col("w")) / F.sum(F.col("c") * F.col("w"))).alias("loss"))
+    return by.withColumn("perplexity", F.exp(F.least("loss", F.lit(20.0))))
 
 
 @query("response_lengths", f"SELECT source, count(*) AS n, avg(w) AS mean, stddev_pop(w) AS std, min(w) AS least, max(w) AS most FROM (SELECT source, len(list_filter(regexp_split_to_array(coalesce(output,''), '{_S}+'), lambda x: x <> '')) AS w FROM sft_rows) GROUP BY source")

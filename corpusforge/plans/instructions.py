@@ -6,14 +6,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify as C
 from ..functions import parsing as P
 from ..functions import prompts as R
 from ..functions import text as T
 from ..operators import decontam, packing, sampling
 from ..session import checkpoint_dir
 from ..sources.tables import spread, table
-from .documents import _S, hashed_ids
+from .documents import _S, hashed_ids, re2
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -37,13 +36,13 @@ def items(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "eval_items")
 
 
-def _strip(x: str) -> str:
+def strip_sql(x: str) -> str:
     return f"regexp_replace(coalesce({x},''), '^{_S}+|{_S}+$', '', 'g')"
 
 
 # ------------------------------------------------------------------ prompts
 
-_ALPACA = f"CASE WHEN {_strip('input')} <> '' THEN '{R.OPENING_WITH_INPUT}' || chr(10)||chr(10)||'### Instruction:'||chr(10)||{_strip('instruction')}||chr(10)||chr(10)||'### Input:'||chr(10)||{_strip('input')}||chr(10)||chr(10)||'### Response:'||chr(10) ELSE '{R.OPENING}' || chr(10)||chr(10)||'### Instruction:'||chr(10)||{_strip('instruction')}||chr(10)||chr(10)||'### Response:'||chr(10) END"
+_ALPACA = f"CASE WHEN {strip_sql('input')} <> '' THEN '{R.OPENING_WITH_INPUT}' || chr(10)||chr(10)||'### Instruction:'||chr(10)||{strip_sql('instruction')}||chr(10)||chr(10)||'### Input:'||chr(10)||{strip_sql('input')}||chr(10)||chr(10)||'### Response:'||chr(10) ELSE '{R.OPENING}' || chr(10)||chr(10)||'### Instruction:'||chr(10)||{strip_sql('instruction')}||chr(10)||chr(10)||'### Response:'||chr(10) END"
 
 
 @query("alpaca_prompt", f"SELECT row_id, md5({_ALPACA}) AS prompt_md5 FROM sft_rows")
@@ -51,21 +50,23 @@ def alpaca_prompt(spark, d):
     return sft(spark, d).select("row_id", F.md5(R.alpaca("instruction", "input")).alias("prompt_md5"))
 
 
-@query("alpaca_parse", f"SELECT row_id, {_strip('instruction')} AS instruction, {_strip('input')} AS input FROM sft_rows WHERE NOT regexp_matches(coalesce(instruction,'')||coalesce(input,''), '### ')")
+_PARSED = r"(?s)### Instruction:\n(.*?)\n\n(?:### Input:\n(.*?)\n\n)?### Response:\n"
+
+
+@query("alpaca_parse", f"SELECT row_id, regexp_extract(p, '{_PARSED}', 1) AS instruction, regexp_extract(p, '{_PARSED}', 2) AS input FROM (SELECT row_id, {_ALPACA} AS p FROM sft_rows)")
 def alpaca_parse(spark, d):
-    plain = sft(spark, d).filter(~F.concat(T.text_of("instruction"), T.text_of("input")).contains("### "))
-    return plain.select("row_id", R.alpaca("instruction", "input").alias("p")).select("row_id", *[c.alias(k) for k, c in R.alpaca_parts("p").items()])
+    return sft(spark, d).select("row_id", R.alpaca("instruction", "input").alias("p")).select("row_id", *[c.alias(k) for k, c in R.alpaca_parts("p").items()])
 
 
-_OPTS = f"array_to_string(list_transform(choices, lambda x, i: substr('ABCDEFGHIJ', i::INT, 1) || ') ' || {_strip('x')}), chr(10))"
+_OPTS = f"array_to_string(list_transform(choices, lambda x, i: substr('ABCDEFGHIJ', i::INT, 1) || ') ' || {strip_sql('x')}), chr(10))"
 
 
-@query("mc_instruction", f"SELECT item_id, md5({_strip('text')} || chr(10)||chr(10) || {_OPTS}) AS prompt_md5 FROM eval_items WHERE choices IS NOT NULL")
+@query("mc_instruction", f"SELECT item_id, md5({strip_sql('text')} || chr(10)||chr(10) || {_OPTS}) AS prompt_md5 FROM eval_items WHERE choices IS NOT NULL")
 def mc_instruction(spark, d):
     return items(spark, d).filter("choices is not null").select("item_id", F.md5(R.choice_instruction("text", "choices")).alias("prompt_md5"))
 
 
-@query("mc_prompt", f"SELECT item_id, md5('Context: ' || {_strip('text')} || chr(10) || {_OPTS} || chr(10) || 'Answer:') AS prompt_md5 FROM eval_items WHERE choices IS NOT NULL")
+@query("mc_prompt", f"SELECT item_id, md5('Context: ' || {strip_sql('text')} || chr(10) || {_OPTS} || chr(10) || 'Answer:') AS prompt_md5 FROM eval_items WHERE choices IS NOT NULL")
 def mc_prompt(spark, d):
     return items(spark, d).filter("choices is not null").select("item_id", F.md5(R.choice_prompt("text", "choices")).alias("prompt_md5"))
 
@@ -84,7 +85,10 @@ def mc_shuffled_options(spark, d):
     return items(spark, d).filter("choices is not null and size(choices) = 4").select("item_id", F.array_position(order, F.col("choices")[0]).alias("place"))
 
 
-@query("mc_options")
+_MARKED = "regexp_replace(translate(coalesce(instruction,''), chr(1)||chr(2), ''), '" + re2(P.LABEL) + "', chr(1)||'\\1\\2'||chr(2), 'g')"
+
+
+@query("mc_options", f"SELECT row_id, letter, option FROM (SELECT row_id, k, upper(x[1]) AS letter, {strip_sql('x[3:]')} AS option FROM (SELECT row_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM (SELECT row_id, string_split({_MARKED}, chr(1))[2:] AS xs FROM sft_rows))) WHERE option <> '' QUALIFY row_number() OVER (PARTITION BY row_id, letter ORDER BY k) = 1")
 def mc_options(spark, d):
     found = sft(spark, d).select("row_id", P.options("instruction").alias("m"))
     return found.filter(F.size("m") > 0).select("row_id", F.explode("m").alias("letter", "option"))
@@ -149,11 +153,12 @@ def ancestor_chain(spark, d):
     return R.ancestor_chains(messages(spark, d)).select("message_id", "depth")
 
 
-@query("best_reply", "SELECT parent_id, min_by(message_id, (created_date, message_id)) AS message_id FROM (SELECT 'a' || row_id AS message_id, source || '/' || (row_id // 1000) AS parent_id, coalesce(created_date, '') AS created_date FROM sft_rows) GROUP BY parent_id")
+@query("best_reply", "SELECT parent_id, min_by(message_id, (coalesce(r, 1000000), -coalesce(c, 0), created_date, message_id)) AS message_id FROM (SELECT 'a' || row_id AS message_id, source || '/' || (row_id // 1000) AS parent_id, CASE WHEN length(output) % 4 > 0 THEN length(output) % 4 END AS r, CASE WHEN length(instruction) % 3 > 0 THEN length(instruction) % 3 END AS c, coalesce(created_date, '') AS created_date FROM sft_rows) GROUP BY parent_id")
 def best_reply(spark, d):
-    """Of the replies of one source in a thousand of ids, the earliest."""
+    """Of the replies of one source in a thousand of ids, the best; lengths stand in for rank and reviews."""
+    some = lambda c, k: F.when(F.length(c) % k > 0, F.length(c) % k)
     said = sft(spark, d).select(
-        F.concat(F.lit("a"), "row_id").alias("message_id"), F.concat(F.col("source"), F.lit("/"), F.floor(F.col("row_id") / 1000)).alias("parent_id"), F.lit("assistant").alias("role"), F.lit(None).cast("int").alias("rank"), F.lit(None).cast("int").alias("review_count"), "created_date"
+        F.concat(F.lit("a"), "row_id").alias("message_id"), F.concat(F.col("source"), F.lit("/"), F.floor(F.col("row_id") / 1000)).alias("parent_id"), F.lit("assistant").alias("role"), some("output", 4).alias("rank"), some("instruction", 3).alias("review_count"), "created_date"
     )
     return R.best_reply(said)
 
@@ -197,16 +202,28 @@ def cloze_drops(spark, d):
 _NORM = f"regexp_replace(regexp_replace(regexp_replace(lower(%s), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '{_S}+', ' ', 'g'), '^{_S}+|{_S}+$', '', 'g')"
 
 
-@query("eval_hash_match")
+def prompts(spark, d) -> DataFrame:
+    """The pairs, and the items themselves in capitals and other marks, as
+    prompts: (prompt_id, instruction, input)."""
+    pairs = sft(spark, d).select(F.concat(F.lit("r"), "row_id").alias("prompt_id"), "instruction", "input")
+    own = items(spark, d).select(F.concat(F.lit("i"), "item_id").alias("prompt_id"), F.concat(F.upper(T.text_of("text")), F.lit(" ?!\n\nMore.")).alias("instruction"), F.lit("").alias("input"))
+    return pairs.unionByName(own)
+
+
+_FORMS = f"SELECT prompt_id, unnest([i, CASE WHEN {strip_sql('x')} <> '' THEN i || chr(10)||chr(10) || x END, string_split(i, chr(10)||chr(10))[1]]) AS f FROM (SELECT 'r' || row_id AS prompt_id, coalesce(instruction,'') AS i, coalesce(input,'') AS x FROM sft_rows UNION ALL SELECT 'i' || item_id, upper(coalesce(text,'')) || ' ?!' || chr(10)||chr(10) || 'More.', '' FROM eval_items)"
+_MATCHED = f"SELECT DISTINCT prompt_id, eval_set FROM (SELECT prompt_id, {_NORM % 'f'} AS t FROM ({_FORMS}) WHERE f IS NOT NULL) JOIN (SELECT {_NORM % 'text'} AS t, eval_set FROM eval_items WHERE text IS NOT NULL) USING (t) WHERE t <> ''"
+
+
+@query("eval_hash_match", _MATCHED)
 def eval_hash_match(spark, d):
-    """Documents as prompts: those equal to an item up to marks and case, or beginning with it as a paragraph."""
-    rows = table(spark, d, "documents").select("doc_id", F.col("text").alias("instruction"), F.lit("").alias("input"))
-    return decontam.matching_sets(rows, decontam.eval_hashes(items(spark, d)), "doc_id")
+    """The sets whose items a prompt equals but for marks and case, as a whole,
+    with its input, or by its first paragraph."""
+    return decontam.matching_sets(prompts(spark, d), decontam.eval_hashes(items(spark, d)), "prompt_id")
 
 
-@query("contamination_counters")
+@query("contamination_counters", f"SELECT eval_set, count(DISTINCT prompt_id) AS n FROM ({_MATCHED}) GROUP BY eval_set")
 def contamination_counters(spark, d):
-    return eval_hash_match(spark, d).groupBy("eval_set").agg(F.countDistinct("doc_id").alias("n"))
+    return eval_hash_match(spark, d).groupBy("eval_set").agg(F.countDistinct("prompt_id").alias("n"))
 
 
 @query("eval_hash_sets", f"SELECT sha256(t) AS h, array_to_string(list_sort(list_distinct(list(eval_set))), ',') AS eval_sets FROM (SELECT {_NORM % 'text'} AS t, eval_set FROM eval_items WHERE text IS NOT NULL) WHERE t <> '' GROUP BY t")
@@ -234,6 +251,15 @@ def tokenise_pair(spark, d):
     return tokenised(spark, d).select("row_id", F.col("prompt_len").cast("long").alias("prompt_len"), "dropped", "truncated", F.when(F.col("input_ids").isNotNull(), F.size("input_ids")).cast("long").alias("n"))
 
 
+@query("training_size", f"SELECT floor(count(*) / 16.0 / 4 * 3)::BIGINT AS optimizer_steps, round(avg(len) * 64, 2) AS mean_tokens_per_step, (sum(len) * 3)::BIGINT AS token_passes FROM (SELECT row_number() OVER (PARTITION BY source ORDER BY md5('42|' || row_id), row_id) AS rn, count(*) OVER (PARTITION BY source) AS n, p + b AS len FROM ({_TOK})) WHERE rn > CASE WHEN n > 1 THEN least(greatest(1, floor(n * 0.05)), n - 1) ELSE 1 END")
+def training_size(spark, d):
+    """Steps, tokens a step and tokens passed of three epochs over the training
+    rows, in batches of 16 pairs, four to a step."""
+    size = F.size(hashed_ids(F.concat_ws("\n", "instruction", "input"))) + F.size(hashed_ids("output"))
+    rows = sampling.split_groups(sft(spark, d).select("row_id", "source", size.cast("long").alias("len"))).filter("split = 'train'")
+    return rows.agg(F.floor(F.count(F.lit(1)) / 16 / 4 * 3).alias("optimizer_steps"), F.round(F.avg("len") * 64, 2).alias("mean_tokens_per_step"), (F.sum("len") * 3).cast("long").alias("token_passes"))
+
+
 @query("source_quality", f"SELECT source, count(*) AS n, avg(dropped::INT) AS dropped_rate, avg(truncated::INT) AS truncated_rate FROM ({_TOK}) GROUP BY source")
 def source_quality(spark, d):
     return tokenised(spark, d).groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("dropped").cast("int")).alias("dropped_rate"), F.avg(F.col("truncated").cast("int")).alias("truncated_rate"))
@@ -258,55 +284,7 @@ def dpo_collate(spark, d):
     return padded.select("row_id", F.size("chosen").cast("long").alias("n"), *[F.size(F.filter(f"{x}_mask", lambda m: m)).cast("long").alias(f"n_{x}") for x in ("chosen", "rejected")])
 
 
-# --------------------------------------------------------------------- mix
-
-
-def classified(spark, d) -> DataFrame:
-    return C.classify(spread(sft(spark, d).select("row_id", "source", "instruction", "input", "output")))
-
-
-@query("classify_tasks")
-def classify_tasks(spark, d):
-    return classified(spark, d).select("row_id", "primary_task", *C.FLAGS)
-
-
-@query("task_mix")
-def task_mix(spark, d):
-    by = classified(spark, d).groupBy("primary_task").agg(F.count(F.lit(1)).alias("n"))
-    return by.withColumn("pct", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy()))  # one row a task
-
-
-@query("source_task_crosstab")
-def source_task_crosstab(spark, d):
-    by = classified(spark, d).groupBy("source", "primary_task").agg(F.count(F.lit(1)).alias("n"))
-    return by.withColumn("pct", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy("source")))
-
-
-@query("flag_mix")
-def flag_mix(spark, d):
-    one = classified(spark, d).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(f).alias(f) for f in C.FLAGS])
-    return one.selectExpr("total", "stack(%d, %s) as (flag, n)" % (len(C.FLAGS), ", ".join(f"'{f}', {f}" for f in C.FLAGS))).select("flag", "n", (F.lit(100.0) * F.col("n") / F.col("total")).alias("pct"))
-
-
-TARGETS = (("multiple_choice", 20.0, 30.0), ("open_qa", 20.0, 30.0), ("general_instruction", 20.0, 30.0), ("summarization", 5.0, 10.0), ("translation", 2.0, 8.0), ("chat", 5.0, 15.0), ("creative_writing", 2.0, 5.0))
-
-
-@query("target_mix_status")
-def target_mix_status(spark, d):
-    goal = spark.createDataFrame(TARGETS, "area string, low double, high double")
-    share = task_mix(spark, d).select(F.col("primary_task").alias("area"), "pct")
-    flags = flag_mix(spark, d).select(F.col("flag").alias("area"), F.col("pct").alias("flag_pct"))
-    pct = F.coalesce("flag_pct", "pct", F.lit(0.0))
-    j = goal.join(flags, "area", "left").join(share, "area", "left").select("area", "low", "high", pct.alias("pct"))
-    return j.select("area", "pct", (F.col("pct") - (F.col("low") + F.col("high")) / 2).alias("delta"), F.when(F.col("pct") < F.col("low"), "low").when(F.col("pct") > F.col("high"), "high").otherwise("ok").alias("status"))
-
-
-@query("mc_compliance", r"SELECT source, count(*) AS n, avg(regexp_matches(coalesce(output,''), '^\s*[A-D]\s*$')::INT) AS letter_only, avg(regexp_matches(coalesce(output,''), '^\s*[A-D]\b')::INT) AS letter_first FROM sft_rows WHERE starts_with(instruction, 'Which option') GROUP BY source")
-def mc_compliance(spark, d):
-    o = T.text_of("output")
-    rows = sft(spark, d).filter(F.col("instruction").startswith("Which option"))
-    return rows.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg(o.rlike(r"^\s*[A-D]\s*$").cast("int")).alias("letter_only"), F.avg(o.rlike(r"^\s*[A-D]\b").cast("int")).alias("letter_first"))
-
+# -------------------------------------------------------------------- sizes
 
 _SPLIT = f"SELECT s.*, CASE WHEN rn <= CASE WHEN n > 1 THEN least(greatest(1, floor(n * 0.05)), n - 1) ELSE 1 END THEN 'val' ELSE 'train' END AS part, length(coalesce(instruction,'')) + length(coalesce(input,'')) + length(coalesce(output,'')) AS chars, length(coalesce(output,'')) AS out_chars FROM (SELECT *, row_number() OVER (PARTITION BY source ORDER BY md5('42|' || row_id), row_id) AS rn, count(*) OVER (PARTITION BY source) AS n FROM sft_rows) s"
 
@@ -346,31 +324,6 @@ def describe_lengths(spark, d):
     return x.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), F.min("x").alias("least"), *[F.percentile("x", F.lit(p / 100)).alias(f"p{p}") for p in (50, 75, 90, 95, 99)], F.max("x").alias("most"))
 
 
-_FULL = "coalesce(instruction,'') || chr(1) || coalesce(input,'') || chr(1) || coalesce(output,'')"
-
-
-@query("mix_overview", f"SELECT count(*) AS n, count(DISTINCT source) AS n_sources, 100.0 * count(*) FILTER ({_strip('input')} <> '') / count(*) AS has_input_pct, count(*) FILTER ({_strip('output')} = '') AS empty_outputs, 100.0 * (count(*) - count(DISTINCT md5({_FULL}))) / count(*) AS duplicate_pct FROM sft_rows")
-def mix_overview(spark, d):
-    full = F.md5(F.concat_ws("\x01", T.text_of("instruction"), T.text_of("input"), T.text_of("output")))
-    # duplicates by digest, partially aggregated before the shuffle
-    by = sft(spark, d).groupBy(full.alias("h"), "source").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.strip(T.text_of("input")) != "").alias("given"), F.count_if(T.strip(T.text_of("output")) == "").alias("empty"))
-    one = by.groupBy("h").agg(F.sum("n").alias("n"), F.sum("given").alias("given"), F.sum("empty").alias("empty"), F.collect_set("source").alias("s"))
-    total = F.sum("n")
-    return one.agg(total.alias("n"), F.size(F.array_distinct(F.flatten(F.collect_set("s")))).cast("long").alias("n_sources"), (F.lit(100.0) * F.sum("given") / total).alias("has_input_pct"), F.sum("empty").alias("empty_outputs"), (F.lit(100.0) * (total - F.count(F.lit(1))) / total).alias("duplicate_pct"))
-
-
-@query("risk_table", f"SELECT count(*) FILTER ({_strip('output')} = '') AS empty_output, count(*) FILTER (length(coalesce(output,'')) < 10) AS short_output, count(*) FILTER (length(coalesce(output,'')) > p) AS long_output, count(*) FILTER (k > 1) AS duplicated, count(*) FILTER ({_strip('instruction')} = '') AS empty_instruction, count(*) FILTER (output = input) AS echo FROM (SELECT *, count(*) OVER (PARTITION BY md5({_FULL})) AS k FROM sft_rows), (SELECT quantile_cont(length(coalesce(output,'')), 0.95) AS p FROM sft_rows)")
-def risk_table(spark, d):
-    rows = sft(spark, d).select("instruction", "input", "output", F.md5(F.concat_ws("\x01", T.text_of("instruction"), T.text_of("input"), T.text_of("output"))).alias("h"), F.length(T.text_of("output")).alias("n_out"))
-    p = rows.agg(F.percentile("n_out", F.lit(0.95)).alias("p"))
-    groups = rows.groupBy("h").agg(F.count(F.lit(1)).alias("k")).agg(F.coalesce(F.sum(F.when(F.col("k") > 1, F.col("k"))), F.lit(0)).alias("duplicated"))
-    flags = rows.crossJoin(F.broadcast(p)).agg(  # one row
-        F.count_if(T.strip(T.text_of("output")) == "").alias("empty_output"), F.count_if(F.col("n_out") < 10).alias("short_output"), F.count_if(F.col("n_out") > F.col("p")).alias("long_output"),
-        F.count_if(T.strip(T.text_of("instruction")) == "").alias("empty_instruction"), F.count_if(F.col("output") == F.col("input")).alias("echo"),
-    )
-    return flags.crossJoin(F.broadcast(groups))  # one row each
-
-
 @query("record_normalise", "SELECT row_id, coalesce(nullif(instruction,''), nullif(input,''), '') AS instruction, coalesce(nullif(input,''), '') AS input, coalesce(nullif(output,''), '') AS output FROM sft_rows")
 def record_normalise(spark, d):
     from ..sources.files import normalise_records
@@ -386,13 +339,13 @@ _LAST = f"list_extract(string_split({_HH}, chr(10)||chr(10)||'Human: '), -1)"
 _CUT = "string_split(l, chr(10)||chr(10)||'Assistant: ')"
 
 
-@query("transcript_turn", f"SELECT row_id, {_strip(_CUT + '[1]')} AS prompt, {_strip('array_to_string(' + _CUT + '[2:], chr(10)||chr(10)||' + chr(39) + 'Assistant: ' + chr(39) + ')')} AS reply FROM (SELECT row_id, {_LAST} AS l FROM sft_rows)")
+@query("transcript_turn", f"SELECT row_id, {strip_sql(_CUT + '[1]')} AS prompt, {strip_sql('array_to_string(' + _CUT + '[2:], chr(10)||chr(10)||' + chr(39) + 'Assistant: ' + chr(39) + ')')} AS reply FROM (SELECT row_id, {_LAST} AS l FROM sft_rows)")
 def transcript_turn(spark, d):
     text = F.concat(F.lit("\n\nHuman: "), T.text_of("instruction"), F.lit("\n\nAssistant: sure.\n\nHuman: "), F.coalesce(F.nullif("input", F.lit("")), F.lit("go on")), F.lit("\n\nAssistant: "), T.text_of("output"))
     return sft(spark, d).select("row_id", text.alias("t")).select("row_id", *[c.alias(k) for k, c in R.transcript_turn("t").items()])
 
 
-@query("preference_pairs", f"SELECT row_id FROM sft_rows WHERE review_result AND {_strip('instruction')} <> '' AND {_strip('output')} <> '' AND {_strip('left(output, 20)')} <> ''")
+@query("preference_pairs", f"SELECT row_id FROM sft_rows WHERE review_result AND {strip_sql('instruction')} <> '' AND {strip_sql('output')} <> '' AND {strip_sql('left(output, 20)')} <> ''")
 def preference_pairs(spark, d):
     rows = sft(spark, d).select("row_id", F.when(F.col("review_result"), "win").otherwise(" TIE ").alias("status"), F.col("instruction").alias("input"), F.col("output").alias("chosen"), F.substring("output", 1, 20).alias("rejected"))
     return R.usable_pairs(rows).select("row_id")
@@ -403,7 +356,7 @@ def batch_plan(spark, d):
     return sampling.batches(sft(spark, d).select("row_id"), 64, "row_id").select("row_id", "batch_id")
 
 
-@query("simple_sentences")
+@query("simple_sentences", f"SELECT doc_id, len(list_filter(string_split(regexp_replace(coalesce(text,''), '([.!?]){_S}+([A-Z])', '\\1' || chr(1) || '\\2', 'g'), chr(1)), lambda x: {strip_sql('x')} <> ''))::INT AS n FROM documents")
 def simple_sentences(spark, d):
     s = table(spark, d, "documents").select("doc_id", T.simple_sentences("text").alias("s"))
     return s.select("doc_id", F.size("s").alias("n"))

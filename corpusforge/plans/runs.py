@@ -121,8 +121,10 @@ def capped_perplexity(spark, d):
 
 @query("accumulation_windows", f"SELECT run_name, (k - 1) // 8 AS window_id, count(*) AS n, avg(train_loss) AS loss FROM (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY step) AS k FROM ({_STEPS})) GROUP BY 1, 2")
 def accumulation_windows(spark, d):
-    k = F.row_number().over(Window.partitionBy("run_name").orderBy("step"))
-    return steps(spark, d).withColumn("window_id", F.floor((k - 1) / 8)).groupBy("run_name", "window_id").agg(F.count(F.lit(1)).alias("n"), F.avg("train_loss").alias("loss"))
+    """Means over eight steps. Steps are numbered as a running sum in blocks, so a long run is many tasks."""
+    one = steps(spark, d).select("run_name", "step", "train_loss", F.lit(1).cast("long").alias("one"))
+    numbered = M.running(one, "run_name", "step", "one", "sum", "k")
+    return numbered.groupBy("run_name", F.floor((F.col("k") - 1) / 8).alias("window_id")).agg(F.count(F.lit(1)).alias("n"), F.avg("train_loss").alias("loss"))
 
 
 @query("tail_values", f"SELECT run_name, step, train_loss FROM (SELECT *, row_number() OVER (PARTITION BY run_name ORDER BY step DESC) AS k FROM ({_STEPS})) WHERE k <= 10")
@@ -131,33 +133,54 @@ def tail_values(spark, d):
     return steps(spark, d).withColumn("k", k).filter("k <= 10").select("run_name", "step", "train_loss")
 
 
-@query("training_size", f"SELECT run_name, floor(n / 16.0 / 4 * 3)::BIGINT AS opt_steps, t / n AS mean_tokens FROM (SELECT run_name, count(*) AS n, sum(coalesce(tokens_per_sec, 0)) AS t FROM ({_STEPS}) GROUP BY run_name)")
-def training_size(spark, d):
-    by = steps(spark, d).groupBy("run_name").agg(F.count(F.lit(1)).alias("n"), F.sum(F.coalesce("tokens_per_sec", F.lit(0.0))).alias("t"))
-    return by.select("run_name", F.floor(F.col("n") / 16 / 4 * 3).alias("opt_steps"), (F.col("t") / F.col("n")).alias("mean_tokens"))
+_FACTOR = "CASE WHEN s < 100 THEN s / 100.0 %s ELSE 0.1 + 0.9 * 0.5 * (1 + cos(pi() * least(1.0, (s - %s) / %s))) END"
 
 
-@query("lr_cosine", "SELECT s AS step, CASE WHEN s < 100 THEN 3e-4 * (s + 1) / 100 ELSE 3e-5 + 0.5 * (3e-4 - 3e-5) * (1 + cos(pi() * least(1.0, (s - 100) / 900.0))) END AS lr FROM range(0, 1000) t(s)")
+@query("lr_cosine", f"SELECT s AS step, 3e-4 * {_FACTOR % ('', 100, 900.0)} AS lr FROM range(0, 1200) t(s)")
 def lr_cosine(spark, d):
-    return spark.range(1000).select(F.col("id").alias("step"), M.cosine(F.col("id"), 3e-4, 3e-5, 100, 1000).alias("lr"))
+    return spark.range(1200).select(F.col("id").alias("step"), M.cosine(F.col("id"), 3e-4, 0.1, 100, 1000).alias("lr"))
 
 
-@query("lr_wsd", "SELECT s AS step, CASE WHEN s < 100 THEN 3e-4 * (s + 1) / 100 WHEN s < 800 THEN 3e-4 ELSE 3e-5 + (3e-4 - 3e-5) * (1 - least(1.0, (s - 800) / 200.0)) END AS lr FROM range(0, 1000) t(s)")
+@query("lr_wsd", f"SELECT s AS step, 3e-4 * {_FACTOR % ('WHEN s < 800 THEN 1.0', 800, 200.0)} AS lr FROM range(0, 1200) t(s)")
 def lr_wsd(spark, d):
-    return spark.range(1000).select(F.col("id").alias("step"), M.warm_stable_decay(F.col("id"), 3e-4, 3e-5, 100, 800, 1000).alias("lr"))
+    return spark.range(1200).select(F.col("id").alias("step"), M.warm_stable_decay(F.col("id"), 3e-4, 0.1, 100, 1000, 0.2).alias("lr"))
 
 
-@query("parameter_count", "SELECT h AS d_model, l AS layers, 50257 * h + l * (4 * h * h + 2 * h * 4 * h + 2 * h) + h AS n_params FROM (SELECT unnest([256, 384, 512]) AS h), (SELECT unnest([4, 6, 8]) AS l)")
+_SHAPED = "SELECT run_name, CASE WHEN contains(run_name, 'swiglu') THEN 'swiglu' ELSE 'gelu' END AS activation, 128 + 64 * (length(run_name) % 7) AS d_model, 4 + length(run_name) % 5 AS n_layers, 8 * (128 + 64 * (length(run_name) % 7)) // 3 AS d_ff FROM (SELECT DISTINCT run_name FROM train_metrics)"
+
+
+@query("parameter_count", f"SELECT run_name, activation, d_model, n_layers, d_ff, (50257 * d_model + n_layers * (4 * d_model * d_model + CASE activation WHEN 'swiglu' THEN 3 ELSE 2 END * d_model * d_ff + 2 * d_model) + d_model)::BIGINT AS n_params FROM ({_SHAPED})")
 def parameter_count(spark, d):
-    """Closed form over a grid of shapes: the one cross product of the engine, of constants."""
-    grid = spark.createDataFrame([(h, n) for h in (256, 384, 512) for n in (4, 6, 8)], "d_model long, layers long")
-    h = F.col("d_model")
-    return grid.withColumn("n_params", 50_257 * h + F.col("layers") * (4 * h * h + 2 * h * 4 * h + 2 * h) + h)
+    """The closed form over the runs, with shapes that stand for their configs."""
+    size = F.length("run_name")
+    h = F.lit(128) + 64 * (size % 7)
+    runs = table(spark, d, "train_metrics").select("run_name").distinct()
+    shapes = runs.select("run_name", F.when(F.contains("run_name", F.lit("swiglu")), "swiglu").otherwise("gelu").alias("activation"), h.cast("long").alias("d_model"), (4 + size % 5).cast("long").alias("n_layers"), F.floor(8 * h / 3).alias("d_ff"))
+    return M.parameter_count(shapes)
 
 
-@query("experiment_grid", "SELECT b AS beta, l AS lr, e AS epochs FROM (SELECT unnest([0.1, 0.3]) AS b), (SELECT unnest([1e-6, 5e-6, 1e-5]) AS l), (SELECT unnest([1, 2]) AS e)")
+@query("experiment_grid", f"SELECT 'sft' || p || '_b' || b || '_e' || e AS name, run_name AS checkpoint, b AS beta, e AS epochs FROM (SELECT run_name, row_number() OVER (ORDER BY best_val, run_name) AS p FROM ({_RUN}) WHERE best_val IS NOT NULL QUALIFY p <= 2), (SELECT unnest([0.1, 0.3, 0.5])::DOUBLE AS b), (SELECT unnest([1, 3]) AS e)")
 def experiment_grid(spark, d):
-    return spark.createDataFrame([(b, lr, e) for b in (0.1, 0.3) for lr in (1e-6, 5e-6, 1e-5) for e in (1, 2)], "beta double, lr double, epochs int")
+    """The settings of a sweep over the two best runs."""
+    best = topk_runs(spark, d)
+    first = best.withColumn("place", F.row_number().over(Window.orderBy("best_val", "run_name"))).filter("place <= 2")  # five rows
+    return M.sweep(first.select("place", F.col("run_name").alias("checkpoint")), (0.1, 0.3, 0.5), (1, 3))
+
+
+@query("trial_table", f"SELECT run_name, best_val, exp(best_val) AS val_ppl, n_steps, 100.0 * (max(best_val) OVER () - best_val) / max(best_val) OVER () AS gain_pct FROM ({_RUN}) WHERE best_val IS NOT NULL")
+def trial_table(spark, d):
+    """Runs with a value, their perplexity, and how far they are below the worst."""
+    done = summary(spark, d).filter("best_val is not null").select("run_name", "best_val", F.exp("best_val").alias("val_ppl"), "n_steps")
+    return M.improvement(done)
+
+
+@query("throughput", f"SELECT run_name, avg(tokens_per_sec) AS mean_rate, sum(524288) / sum(524288 / tokens_per_sec) AS overall_rate, rank() OVER (ORDER BY avg(tokens_per_sec) DESC, run_name) = 1 AS fastest FROM ({_STEPS}) WHERE tokens_per_sec > 0 GROUP BY run_name")
+def throughput(spark, d):
+    """Tokens a second of each run, over steps and over time, and which is fastest."""
+    rate = F.col("tokens_per_sec")
+    by = steps(spark, d).filter(rate > 0).groupBy("run_name").agg(F.avg(rate).alias("mean_rate"), (F.sum(F.lit(524_288)) / F.sum(F.lit(524_288) / rate)).alias("overall_rate"))
+    top = by.agg(F.min(F.struct(-F.col("mean_rate"), "run_name"))["run_name"].alias("_top"))
+    return by.crossJoin(F.broadcast(top)).select("run_name", "mean_rate", "overall_rate", (F.col("run_name") == F.col("_top")).alias("fastest"))  # one row
 
 
 @query("run_slug", "SELECT DISTINCT run_name, trim(regexp_replace(lower(run_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug, regexp_replace(run_name, '_s\\d+$', '') AS config FROM train_metrics")

@@ -29,11 +29,13 @@ def get_session(master: str = "local[8]", shuffle_partitions: int = 8, **extra:
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder of the cluster; a temporary one only where
-    none is configured, as in local tests."""
+    none is configured and the master is local, as in tests."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if current:
         return current
+    if not configured and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is not set: a cluster needs a folder that all its machines share")
     path = configured or os.path.join(tempfile.gettempdir(), "corpusforge-checkpoints")
     spark.sparkContext.setCheckpointDir(path)
     return path

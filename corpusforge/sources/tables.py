@@ -24,7 +24,18 @@ def spread(df: DataFrame, per_core: int = 1) -> DataFrame:
 
 
 def partitions(df: DataFrame, unknown: int) -> int:
-    """Number of scan partitions of ``df``; ``unknown`` where its plan has an exchange."""
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return unknown
-    return df.rdd.getNumPartitions()
+    """Number of scan partitions of ``df``; ``unknown`` where its plan has an
+    exchange, which would run only to be counted."""
+
+    def shuffled(node) -> bool:
+        # an adaptive plan is one with exchanges
+        if node.nodeName() in ("AdaptiveSparkPlan", "Exchange", "BroadcastExchange"):
+            return True
+        children = node.children()
+        return any(shuffled(children.apply(k)) for k in range(children.size()))
+
+    return unknown if shuffled(df._jdf.queryExecution().executedPlan()) else df.rdd.getNumPartitions()
+
+
+def shuffle_partitions(spark: SparkSession) -> int:
+    return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from corpusforge.functions import prompts as R
 from corpusforge.operators import decontam, dedup, packing, runs, sampling, scoring
-from corpusforge.plans import catalog
+from corpusforge.plans import catalog, mixture
 
 DOCS = "doc_id long, text string, source string, id long, text_md5 string"
 
@@ -229,3 +229,68 @@ def test_random_running_sum(spark):
     for g, k, v in values:
         total[g] = total.get(g, 0) + v
         assert got[g, k] == total[g]
+
+
+def test_schedules_by_hand(spark):
+    steps = spark.createDataFrame([(s,) for s in (0, 5, 10, 60, 110, 500)], "s long")
+    cos = [r[0] for r in steps.select(runs.cosine(F.col("s"), 2.0, 0.1, 10, 110)).collect()]
+    assert cos == pytest.approx([0.0, 1.0, 2.0, 2 * 0.55, 0.2, 0.2])
+    wsd = [r[0] for r in steps.select(runs.warm_stable_decay(F.col("s"), 2.0, 0.1, 10, 110, 0.5)).collect()]
+    # the fall takes 55 steps from step 55 on
+    assert wsd[:3] == pytest.approx([0.0, 1.0, 2.0]) and wsd[4:] == pytest.approx([0.2, 0.2]) and wsd[3] == pytest.approx(2 * (0.1 + 0.45 * (1 + math.cos(math.pi * 5 / 55))))
+
+
+def test_parameter_count_by_hand(spark):
+    df = spark.createDataFrame([(4, 2, 10, "swiglu"), (4, 2, 10, "gelu")], "d_model long, n_layers long, d_ff long, activation string")
+    # 100 x 4, two blocks of 4 x 16 and three (or two) 4 x 10 and 8, and 4
+    assert [r.n_params for r in runs.parameter_count(df, 100).collect()] == [400 + 2 * (64 + 120 + 8) + 4, 400 + 2 * (64 + 80 + 8) + 4]
+
+
+def test_target_status_by_hand(spark):
+    targets = spark.createDataFrame([("a", 10.0, 20.0), ("b", 10.0, 20.0), ("c", 10.0, 20.0)], "area string, low double, high double")
+    now = spark.createDataFrame([("a", 25.004), ("b", 10.0)], "area string, pct double")
+    got = {r.area: (r.current_pct, r.delta_to_mid, r.status) for r in mixture.target_status(now, targets).collect()}
+    assert got == {"a": (25.0, -10.0, "high"), "b": (10.0, 5.0, "ok"), "c": (0.0, 15.0, "low")}
+
+
+def test_whole_text(spark):
+    df = spark.createDataFrame([(" i ", None, "o"), ("", "", ""), (None, "x", None)], "instruction string, input string, output string")
+    assert [r.full_text for r in mixture.whole_text(df).collect()] == ["i\n\no", "", "x"]
+
+
+@pytest.mark.parametrize("digits", [1, 3])
+def test_ranks_do_not_depend_on_the_ranges(spark, digits):
+    df = spark.createDataFrame([(k % 50, "a" if k % 3 else None) for k in range(300)], "row_id long, source string")
+    plain = sorted((r.source or "", r.rn, r.row_id) for r in sampling.ranked(df, ["source"], "row_id").collect())
+    assert plain == sorted((r.source or "", r.rn, r.row_id) for r in sampling.ranked(df, ["source"], "row_id", digits=digits).collect())
+
+
+def test_offsets_of_repeated_and_null_ids(spark):
+    df = spark.createDataFrame([(k // 2, k % 7) for k in range(200)] + [(None, 3)], "doc_id long, n_tokens long").repartition(5)
+    rows = sorted(packing.offsets(df).collect(), key=lambda r: r.token_offset + (r.n_tokens > 0) / 2)
+    assert len(rows) == 200 and [r.doc_id for r in rows] == sorted(r.doc_id for r in rows)
+    total = 0
+    for r in rows:
+        assert r.token_offset == total
+        total += r.n_tokens
+    assert packing.offsets(df.limit(0)).count() == 0
+
+
+def test_hits_are_the_same_whatever_the_blocks(spark, monkeypatch):
+    items = spark.createDataFrame([(k, " ".join(f"w{(k * 7 + j) % 60}" for j in range(20))) for k in range(30)], "item_id long, text string")
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k + j) % 80}" for j in range(60))) for k in range(40)] + [(99, None), (None, "x")], "doc_id long, text string")
+    once = sorted(map(tuple, decontam.ngram_hits(docs, items, n=5).collect()))
+    monkeypatch.setattr(decontam, "INDEX_BLOCK", 20)
+    assert once and sorted(map(tuple, decontam.ngram_hits(docs, items, n=5).collect())) == once
+
+
+def test_segments_of_any_shape(spark):
+    schema = "a string, b array<string>, c struct<text:array<string>,label:array<string>>, d array<struct<text:string>>, e struct<text:string>"
+    df = spark.createDataFrame([("1", ["2", None], (["3", "4"], ["A", "B"]), [("5",)], ("6",)), (None, None, None, None, None)], schema)
+    assert sorted(r.t for r in decontam.segments_of(df, ("a", "b", "c", "d", "e")).collect()) == list("123456")
+
+
+def test_best_reply_by_every_key(spark):
+    rows = [("a", "p", "assistant", None, 9, "1"), ("b", "p", "assistant", 1, 1, "2"), ("c", "p", "assistant", 1, 3, "2"), ("d", "p", "assistant", 1, 3, "1"), ("e", "p", "assistant", 1, 3, "1"), ("f", "p", "prompter", 0, 9, "0"), ("g", "q", "assistant", None, None, None)]
+    df = spark.createDataFrame(rows, "message_id string, parent_id string, role string, rank int, review_count int, created_date string")
+    assert sorted(map(tuple, R.best_reply(df).collect())) == [("p", "d"), ("q", "g")]

@@ -79,16 +79,16 @@ def test_small_scalars(spark):
     assert got(spark, T.strip_footer("text"), ["answer\n\ntokens/s: 12\n", "tokens/s: is a word here"]) == ["answer", ""]
 
 
-def test_sentences():
-    assert P.sentences_of("Mr. Smith left. He ran.") == ["Mr. Smith left.", "He ran."]
-    assert P.sentences_of("v 3. Next one. Two  \n Three.") == ["v 3. Next one.", "Two  \n Three."]
-    assert P.sentences_of("no end") == ["no end"]
-    assert P.sentences_of("") == [] == P.sentences_of(None)
+def test_sentences(spark):
+    rows = ["Mr. Smith left. He ran.", "v 3. Next one. Two  \n Three.", "no end", "", None, "A. B. C", "Hm!! Yes etc. And vs. Then... So", "Room No. Five, Mt.. Six"]
+    assert got(spark, P.sentences("text"), rows) == [
+        ["Mr. Smith left.", "He ran."], ["v 3. Next one.", "Two  \n Three."], ["no end"], [], [], ["A.", "B.", "C"], ["Hm!!", "Yes etc. And vs. Then...", "So"], ["Room No. Five, Mt.. Six"],
+    ]
 
 
-def test_options():
-    assert P.options_of("Q\nA) one\nB) two\nA) again\nC)\nD. four") == {"A": "one", "B": "two", "D": "four"}
-    assert P.options_of(None) == {}
+def test_options(spark):
+    rows = ["Q\nA) one\nB) two\nA) again\nC)\nD. four", None, "no labels", "(a) x [B] y C - z"]
+    assert got(spark, P.options("text"), rows) == [{"A": "one", "B": "two", "D": "four"}, {}, {}, {"A": "x", "B": "y", "C": "z"}]
 
 
 @pytest.mark.parametrize(
@@ -108,6 +108,24 @@ def test_cloze():
     assert P.cloze_of("1", "= Header =")[:2] == (None, None)
 
 
+def test_passages_against_the_plain_walk():
+    import random
+
+    rng = random.Random(2)
+    for _ in range(200):
+        parts = [" ".join(["w"] * rng.choice((0, 1, 3, 8, 30)) or ["12"]) for _ in range(rng.randint(1, 12))]
+        first, least, most = rng.randrange(len(parts)), 5, 20
+        slow = []
+        for turn in range(len(parts)):
+            at, total, taken = (first + turn) % len(parts), 0, []
+            while at < len(parts) and total < least:
+                n = parts[at].count("w")
+                total, taken, at = total + n, taken + ([parts[at]] if n else []), at + 1
+            if least <= total <= most:
+                slow.append(" ".join(taken))
+        assert P.passages(parts, first, least, most) == slow
+
+
 def test_model_names(spark):
     rows = ["a/checkpoints/run 1/best.pt", "checkpoints/x.v2.pt", "/else/where/model.bin", "plain", None]
     assert got(spark, T.model_name("text"), rows) == ["run 1_best", "x.v2", "model", "plain", ""]
