@@ -85,38 +85,45 @@ def history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Data
     return early.groupBy(conv).agg(F.concat(F.lit("Previous conversation:\n\n"), body).alias("history"))
 
 
-def ancestor_chains(messages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(message_id, chain, depth) of the assistant messages, or those of
-    ``wanted`` (message_id), whose ancestors lead to a root, prompter and
-    assistant in turn.
-
-    ``messages`` has message_id, parent_id, role, text. One self-join a level,
-    until no chain grows; a chain that meets itself, or a missing parent, or
-    breaks the turns, is dropped. ``chain`` holds structs of role and text from
-    the root on.
+def ancestor_ids(messages: DataFrame) -> DataFrame:
+    """(message_id, ids, depth) of the assistant messages whose ancestors lead to
+    a root, prompter and assistant in turn; ``ids`` from the root on.
+
+    ``messages`` has message_id, parent_id, role. Paths are doubled: each
+    message holds the ids up to some ancestor, and takes on that ancestor's own
+    path in each round, so a chain of any depth takes as many rounds as its
+    depth has binary digits. A path that meets itself, a missing parent, or one that
+    breaks the turns, is dropped, and with it whatever hangs on it.
     """
     checkpoint_dir(messages.sparkSession)
-    slim = messages.select("message_id", "parent_id", "role", "text").filter("message_id is not null")
-    parents = slim.select(F.col("message_id").alias("p_id"), F.col("parent_id").alias("p_parent"), F.col("role").alias("p_role"), F.col("text").alias("p_text"))
-    leaves = slim.filter("role = 'assistant'")
-    if wanted is not None:
-        leaves = leaves.join(wanted, "message_id", "left_semi")
-    live = leaves.select("message_id", "parent_id", F.col("role").alias("last"), F.array(F.struct("role", "text")).alias("chain"), F.array("message_id").alias("seen"))
-    done = None
+    # of repeated ids one row counts
+    rows = messages.filter("message_id is not null").groupBy("message_id").agg(F.min(F.struct("parent_id", "role")).alias("m"))
+    slim = rows.select("message_id", "m.parent_id", "m.role")
+    paths = slim.select("message_id", F.col("parent_id").alias("next"), "role", F.col("role").alias("top_role"), F.array("message_id").alias("ids")).checkpoint()
     while True:
-        ended = live.filter("parent_id is null and last = 'prompter'").select("message_id", "chain")
-        done = ended if done is None else done.unionByName(ended)
-        grown = live.filter("parent_id is not null").join(parents, F.col("parent_id") == F.col("p_id"))
-        live = grown.filter((F.col("p_role") != F.col("last")) & ~F.array_contains("seen", F.col("p_id"))).select(
-            "message_id",
-            F.col("p_parent").alias("parent_id"),
-            F.col("p_role").alias("last"),
-            F.concat(F.array(F.struct(F.col("p_role").alias("role"), F.col("p_text").alias("text"))), "chain").alias("chain"),
-            F.concat(F.array("p_id"), "seen").alias("seen"),
-        ).checkpoint()
-        if live.isEmpty():
+        done = paths.filter("next is null and top_role = 'prompter'")
+        open_ = paths.filter("next is not null")
+        upper = paths.filter("next is not null or top_role = 'prompter'").select(F.col("message_id").alias("u_id"), F.col("next").alias("u_next"), F.col("role").alias("u_role"), F.col("top_role").alias("u_top"), F.col("ids").alias("u_ids"))
+        grown = open_.join(upper, F.col("next") == F.col("u_id")).filter((F.col("u_role") != F.col("top_role")) & ~F.arrays_overlap("ids", "u_ids"))
+        grown = grown.select("message_id", F.col("u_next").alias("next"), "role", F.col("u_top").alias("top_role"), F.concat("u_ids", "ids").alias("ids"))
+        paths = done.unionByName(grown).checkpoint()
+        if paths.filter("next is not null").isEmpty():
             break
-    return done.withColumn("depth", F.size("chain"))
+    return paths.filter("role = 'assistant' and top_role = 'prompter'").select("message_id", "ids", F.size("ids").alias("depth"))
+
+
+def ancestor_chains(messages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(message_id, chain, depth) as ``ancestor_ids`` has them, or of those of
+    ``wanted`` (message_id) alone; ``chain`` holds structs of role and text from
+    the root on. Texts are joined once, to the paths that are asked for."""
+    paths = ancestor_ids(messages)
+    if wanted is not None:
+        paths = paths.join(wanted, "message_id", "left_semi")
+    steps = paths.select("message_id", "depth", F.posexplode("ids").alias("pos", "_id"))
+    said = messages.groupBy(F.col("message_id").alias("_id")).agg(F.min(F.struct("role", "text")).alias("m")).select("_id", "m.role", "m.text")
+    turn = F.struct("pos", F.struct("role", "text").alias("turn"))
+    chain = F.transform(F.array_sort(F.collect_list(turn)), lambda x: x["turn"])
+    return steps.join(said, "_id").groupBy("message_id", "depth").agg(chain.alias("chain")).select("message_id", "chain", "depth")
 
 
 def best_reply(messages: DataFrame) -> DataFrame:

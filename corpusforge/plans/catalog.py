@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import documents, evaluation, instructions, loading, mixture, runs, streams
+from . import documents, evaluation, instructions, loading, mixture, runs, storage, streams
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
-for _module in (documents, instructions, loading, mixture, runs, evaluation, streams):
+for _module in (documents, instructions, loading, mixture, runs, evaluation, storage, streams):
     QUERIES |= _module.QUERIES
     SQL |= _module.SQL
