@@ -191,3 +191,5 @@ SQL: dict[str, str] = {
     "p3_failures": " UNION ALL ".join(f"SELECT doc_id, '{name}' AS reason FROM s WHERE {name} < {least} OR {name} > {most}" for name, least, most in quality.RULES).join([f"WITH s AS ({_STATISTICS}) ", ""]),
     "p7_round_trip": "SELECT doc_id, true AS same FROM documents",
 }
+_SHINGLES = "SELECT DISTINCT doc_id, unnest(list_transform(range(1, len(w) - 1), lambda k: w[k] || ' ' || w[k + 1] || ' ' || w[k + 2])) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+') AS w FROM documents WHERE text IS NOT NULL) WHERE len(w) >= 20"
+SQL["p4_found"] = f"WITH s AS ({_SHINGLES}), n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id), p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2) SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE c >= 0.6 * (x.n + y.n - c)"
