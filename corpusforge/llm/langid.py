@@ -456,10 +456,12 @@ def corrections(df: DataFrame, samples: DataFrame, id_col: str = "doc_id", text_
                 if len(langs) == 1 and label_code(label) == langs[0]:
                     continue
                 if not garbled.judge(text)[0]:
-                    rows += [(i, x) for x in langs]
-            yield pd.DataFrame(rows, columns=["id", "lang"])
+                    rows.append((i, text, langs))
+            yield pd.DataFrame(rows, columns=["id", "text", "langs"])
 
     slim, kind = _prepared(df, id_col, text_col, lang_col)
-    looked = with_kinds(slim).select("id", F.when(F.col("kind").isNull(), F.col("text")).alias("text"), "label")
-    return looked.mapInPandas(run, f"id {kind}, lang string").withColumnRenamed("id", id_col)
-
+    # the kinds of those texts alone that would have a row
+    wrong = with_kinds(slim.mapInPandas(run, f"id {kind}, text string, langs array<string>"))
+    # the outer form, as the plain one adds a filter that would compute the kinds again
+    out = wrong.select("id", F.explode_outer(F.when(F.col("kind").isNull(), F.col("langs"))).alias("lang"))
+    return out.filter("lang is not null").withColumnRenamed("id", id_col)
