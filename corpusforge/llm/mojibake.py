@@ -5,8 +5,8 @@ on purpose: each clean word is run through every chain of (true encoding,
 wrong encoding), and through decoders that lose characters. The class of a word
 decides: where sound text is the likeliest, the word is left alone; else the
 chain is inverted, which must decode strictly and give only characters that
-sound text has. A class that fails this yields to the next that is likelier
-than sound text. Single-byte chains, which always decode, are classes of whole
+sound text has; where it fails this, chains that are as good as tied with it,
+and then those of the text's other words, are inverted. Single-byte chains, which always decode, are classes of whole
 lines. Words are judged once per distinct word of a batch.
 """
 
@@ -57,6 +57,8 @@ LETTERS = "àáâãäåæçèéêëìíîïñòóôõöøœùúûüýÿßабв
 
 #: Log odds against sound text that the words of a text, or of a line, must reach together.
 ODDS = 8.0
+#: Log odds between chains that are as good as tied: many code pages share most characters.
+TIED = 4.0
 
 SPACE = re.compile(r"[ \t\r\n]+")
 ASCII_LETTER = re.compile(r"[A-Za-z]")
@@ -71,6 +73,10 @@ def doubtful(text: str) -> list[str]:
 
 
 
+def _unescaped(word: str) -> str:
+    return html.unescape(word) if "&" in word else word
+
+
 @lru_cache(maxsize=64)
 def _tables(name: str) -> tuple[dict[int, str], dict[str, int]]:
     """Byte to character and back; bytes a code page leaves undefined are the
@@ -175,31 +181,44 @@ class GarbleModel:
         return self.weights[:, _bigrams(odd)].sum(1)
 
     def word(self, word: str) -> tuple[str | None, int, float]:
-        """(restored word or None, class of the word, log odds against sound
-        text): class 0 for a sound word. A lost one comes back as it is."""
+        """(restored word or None, class, log odds against sound text) by the
+        likeliest class of the word, or one as good as tied with it: 0 for a
+        sound one, None where no such chain decodes. A lost word comes back as it is."""
         found = self.known.get(word)
         if found is None:
             if len(self.known) > 200_000:
                 self.known.clear()
-            found = self.known[word] = self._word(word)
+            found = self.known[word] = self._word(_unescaped(word))
         return found
 
-    def _word(self, word: str) -> tuple[str | None, int, float]:
-        plain = html.unescape(word) if "&" in word else word
+    def _word(self, plain: str) -> tuple[str | None, int, float]:
         if plain.isascii():
             return None, 0, 0.0
         scores = self.scores(plain)
-        likelier = [k for k in WORDWISE if scores[k] > scores[0]]
-        for k in sorted(likelier, key=lambda k: -scores[k]):
-            chain, odds = CHAINS[k - 1], float(scores[k] - scores[0])
-            if chain is LOST:
-                if DAMAGE.search(plain):
-                    return plain, k, odds
-                continue
-            back = restore(plain, chain)
-            if back is not None and (len(back) < len(plain) or chain in CONTROLS and DAMAGE.search(plain)) and self.sound(back) and not re.search(r"(?<=\S)[¡¿]", back):
-                return back, k, odds
-        return None, 0, 0.0
+        order = sorted((0, *WORDWISE), key=lambda k: -scores[k])
+        best = order[0]
+        if best:
+            for k in order:
+                if scores[k] < scores[best] - TIED or scores[k] <= scores[0]:
+                    break
+                back = self.inverted(plain, k)
+                if back is not None:
+                    return back, k, float(scores[k] - scores[0])
+        # no sound word and no chain, but damage to see: something was lost
+        if best and DAMAGE.search(plain):
+            return plain, CHAINS.index(LOST) + 1, float(scores[best] - scores[0])
+        return None, best, float(scores[best] - scores[0])
+
+    def inverted(self, plain: str, k: int) -> str | None:
+        """A word before chain k: strictly decoded, shorter where bytes became
+        characters, and sound; of class ``LOST`` the word itself, where it shows the damage."""
+        chain = CHAINS[k - 1]
+        if chain is LOST:
+            return plain if DAMAGE.search(plain) else None
+        back = restore(plain, chain)
+        if back is None or not self.sound(back) or re.search(r"(?<=\S)[¡¿]", back):
+            return None
+        return back if len(back) < len(plain) or chain in CONTROLS and DAMAGE.search(plain) else None
 
     def single(self, word: str) -> dict[int, tuple[float, str | None]]:
         """By single-byte chain: the log odds against the sound reading, and the
@@ -251,21 +270,34 @@ class GarbleModel:
 
         The words that the classifier gives to a chain, and that decode strictly
         by it, must reach ``ODDS`` together, as one word mostly does alone; so
-        must those that have lost characters, which are no restored words.
-        Single-byte chains: see ``lines``.
+        must those that have lost characters, which are no restored words. A
+        word whose own chain does not decode is then read by the chains found in
+        the text. Single-byte chains: see ``lines``.
         """
         fixed: dict[str, str] = {}
         used: dict[int, int] = {}
+        open_: list[str] = []
         total = 0.0
         for w in doubtful(text):
             back, k, odds = self.word(w)
-            if k:
-                total += odds
-                used[k] = used.get(k, 0) + 1
-                if CHAINS[k - 1] is not LOST:
-                    fixed[w] = back
+            if back is None:
+                if k:
+                    open_.append(w)
+                continue
+            total += odds
+            used[k] = used.get(k, 0) + 1
+            if CHAINS[k - 1] is not LOST:
+                fixed[w] = back
         if total < ODDS:
             fixed, used = self.lines(text)
+        else:
+            chains = sorted(used, key=lambda k: -used[k])
+            for w in open_:
+                back, k = next(((b, k) for k in chains if (b := self.inverted(_unescaped(w), k)) is not None), (None, 0))
+                if k and CHAINS[k - 1] is not LOST:
+                    fixed[w] = back
+                if k:
+                    used[k] += 1
         return bool(used), fixed, max(used, key=lambda k: used[k], default=0)
 
 

@@ -63,7 +63,7 @@ def test_the_classifier_decides(garbled):
     for weights in (np.zeros_like(garbled.weights), rng.permuted(garbled.weights, axis=0), rng.permuted(garbled.weights, axis=1)):
         other = copy.copy(garbled)
         other.weights, other.known, other.alone = weights, {}, {}
-        assert sum(other.judge(t)[0] for t in texts) < 0.6 * len(texts)
+        assert sum(other.judge(t)[0] for t in texts) < 0.75 * len(texts)
 
 
 def test_training_words_hold_every_script():
