@@ -33,6 +33,15 @@ def groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return df.groupBy(F.md5(text_col).alias("text_md5")).agg(F.count(F.lit(1)).alias("n"), F.min(id_col).alias("first_id")).filter("n > 1")
 
 
+def flags(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, duplicated, first): whether a row's text stands more than once, and
+    the smallest id with it, for every row of ``df``; null texts are equal. Digests are
+    counted before the shuffle; only the repeated ones are joined back."""
+    keyed = df.select(F.col(id_col), F.md5(F.coalesce(F.col(text_col), F.lit("\x00null"))).alias("_h"))
+    repeated = keyed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n"), F.min(id_col).alias("_first")).filter("_n > 1").select("_h", "_first")
+    return keyed.join(repeated, "_h", "left").select(id_col, F.col("_first").isNotNull().alias("duplicated"), F.coalesce("_first", id_col).alias("first"))
+
+
 def cross_source(df: DataFrame, priority: Sequence[str], source_col: str = "source", text_col: str = "text") -> DataFrame:
     """Without rows whose text stands in a source of higher priority.
 

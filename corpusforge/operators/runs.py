@@ -74,6 +74,14 @@ def sweep(checkpoints: DataFrame, betas: Sequence[float], epochs: Sequence[int])
     return out.select(F.concat(F.lit("sft"), "place", F.lit("_b"), F.col("beta").cast("string"), F.lit("_e"), "epochs").alias("name"), "checkpoint", "beta", "epochs")
 
 
+def best_per_group(runs: DataFrame, by: str, name: str, loss: str, other: str) -> DataFrame:
+    """(by, name, by_loss): of each group the run of least ``loss``; where none
+    has one, that of greatest ``other``. Null where neither is there."""
+    least = F.min(F.when(F.col(loss).isNotNull(), F.struct(F.col(loss), F.col(name))))
+    most = F.max(F.when(F.col(other).isNotNull(), F.struct(F.col(other), F.col(name))))
+    return runs.groupBy(by).agg(F.coalesce(least[name], most[name]).alias(name), (F.count(loss) > 0).alias("by_loss"))
+
+
 def improvement(runs: DataFrame, loss: str = "best_val") -> DataFrame:
     """``runs`` with ``gain_pct``, how far below the worst loss each is, in percent of it."""
     worst = runs.agg(F.max(loss).alias("_worst"))

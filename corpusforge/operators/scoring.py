@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +30,14 @@ def choose(df: DataFrame, by: str, choice: str, score: str) -> DataFrame:
     return df.groupBy(by).agg(F.max(F.struct(F.coalesce(score, F.lit(float("-inf"))), -F.col(choice)))["col2"].alias("_c")).select(by, (-F.col("_c")).alias(choice))
 
 
+def choose_allowed(df: DataFrame, by: str, item: str, score: str, allowed: Sequence[int]) -> DataFrame:
+    """(by, item): ``choose`` among the items allowed; among all, where none is
+    allowed, or all that are have minus infinity or null."""
+    ok = F.col(item).isin(*allowed) & F.col(score).isNotNull() & (F.col(score) > float("-inf")) if allowed else F.lit(False)
+    key = F.struct(ok.alias("ok"), F.coalesce(score, F.lit(float("-inf"))).alias("s"), (-F.col(item)).alias("i"))
+    return df.groupBy(by).agg(F.max(key)["i"].alias("_c")).select(by, (-F.col("_c")).alias(item))
+
+
 def mean_score(df: DataFrame, keys: list[str], logp: str) -> DataFrame:
     """Mean token log-probability of each choice; minus infinity for an empty span."""
     return df.groupBy(*keys).agg(F.coalesce(F.avg(logp), F.lit(float("-inf"))).alias("score"))

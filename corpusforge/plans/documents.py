@@ -85,6 +85,9 @@ _cleaner("clean_junk_chars", T.drop_junk, _brief_sql(_JUNK_SQL))
 _cleaner("strip_urls", lambda c: F.regexp_replace(c, "(?U)" + T.URL, ""), _brief_sql(_replaced(rf"https?://{_NS}+|www\.{_NS}+")))
 _cleaner("strip_html", lambda c: F.regexp_replace(c, T.HTML, ""), _brief_sql(_replaced(T.HTML)))
 _cleaner("strip_fenced_code", lambda c: F.regexp_replace(c, T.FENCED_CODE, ""), _brief_sql(_replaced(T.FENCED_CODE)))
+_cleaner("strip_indented_code", lambda c: F.regexp_replace(c, "(?U)" + T.INDENTED_CODE, ""), _brief_sql(_replaced(re2("(?U)" + T.INDENTED_CODE))))
+_cleaner("strip_code_lines", lambda c: F.regexp_replace(c, T.CODE_LINE, ""), _brief_sql(_replaced(re2(T.CODE_LINE).replace("''", "'"))))
+_cleaner("strip_inline_code", lambda c: F.regexp_replace(c, T.INLINE_CODE, ""), _brief_sql(_replaced(re2(T.INLINE_CODE).replace("''", "'"))))
 _cleaner("strip_latex", lambda c: F.regexp_replace(c, T.LATEX, ""), _brief_sql(_replaced(T.LATEX)))
 _MATH_RE2 = T.MATH.replace("(?mdU)", "(?m)").replace(r"\s", _S)
 _cleaner("strip_math_expr", lambda c: F.regexp_replace(c, T.MATH, " "), _brief_sql(_replaced(_MATH_RE2, " ")))
@@ -199,6 +202,11 @@ def duplicate_rate(spark, d):
     return by.agg(F.coalesce(F.sum("count"), F.lit(0)).alias("n"), F.count(F.lit(1)).alias("n_distinct"))
 
 
+@query("duplicate_flags", "SELECT doc_id, count(*) OVER w > 1 AS duplicated, min(doc_id) OVER w AS first FROM documents WINDOW w AS (PARTITION BY coalesce(text, chr(1)))")
+def duplicate_flags(spark, d):
+    return dedup.flags(docs(spark, d))
+
+
 @query("duplicate_groups", "SELECT md5(text) AS text_md5, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
 def duplicate_groups(spark, d):
     return dedup.groups(docs(spark, d))
@@ -263,6 +271,11 @@ def sentences_sql(source: str, key: str) -> str:
     return f"SELECT {key}, list_filter(string_split(array_to_string({glued}, ''), chr(1)), lambda x: x <> '') AS s FROM (SELECT {key}, {marked} AS p FROM {source})"
 
 
+@query("sentence_split", f"SELECT doc_id, len(s)::INT AS n, md5(array_to_string(s, '|')) AS s_md5 FROM ({sentences_sql('documents', 'doc_id')})")
+def sentence_split(spark, d):
+    return texts(spark, d).select("doc_id", P.sentences("text").alias("s")).select("doc_id", F.size("s").alias("n"), F.md5(F.array_join("s", "|")).alias("s_md5"))
+
+
 def _squeezed(c: str) -> str:
     return f"array_to_string(list_filter(regexp_split_to_array(lower({c}), '{_S}+'), lambda x: x <> ''), ' ')"
 
@@ -270,6 +283,11 @@ def _squeezed(c: str) -> str:
 _BLOCKED = f"SELECT DISTINCT {_squeezed('x')} AS b FROM (SELECT unnest(s) AS x FROM ({sentences_sql('eval_items', 'item_id')})) WHERE length({_squeezed('x')}) >= 10"
 
 
+@query("sentence_hash_set", f"SELECT md5(b) AS h FROM ({_BLOCKED})")
+def sentence_hash_set(spark, d):
+    return decontam.sentence_hashes(table(spark, d, "eval_items"))
+
+
 @query("sentence_overlap_removal", f"WITH b AS ({_BLOCKED}), s AS (SELECT doc_id, unnest(s) AS x, generate_subscripts(s, 1) AS k FROM ({sentences_sql('documents', 'doc_id')})), t AS (SELECT doc_id, string_agg(x, ' ' ORDER BY k) AS t FROM s WHERE {_squeezed('x')} NOT IN (SELECT b FROM b) GROUP BY doc_id) SELECT d.doc_id, CASE WHEN text IS NOT NULL THEN md5(coalesce(t, '')) END AS text_md5, CASE WHEN text IS NOT NULL THEN length(coalesce(t, '')) END AS n_chars FROM documents d LEFT JOIN t USING (doc_id)")
 def sentence_overlap_removal(spark, d):
     blocked = decontam.sentence_hashes(table(spark, d, "eval_items"))
@@ -522,6 +540,15 @@ def vocab_coverage(spark, d):
 # ----------------------------------------------------------------- pipeline
 
 
+def cleaned(documents: DataFrame, normalise: bool = True) -> DataFrame:
+    """(doc_id, source, text): texts after cleaning, that of wikis first. By way of generators of
+    one row, as a filter on the result would else compute the patterns a second time."""
+    checkpoint_dir(documents.sparkSession)
+    wiki = F.coalesce(F.col("source") == "wikipedia", F.lit(False))
+    raw = F.when(wiki, T.clean_wikipedia("text")).otherwise(T.text_of("text"))
+    return documents.select("doc_id", "source", F.explode(F.array(raw)).alias("text")).select("doc_id", "source", F.explode(F.array(T.clean_text("text", normalise=normalise))).alias("text"))
+
+
 def curate(documents: DataFrame, items: DataFrame, normalise: bool = True) -> DataFrame:
     """The survivors of the pipeline, in its order: clean, length, exact
     duplicates (least id), English where the source is not known to be so,
@@ -532,12 +559,8 @@ def curate(documents: DataFrame, items: DataFrame, normalise: bool = True) -> Da
     flags; the texts meet the ids of the survivors once, at the end.
     """
     checkpoint_dir(documents.sparkSession)
-    wiki = F.coalesce(F.col("source") == "wikipedia", F.lit(False))
-    raw = F.when(wiki, T.clean_wikipedia("text")).otherwise(T.text_of("text"))
-    # cleaned through a generator of one row, as a filter would else compute the patterns a second time
-    cleaned = documents.select("doc_id", "source", F.explode(F.array(raw)).alias("text")).select("doc_id", "source", F.explode(F.array(T.clean_text("text", normalise=normalise))).alias("text"))
     trusted = F.coalesce(F.col("source").isin("wikipedia", "bookcorpus"), F.lit(False))
-    kept = cleaned.filter(long_enough()).withColumn("english", trusted | T.is_english("text")).checkpoint()
+    kept = cleaned(documents, normalise).filter(long_enough()).withColumn("english", trusted | T.is_english("text")).checkpoint()
     # the first of equal texts is chosen before its language is looked at
     first = kept.groupBy(F.md5("text").alias("h")).agg(F.min(F.struct("doc_id", "english")).alias("f")).filter("f.english").select("f.doc_id")
     leaked = decontam.ngram_hits(kept.filter("english"), items).select("doc_id")
@@ -564,14 +587,27 @@ _FUNNEL += " UNION ALL ".join(f"SELECT {i} AS step, '{name}' AS stage, (SELECT c
 
 @query("funnel_counts", _FUNNEL)
 def funnel_counts(spark, d):
-    """Rows after each step, over the raw texts: one scan to the first of each
-    long enough text, and one for the leaked ones."""
+    return funnel(texts(spark, d, "source"), table(spark, d, "eval_items"))
+
+
+def funnel(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """(step, stage, n, pct): rows after each step of ``curate``, but its
+    cleaning: one scan to the first of each long enough text, and one for the leaked ones."""
     english = F.coalesce(F.col("source").isin("wikipedia", "bookcorpus"), F.lit(False)) | T.is_english("text")
-    rows = texts(spark, d, "source").select("doc_id", F.when(long_enough(), F.md5("text")).alias("h"), F.when(long_enough(), english).alias("english"))
+    rows = documents.select("doc_id", F.when(long_enough(), F.md5("text")).alias("h"), F.when(long_enough(), english).alias("english"))
     by = rows.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "english")).alias("f"))
-    leaked = hits(spark, d).select("doc_id", F.lit(True).alias("leaked"))
+    leaked = decontam.ngram_hits(documents, items).select("doc_id", F.lit(True).alias("leaked"))
     flat = by.select("n", F.col("h").isNotNull().alias("long"), "f.doc_id", "f.english").join(leaked, "doc_id", "left")
     kept = F.col("long") & F.col("english")
     one = flat.agg(F.sum("n").alias("raw"), F.coalesce(F.sum(F.when(F.col("long"), F.col("n"))), F.lit(0)).alias("length"), F.count_if("long").alias("exact_dedup"), F.count_if(kept).alias("english"), F.count_if(kept & F.col("leaked").isNull()).alias("decontam"))
     names = ("raw", "length", "exact_dedup", "english", "decontam")
     return one.selectExpr("raw AS total", f"stack(5, {', '.join(f'{i}, {n!r}, {n}' for i, n in enumerate(names))}) AS (step, stage, n)").select("step", "stage", "n", (F.lit(100.0) * F.col("n") / F.col("total")).alias("pct"))
+
+
+_CLEANED = f"(SELECT doc_id, source, lang, {clean_sql('z')} AS text FROM (SELECT doc_id, source, lang, {_WIKI_RAW} AS z FROM documents))"
+
+
+@query("funnel_counts_cleaned", _FUNNEL.replace("FROM documents", f"FROM {_CLEANED}").replace("(SELECT count(*) FROM documents)", f"(SELECT count(*) FROM {_CLEANED})"))
+def funnel_counts_cleaned(spark, d):
+    """The same over the cleaned texts, which are written once."""
+    return funnel(cleaned(texts(spark, d, "source")).checkpoint(), table(spark, d, "eval_items"))

@@ -61,6 +61,14 @@ def constrained_argmax(spark, d):
     return S.choose(allowed, "vec_id", "item", "logit")
 
 
+@query("constrained_fallback", f"SELECT vec_id, max_by(item, (ok, score, -item)) AS item FROM (SELECT *, item IN (3, 7, 11, 19) AND label % 2 <> 0 AS ok, CASE WHEN item IN (3, 7, 11, 19) AND label % 2 = 0 THEN '-infinity'::DOUBLE ELSE logit END AS score FROM ({_L})) GROUP BY vec_id")
+def constrained_fallback(spark, d):
+    """The same where vectors of even labels have minus infinity at all that is allowed."""
+    dead = F.col("item").isin(3, 7, 11, 19) & (F.col("label") % 2 == 0)
+    lg = logits(spark, d).withColumn("score", F.when(dead, float("-inf")).otherwise(F.col("logit")))
+    return S.choose_allowed(lg, "vec_id", "item", "score", (3, 7, 11, 19))
+
+
 @query("repetition_penalty", f"SELECT vec_id, sum(CASE WHEN item % 3 = 0 AND logit < 0 THEN logit * 1.3 WHEN item % 3 = 0 THEN logit / 1.3 ELSE logit END) AS total FROM ({_L}) GROUP BY vec_id")
 def repetition_penalty(spark, d):
     return logits(spark, d).groupBy("vec_id").agg(F.sum(S.penalise(F.col("logit"), F.col("item") % 3 == 0, 1.3)).alias("total"))
@@ -81,6 +89,19 @@ def perplexity(spark, d):
     return logits(spark, d).groupBy("label").agg(F.exp(F.sum(nll) / F.count(F.lit(1))).alias("ppl"), (F.sum(nll) / F.greatest(F.count_if(F.col("item") % 5 != 0), F.lit(1))).alias("ce"))
 
 
+_JOINED = f"SELECT string_agg(text, chr(10)||chr(10) ORDER BY item_id) AS t FROM eval_items WHERE eval_set = 'wikitext' AND regexp_replace(coalesce(text,''), '{_S}+', '', 'g') <> ''"
+
+
+@query("perplexity_text", f"SELECT n, windows, scored FROM (SELECT least(len(list_filter(regexp_split_to_array(t, '{_S}+'), lambda x: x <> '')), 1000) AS n FROM ({_JOINED})), LATERAL (SELECT count(*) AS windows, sum(greatest(0, least(s + 256, n - 1) - CASE WHEN s = 0 THEN 0 ELSE s + 128 END))::BIGINT AS scored FROM (SELECT unnest(range(0, n - 1, 128)) AS s))")
+def perplexity_text(spark, d):
+    """One evaluation text of a set's rows that are not blank, joined by blank
+    lines and cut to 1,000 words, in windows: a set of some hundred items is one text."""
+    rows = table(spark, d, "eval_items").filter("eval_set = 'wikitext'").filter(T.strip(T.text_of("text")) != "")
+    text = rows.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", "text"))), lambda x: x["text"]), "\n\n").alias("t"))
+    n = text.select(F.lit(1).alias("id"), F.least(F.size(T.split_words("t")), F.lit(1000)).cast("long").alias("n"))
+    return S.windows(n, "id", "n", 256, 128).agg(F.count(F.lit(1)).alias("windows"), F.sum("n_scored").alias("scored")).crossJoin(F.broadcast(n)).select("n", "windows", "scored")  # one row each
+
+
 _D = "SELECT vec_id, embedding[1]::DOUBLE * 10 AS pi_c, embedding[2]::DOUBLE * 10 AS pi_r, embedding[3]::DOUBLE * 10 AS ref_c, embedding[4]::DOUBLE * 10 AS ref_r FROM embeddings"
 
 

@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import decontam, packing, sampling
 from ..session import checkpoint_dir
 from ..sources.tables import spread, table
-from .documents import _S, hashed_ids, re2
+from .documents import _S, clean_sql, hashed_ids, re2
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -187,6 +187,14 @@ def sft_clean_filter(spark, d):
     return good.join(bad, "row_id", "left_anti").select("row_id", "source", F.length("output").cast("long").alias("n_output"))
 
 
+_KEYED = f"regexp_replace(lower({clean_sql('output')}), '^[\"''`]+|[\"''`]+$', '', 'g')"
+
+
+@query("answer_keys", f"SELECT row_id, {strip_sql('regexp_replace(regexp_replace(a, ' + chr(39) + '[.!,;:]+$' + chr(39) + ', ' + chr(39) * 2 + '), ' + chr(39) + _S + '+' + chr(39) + ', ' + chr(39) + ' ' + chr(39) + ', ' + chr(39) + 'g' + chr(39) + ')')} AS answer FROM (SELECT row_id, {_KEYED} AS a FROM sft_rows)")
+def answer_keys(spark, d):
+    return spread(sft(spark, d)).select("row_id", T.answer_key("output").alias("answer"))
+
+
 @query("cloze_examples")
 def cloze_examples(spark, d):
     made = table(spark, d, "documents").select("doc_id", P.cloze(F.col("doc_id"), F.col("text")).alias("c"))
@@ -214,6 +222,12 @@ _FORMS = f"SELECT prompt_id, unnest([i, CASE WHEN {strip_sql('x')} <> '' THEN i
 _MATCHED = f"SELECT DISTINCT prompt_id, eval_set FROM (SELECT prompt_id, {_NORM % 'f'} AS t FROM ({_FORMS}) WHERE f IS NOT NULL) JOIN (SELECT {_NORM % 'text'} AS t, eval_set FROM eval_items WHERE text IS NOT NULL) USING (t) WHERE t <> ''"
 
 
+@query("prompt_hash_counts", f"SELECT prompt_id, count(DISTINCT nullif({_NORM % 'f'}, ''))::INT AS n FROM ({_FORMS}) GROUP BY prompt_id")
+def prompt_hash_counts(spark, d):
+    """How many different hashes stand for a prompt."""
+    return prompts(spark, d).select("prompt_id", F.size(decontam.prompt_hashes("instruction", "input")).alias("n"))
+
+
 @query("eval_hash_match", _MATCHED)
 def eval_hash_match(spark, d):
     """The sets whose items a prompt equals but for marks and case, as a whole,

@@ -100,6 +100,21 @@ def seed_aggregate(spark, d):
     return s.groupBy("config").agg(F.count(F.lit(1)).alias("n_runs"), F.avg("best_val").alias("mean_loss"), F.coalesce(F.stddev_samp("best_val"), F.lit(0.0)).alias("std_loss"), F.avg(F.exp("best_val")).alias("mean_ppl"))
 
 
+_TIMED = f"SELECT regexp_replace(r.run_name, '_s\\d+$', '') AS config, r.run_name, best_val, secs, n_params FROM ({_RUN}) r JOIN (SELECT run_name, epoch(max(logged_at)) - epoch(min(logged_at)) AS secs FROM train_metrics GROUP BY run_name) t USING (run_name) JOIN (SELECT run_name, (50257 * d_model + n_layers * (4 * d_model * d_model + CASE activation WHEN 'swiglu' THEN 3 ELSE 2 END * d_model * d_ff + 2 * d_model) + d_model)::BIGINT AS n_params FROM ({{shaped}})) p USING (run_name) WHERE best_val IS NOT NULL"
+
+
+def seed_table(spark, d):
+    """Configs over their seeds: parameters of the first run, mean and spread of
+    loss and perplexity, mean time from the first to the last row."""
+    exact = F.unix_micros(F.max("logged_at").cast("timestamp")) - F.unix_micros(F.min("logged_at").cast("timestamp"))
+    secs = table(spark, d, "train_metrics").groupBy("run_name").agg((exact / 1e6).alias("secs"))
+    runs = summary(spark, d).filter("best_val is not null").join(secs, "run_name").join(parameter_count(spark, d).select("run_name", "n_params"), "run_name").withColumn("config", T.strip_seed("run_name"))
+    return runs.groupBy("config").agg(
+        F.count(F.lit(1)).alias("n_seeds"), F.min(F.struct("run_name", "n_params"))["n_params"].alias("n_params"), F.avg("best_val").alias("mean_loss"), F.stddev_samp("best_val").alias("std_loss"),
+        F.avg(F.exp("best_val")).alias("mean_ppl"), F.stddev_samp(F.exp("best_val")).alias("std_ppl"), F.avg("secs").alias("mean_runtime"),
+    )
+
+
 @query("seed_stability", f"SELECT config, avg(best_val) AS mean, stddev_pop(best_val) AS std, max(best_val) - min(best_val) AS spread, min_by(run_name, (best_val, run_name)) AS best_run, CASE WHEN stddev_pop(best_val) < 0.005 THEN 'stable' WHEN stddev_pop(best_val) < 0.02 THEN 'fair' ELSE 'unstable' END AS verdict FROM ({_CONFIG}) WHERE best_val IS NOT NULL GROUP BY config")
 def seed_stability(spark, d):
     s = summary(spark, d).filter("best_val is not null").withColumn("config", T.strip_seed("run_name"))
@@ -183,6 +198,18 @@ def throughput(spark, d):
     return by.crossJoin(F.broadcast(top)).select("run_name", "mean_rate", "overall_rate", (F.col("run_name") == F.col("_top")).alias("fastest"))  # one row
 
 
+query("seed_table", f"SELECT config, count(*) AS n_seeds, min_by(n_params, run_name) AS n_params, avg(best_val) AS mean_loss, stddev_samp(best_val) AS std_loss, avg(exp(best_val)) AS mean_ppl, stddev_samp(exp(best_val)) AS std_ppl, avg(secs) AS mean_runtime FROM ({_TIMED.format(shaped=_SHAPED)}) GROUP BY config")(seed_table)
+
+
+@query("best_per_phase", f"SELECT phase, coalesce(min_by(run_name, (best_val, run_name)) FILTER (best_val IS NOT NULL), max_by(run_name, (rate, run_name)) FILTER (rate IS NOT NULL)) AS run_name, count(best_val) > 0 AS by_loss FROM (SELECT split_part(run_name, '_', 1) AS phase, run_name, CASE WHEN contains(run_name, 'base') THEN NULL ELSE best_val END AS best_val, rate FROM ({_RUN}) JOIN (SELECT run_name, avg(tokens_per_sec) AS rate FROM ({_STEPS}) GROUP BY run_name) USING (run_name)) GROUP BY phase")
+def best_per_phase(spark, d):
+    """The run of least loss of each phase; by rate where no run has a loss, as
+    is so here for the base runs."""
+    rate = steps(spark, d).groupBy("run_name").agg(F.avg("tokens_per_sec").alias("rate"))
+    known = summary(spark, d).join(rate, "run_name").select(F.split("run_name", "_")[0].alias("phase"), "run_name", F.when(~F.contains("run_name", F.lit("base")), F.col("best_val")).alias("best_val"), "rate")
+    return M.best_per_group(known, "phase", "run_name", "best_val", "rate")
+
+
 @query("run_slug", "SELECT DISTINCT run_name, trim(regexp_replace(lower(run_name), '[^a-z0-9]+', '_', 'g'), '_') AS slug, regexp_replace(run_name, '_s\\d+$', '') AS config FROM train_metrics")
 def run_slug(spark, d):
     return table(spark, d, "train_metrics").select("run_name").distinct().select("run_name", T.slug("run_name").alias("slug"), T.strip_seed("run_name").alias("config"))

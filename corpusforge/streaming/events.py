@@ -39,13 +39,45 @@ def sessions(df: DataFrame, time: str = "ts", gap: str = "30 minutes", late: str
     return s.select(F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), by, "n")
 
 
+def best_rows(df: DataFrame, k: int = 3, by: str = "run_name", order: tuple[str, ...] = ("written_at", "step"), loss: str = "val_loss", step: str = "step") -> DataFrame:
+    """(by, version, step, loss): the ``k`` rows of least loss of each key so
+    far, given anew whenever they change, with a rising version. State is those
+    rows. A row as bad as the worst of k kept ones does not come in; rows of one batch come in
+    by ``order``. Null losses and keys are left out."""
+    import pandas as pd
+
+    def run(key, frames, state):
+        version, kept = (state.get[0], list(zip(state.get[1], state.get[2]))) if state.exists else (0, [])
+        rows = [r for frame in frames for r in frame[[*order, step, loss]].itertuples(index=False, name=None)]
+        before = list(kept)
+        for *_, at, value in sorted(rows):
+            if len(kept) < k or value < kept[-1][1]:
+                kept.append((int(at), float(value)))
+                kept.sort(key=lambda x: x[1])  # stable: of equals the earlier stays in front
+                del kept[k:]
+        if kept != before:
+            version += 1
+        state.update((version, [a for a, _ in kept], [v for _, v in kept]))
+        yield pd.DataFrame({by: key[0], "version": version, step: [a for a, _ in kept], loss: [v for _, v in kept]})
+
+    known = df.filter(F.col(loss).isNotNull() & F.col(by).isNotNull())
+    return known.groupBy(by).applyInPandasWithState(run, f"{by} string, version long, {step} long, {loss} double", "version long, steps array<long>, losses array<double>", "update", "NoTimeout")
+
+
 def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
     """What the stream gives over its present input, from parquet in the shared
-    folder (``complete`` results: the last batch)."""
+    folder (``complete`` results: the last batch; ``update``: every batch)."""
     spark = stream.sparkSession
     base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
 
-    if mode == "append":
+    if mode == "update":
+
+        def add(batch: DataFrame, number: int) -> None:
+            # by the batch's number, so that one that runs again is there once
+            batch.write.mode("overwrite").parquet(f"{base}/out/batch={number}")
+
+        stream.writeStream.outputMode(mode).foreachBatch(add).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    elif mode == "append":
         stream.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     else:
 
@@ -53,7 +85,7 @@ def drain(stream: DataFrame, mode: str = "append") -> DataFrame:
             batch.write.mode("overwrite").parquet(f"{base}/out")
 
         stream.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{base}/out")
+    return spark.read.schema(stream.schema).option("recursiveFileLookup", True).parquet(f"{base}/out")
 
 
 def upserted(stream: DataFrame, keys: list[str], written: str, metrics: tuple[str, ...]) -> DataFrame:

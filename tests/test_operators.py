@@ -294,3 +294,36 @@ def test_best_reply_by_every_key(spark):
     rows = [("a", "p", "assistant", None, 9, "1"), ("b", "p", "assistant", 1, 1, "2"), ("c", "p", "assistant", 1, 3, "2"), ("d", "p", "assistant", 1, 3, "1"), ("e", "p", "assistant", 1, 3, "1"), ("f", "p", "prompter", 0, 9, "0"), ("g", "q", "assistant", None, None, None)]
     df = spark.createDataFrame(rows, "message_id string, parent_id string, role string, rank int, review_count int, created_date string")
     assert sorted(map(tuple, R.best_reply(df).collect())) == [("p", "d"), ("q", "g")]
+
+
+def test_constrained_choice_falls_back(spark):
+    inf = float("-inf")
+    rows = [(1, 0, 5.0), (1, 1, 1.0), (1, 2, 1.0), (2, 0, 5.0), (2, 1, inf), (2, 2, None), (3, 0, 1.0)]
+    df = spark.createDataFrame(rows, "q long, item long, s double")
+    assert dict(map(tuple, scoring.choose_allowed(df, "q", "item", "s", (1, 2)).collect())) == {1: 1, 2: 0, 3: 0}
+    assert dict(map(tuple, scoring.choose_allowed(df, "q", "item", "s", ()).collect())) == {1: 0, 2: 0, 3: 0}
+
+
+def test_best_per_group_falls_back(spark):
+    df = spark.createDataFrame([("a", "x", 2.0, 1.0), ("a", "y", 1.0, 0.0), ("b", "x", None, 1.0), ("b", "y", None, 3.0), ("c", "x", None, None)], "g string, run string, loss double, acc double")
+    assert sorted(map(tuple, runs.best_per_group(df, "g", "run", "loss", "acc").collect())) == [("a", "y", True), ("b", "y", False), ("c", None, False)]
+
+
+def test_duplicate_flags(spark):
+    df = docs(spark, [(3, "x", "s"), (1, "x", "s"), (2, "y", "s"), (4, None, "s"), (5, None, "s")])
+    assert sorted(map(tuple, dedup.flags(df).collect())) == [(1, True, 1), (2, False, 2), (3, True, 1), (4, True, 4), (5, True, 4)]
+
+
+def test_remove_sentences_of_repeated_ids(spark):
+    df = spark.createDataFrame([(1, "Keep this one. Drop this sentence. Short."), (1, "Drop this sentence. And keep that."), (2, "Nothing here. At all"), (3, None), (4, ""), (None, "Drop this sentence.")], "doc_id long, text string")
+    blocked = decontam.sentence_hashes(spark.createDataFrame([("DROP  this sentence. Other one stands.",), ("Short.",)], "text string"))
+    got = sorted(((r.doc_id, r.text, r.n_removed) for r in decontam.remove_sentences(df, blocked).collect()), key=str)
+    assert got == [(1, "And keep that.", 1), (1, "Keep this one. Short.", 1), (2, "Nothing here. At all", 0), (3, None, 0), (4, "", 0), (None, "Drop this sentence.", 0)]
+
+
+def test_chain_of_repeated_and_cyclic_messages(spark):
+    rows = [(k, k - 1 if k else None, "assistant" if k % 2 else "prompter", f"t{k}") for k in range(300)] * 2
+    rows += [(1000 + k, 1000 + (k + 1) % 4, "assistant" if k % 2 else "prompter", "c") for k in range(4)] + [(2000, 1001, "prompter", "h"), (2001, 2000, "assistant", "h"), (None, None, "prompter", "n")]
+    df = spark.createDataFrame(rows, "message_id long, parent_id long, role string, text string")
+    got = {r.message_id: r.chain for r in R.ancestor_chains(df).collect()}
+    assert {i: len(c) for i, c in got.items()} == {k: k + 1 for k in range(1, 300, 2)} and [t.text for t in got[5]] == [f"t{k}" for k in range(6)]
