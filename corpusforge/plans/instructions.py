@@ -12,7 +12,7 @@ from ..functions import text as T
 from ..operators import decontam, packing, sampling
 from ..session import checkpoint_dir
 from ..sources.tables import spread, table
-from .documents import _S, clean_sql, hashed_ids, re2
+from .documents import _ENGLISH_SQL, _S, _chain, clean_sql, hashed_ids, re2
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -94,7 +94,32 @@ def mc_options(spark, d):
     return found.filter(F.size("m") > 0).select("row_id", F.explode("m").alias("letter", "option"))
 
 
-@query("mc_answer_decode")
+def _key_sql(c: str) -> str:
+    """``answer_key_plain`` in SQL."""
+    plain = _chain(f"translate(coalesce({c},''), chr(65533)||chr(65279)||chr(8203)||chr(8204)||chr(8205)||chr(173)||chr(65534), '')")
+    unquoted = f"regexp_replace(regexp_replace(lower({plain}), '^[\"''`]+|[\"''`]+$', '', 'g'), '[.!,;:]+$', '')"
+    return f"trim(regexp_replace({unquoted}, '{_S}+', ' ', 'g'))"
+
+
+def _decoded_sql(rows: str) -> str:
+    """(row_id, p, o, letters, letter) of rows with prompt ``p`` and cleaned answer ``o``."""
+    marked = "regexp_replace(translate(coalesce(p,''), chr(1)||chr(2), ''), '" + re2(P.LABEL) + "', chr(1)||'\\1\\2'||chr(2), 'g')"
+    options = f"SELECT row_id, k, upper(x[1]) AS letter, {strip_sql('x[3:]')} AS option FROM (SELECT row_id, unnest(xs) AS x, generate_subscripts(xs, 1) AS k FROM (SELECT row_id, string_split({marked}, chr(1))[2:] AS xs FROM r))"
+    firsts = f"SELECT row_id, letter, {_key_sql('option')} AS v FROM ({options}) WHERE option <> '' QUALIFY row_number() OVER (PARTITION BY row_id, letter ORDER BY k) = 1"
+    lettered = f"SELECT r.*, CASE WHEN len(ls) >= 2 THEN ls WHEN regexp_matches(p, '{re2(P.EXPLICIT_CHOICE)}') THEN ['A','B','C','D'] ELSE []::VARCHAR[] END AS letters, CASE WHEN len(ls) >= 2 THEN ls ELSE ['A','B','C','D'] END AS allowed, {_key_sql('o')} AS answer FROM r LEFT JOIN (SELECT row_id, list(letter) AS ls FROM f GROUP BY row_id) USING (row_id)"
+    texts = "SELECT l.row_id, min_by(letter, (-length(v), letter)) AS by_text FROM l JOIN f ON f.row_id = l.row_id AND list_contains(l.allowed, f.letter) AND v <> '' AND (answer = v OR starts_with(answer, v || ' ')) GROUP BY l.row_id"
+
+    def allowed(pattern: str) -> str:
+        found = f"upper(regexp_extract(o, '{re2(pattern)}', 1))"
+        return f"CASE WHEN list_contains(allowed, {found}) THEN {found} END"
+
+    leading = f"CASE WHEN regexp_matches(o, '{re2(P.LEADING_LETTER)}') THEN coalesce({allowed(P.LEADING_LETTER)}, '') ELSE by_text END"
+    named = ", ".join(allowed(x) for x in P.NAMED_LETTER)
+    letter = f"nullif(CASE WHEN regexp_matches(o, '{re2(P.ONLY_LETTER)}') THEN {allowed(P.ONLY_LETTER)} ELSE coalesce({named}, {leading}) END, '')"
+    return f"WITH r AS ({rows}), f AS ({firsts}), l AS ({lettered}), t AS ({texts}) SELECT l.row_id, p, o, letters, {letter} AS letter FROM l LEFT JOIN t USING (row_id)"
+
+
+@query("mc_answer_decode", "SELECT row_id, letter FROM (" + _decoded_sql(f"SELECT row_id, coalesce(instruction,'') || chr(10) || coalesce(input,'') AS p, {clean_sql('output')} AS o FROM sft_rows") + ") WHERE len(letters) > 0")
 def mc_answer_decode(spark, d):
     rows = sft(spark, d).select("row_id", F.concat_ws("\n", T.text_of("instruction"), T.text_of("input")).alias("p"), T.clean_text("output").alias("o"))
     read = rows.withColumn("m", P.options("p")).withColumn("letters", P.valid_letters(F.col("p"), F.col("m"))).filter(F.size("letters") > 0)
@@ -180,7 +205,25 @@ def cleaned_rows(spark, d) -> DataFrame:
     return read.withColumn("output", decoded).drop("_m", "_l").checkpoint()
 
 
-@query("sft_clean_filter")
+_CLEAN_ROWS = f"SELECT row_id, source, {clean_sql('instruction')} AS instruction, {clean_sql('input')} AS input, {clean_sql('output')} AS o FROM sft_rows"
+_NORM = f"regexp_replace(regexp_replace(regexp_replace(lower(%s), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '{_S}+', ' ', 'g'), '^{_S}+|{_S}+$', '', 'g')"
+def _tasked(c: str) -> str:
+    return "(" + " OR ".join(f"regexp_matches(coalesce({c},''), '{re2(x)}')" for x in (T.CODE_TOPIC, T.MATH_TOPIC, T.HTML_MARKUP, T.CODE_MARKERS, T.LATEX, T.MATH)) + ")"
+
+
+_KEPT = (
+    f"WITH c AS ({_CLEAN_ROWS}), d AS (" + _decoded_sql("SELECT row_id, instruction || chr(10) || input AS p, o FROM c") + "), "
+    f"n AS (SELECT c.row_id, source, instruction, input, CASE WHEN len(letters) > 0 THEN coalesce(letter, '') ELSE c.o END AS output FROM c JOIN d USING (row_id)), "
+    f"j AS (SELECT *, row_id AS doc_id, NULL AS lang, concat_ws(chr(10), " + ", ".join(f"CASE WHEN {strip_sql(x)} <> '' THEN {x} END" for x in ("instruction", "input", "output")) + ") AS text FROM n), "
+    f"e AS (SELECT doc_id FROM ({_ENGLISH_SQL.replace('FROM documents', 'FROM j')}) WHERE english), "
+    f"g AS (SELECT * FROM j WHERE {strip_sql('instruction')} <> '' AND {strip_sql('output')} <> '' AND NOT {_tasked('instruction')} AND NOT {_tasked('input')} AND NOT {_tasked('output')} AND NOT {_tasked('text')} AND row_id IN (SELECT doc_id FROM e)), "
+    f"q AS (SELECT row_id, unnest([instruction, CASE WHEN {strip_sql('input')} <> '' THEN instruction || chr(10)||chr(10) || input END, string_split(instruction, chr(10)||chr(10))[1]]) AS f FROM g), "
+    f"b AS (SELECT row_id FROM q WHERE f IS NOT NULL AND {_NORM % 'f'} <> '' AND {_NORM % 'f'} IN (SELECT {_NORM % 'text'} FROM eval_items WHERE text IS NOT NULL)) "
+    "SELECT row_id, source, length(output) AS n_output FROM g WHERE row_id NOT IN (SELECT row_id FROM b)"
+)
+
+
+@query("sft_clean_filter", _KEPT)
 def sft_clean_filter(spark, d):
     good = cleaned_rows(spark, d).filter(T.is_clean_instruction(F.col("instruction"), F.col("input"), F.col("output")))
     bad = decontam.matching_sets(good, decontam.eval_hashes(items(spark, d))).select("row_id").distinct()
@@ -207,7 +250,6 @@ def cloze_drops(spark, d):
     return made.agg(*[F.sum(f"c.{x}").alias(x) for x in ("too_short", "stopword", "no_content_word")])
 
 
-_NORM = f"regexp_replace(regexp_replace(regexp_replace(lower(%s), '[!-/:-@\\[-`{{-~]', ' ', 'g'), '{_S}+', ' ', 'g'), '^{_S}+|{_S}+$', '', 'g')"
 
 
 def prompts(spark, d) -> DataFrame:
