@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import stored
 from .text import col, strip, text_of
 
 # The two openings of the instruction template.
@@ -85,38 +85,42 @@ def history(turns: DataFrame, conv: str = "conv_id", turn: str = "turn") -> Data
     return early.groupBy(conv).agg(F.concat(F.lit("Previous conversation:\n\n"), body).alias("history"))
 
 
-def ancestor_ids(messages: DataFrame) -> DataFrame:
-    """(message_id, ids, depth) of the assistant messages whose ancestors lead to
-    a root, prompter and assistant in turn; ``ids`` from the root on.
+def ancestor_paths(messages: DataFrame, ids: bool = True) -> DataFrame:
+    """(message_id, depth, ids) of the assistant messages whose ancestors lead to
+    a root, prompter and assistant in turn; ``ids`` from the root on, if asked for.
 
     ``messages`` has message_id, parent_id, role. Paths are doubled: each
-    message holds the ids up to some ancestor, and takes on that ancestor's own
+    message reaches up to some ancestor, and takes on that ancestor's own
     path in each round, so a chain of any depth takes as many rounds as its
     depth has binary digits. A path that meets itself, a missing parent, or one that
     breaks the turns, is dropped, and with it whatever hangs on it.
     """
-    checkpoint_dir(messages.sparkSession)
     # of repeated ids one row counts
     rows = messages.filter("message_id is not null").groupBy("message_id").agg(F.min(F.struct("parent_id", "role")).alias("m"))
-    slim = rows.select("message_id", "m.parent_id", "m.role")
-    paths = slim.select("message_id", F.col("parent_id").alias("next"), "role", F.col("role").alias("top_role"), F.array("message_id").alias("ids")).checkpoint()
-    while True:
-        done = paths.filter("next is null and top_role = 'prompter'")
-        open_ = paths.filter("next is not null")
-        upper = paths.filter("next is not null or top_role = 'prompter'").select(F.col("message_id").alias("u_id"), F.col("next").alias("u_next"), F.col("role").alias("u_role"), F.col("top_role").alias("u_top"), F.col("ids").alias("u_ids"))
-        grown = open_.join(upper, F.col("next") == F.col("u_id")).filter((F.col("u_role") != F.col("top_role")) & ~F.arrays_overlap("ids", "u_ids"))
-        grown = grown.select("message_id", F.col("u_next").alias("next"), "role", F.col("u_top").alias("top_role"), F.concat("u_ids", "ids").alias("ids"))
-        paths = done.unionByName(grown).checkpoint()
-        if paths.filter("next is not null").isEmpty():
-            break
-    return paths.filter("role = 'assistant' and top_role = 'prompter'").select("message_id", "ids", F.size("ids").alias("depth"))
+    start = rows.select("message_id", F.col("m.parent_id").alias("next"), "m.role", F.col("m.role").alias("top_role"), F.lit(1).cast("long").alias("depth"))
+    open_ = stored(start.withColumn("ids", F.array("message_id")) if ids else start)
+    total = open_.count()
+    rooted = "next is null and top_role = 'prompter'"
+    done, open_ = open_.filter(rooted), open_.filter("next is not null")
+    # a path longer than there are messages is a circle
+    while (least := open_.agg(F.min("depth")).first()[0]) is not None and least <= total:
+        every = done.unionByName(open_)
+        upper = every.select(*[F.col(c).alias(f"u_{c}") for c in every.columns])
+        grown = open_.join(upper, F.col("next") == F.col("u_message_id")).filter(F.col("u_role") != F.col("top_role"))
+        if ids:
+            grown = grown.filter(~F.arrays_overlap("ids", "u_ids"))
+        joined = {"ids": F.concat("u_ids", "ids")} if ids else {}
+        new = {"next": F.col("u_next"), "top_role": F.col("u_top_role"), "depth": F.col("depth") + F.col("u_depth"), **joined}
+        grown = stored(grown.select("message_id", "role", *[c.alias(k) for k, c in new.items()]))
+        done, open_ = done.unionByName(grown.filter(rooted)), grown.filter("next is not null")
+    return done.filter("role = 'assistant'").select("message_id", F.col("depth").cast("int").alias("depth"), *["ids"] * ids)
 
 
 def ancestor_chains(messages: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
-    """(message_id, chain, depth) as ``ancestor_ids`` has them, or of those of
+    """(message_id, chain, depth) as ``ancestor_paths`` has them, or of those of
     ``wanted`` (message_id) alone; ``chain`` holds structs of role and text from
     the root on. Texts are joined once, to the paths that are asked for."""
-    paths = ancestor_ids(messages)
+    paths = ancestor_paths(messages)
     if wanted is not None:
         paths = paths.join(wanted, "message_id", "left_semi")
     steps = paths.select("message_id", "depth", F.posexplode("ids").alias("pos", "_id"))

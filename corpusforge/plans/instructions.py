@@ -175,7 +175,7 @@ def messages(spark, d) -> DataFrame:
 
 @query("ancestor_chain", f"WITH RECURSIVE m AS ({_MESSAGES}), t AS (SELECT message_id, 1 AS depth FROM m WHERE parent_id IS NULL UNION ALL SELECT m.message_id, t.depth + 1 FROM m JOIN t ON m.parent_id = t.message_id) SELECT message_id, depth FROM t WHERE message_id LIKE 'a%'")
 def ancestor_chain(spark, d):
-    return R.ancestor_ids(messages(spark, d)).select("message_id", "depth")
+    return R.ancestor_paths(messages(spark, d), ids=False)
 
 
 @query("best_reply", "SELECT parent_id, min_by(message_id, (coalesce(r, 1000000), -coalesce(c, 0), created_date, message_id)) AS message_id FROM (SELECT 'a' || row_id AS message_id, source || '/' || (row_id // 1000) AS parent_id, CASE WHEN length(output) % 4 > 0 THEN length(output) % 4 END AS r, CASE WHEN length(instruction) % 3 > 0 THEN length(instruction) % 3 END AS c, coalesce(created_date, '') AS created_date FROM sft_rows) GROUP BY parent_id")

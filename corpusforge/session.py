@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -39,3 +40,11 @@ def checkpoint_dir(spark: SparkSession) -> str:
     path = configured or os.path.join(tempfile.gettempdir(), "corpusforge-checkpoints")
     spark.sparkContext.setCheckpointDir(path)
     return path
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` as a table in the checkpoint folder: cuts the lineage as a
+    checkpoint does, in compressed columns."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
