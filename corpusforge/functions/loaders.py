@@ -129,9 +129,13 @@ def orca_pairs(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def hh_pairs(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """(prompt, chosen, rejected) of the last turn of two transcripts; only pairs of one prompt, with nothing blank."""
-    a, b = transcript_turn("chosen"), transcript_turn("rejected")
-    rows = df.select(*keep, a["prompt"].alias("prompt"), a["reply"].alias("chosen"), b["reply"].alias("rejected"))
+    """(prompt, chosen, rejected): the last turn of the chosen transcript and the
+    last reply of the rejected one, with nothing blank. A transcript that has but
+    its first turn is left out, as its stripped text has no further one."""
+    turn = "\n\nHuman: "
+    both = df.select(*keep, strip(text_of("chosen")).alias("_c"), strip(text_of("rejected")).alias("_r")).filter(F.contains("_c", F.lit(turn)) & F.contains("_r", F.lit(turn)))
+    a, b = transcript_turn("_c"), transcript_turn("_r")
+    rows = both.select(*keep, a["prompt"].alias("prompt"), a["reply"].alias("chosen"), b["reply"].alias("rejected"))
     return rows.filter("prompt <> '' and chosen <> '' and rejected <> ''")
 
 

@@ -37,7 +37,7 @@ def ranked(df: DataFrame, by: list[str] | None, id_col: str, seed: int = 42, nam
     """
     by = by or []
     if digits is None:
-        digits = max(2, ceil(log(4 * partitions(df, shuffle_partitions(df.sparkSession)), 16)))
+        digits = max(2, ceil(log(4 * max(1, partitions(df, shuffle_partitions(df.sparkSession))), 16)))
     keyed = df.withColumn("_k", order_key(id_col, seed)).withColumn("_b", F.substring("_k", 1, digits))
     sizes = keyed.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -157,10 +157,10 @@ class Registry:
 
         return add
 
-    def load(self, name: str, *args: Any) -> DataFrame:
+    def load(self, name: str, *args: Any, **options: Any) -> DataFrame:
         if name not in self.loaders:
             raise ValueError(f"unknown dataset {name!r}; registered: {', '.join(sorted(self.loaders))}")
-        return self.loaders[name](*args)
+        return self.loaders[name](*args, **options)
 
 
 def read_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
