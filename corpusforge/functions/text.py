@@ -73,6 +73,13 @@ WIKI = (
 )
 
 
+def unretreating(pattern: str) -> str:
+    """``pattern`` with the white space at a line's begin taken for good: what
+    follows it never begins with any, so the matches are the same, and a long run of blank lines
+    is not gone back through from each of them."""
+    return pattern.replace(r"^\s*(", r"^\s*+(")
+
+
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
@@ -84,7 +91,8 @@ def text_of(c: Column | str) -> Column:
 
 def strip(c: Column | str) -> Column:
     """Without white space of Unicode at both ends."""
-    return F.regexp_replace(col(c), f"^{WS}+|{WS}+$", "")
+    # at the end only where a run begins, or a long run inside would be tried from each of its characters
+    return F.regexp_replace(col(c), f"^{WS}++|(?<!{WS}){WS}++$", "")
 
 
 def split_words(c: Column | str) -> Column:
@@ -144,7 +152,7 @@ def clean_text(c: Column | str, strip_code_and_math: bool = True, normalise: boo
         c = nfc(c)
     c = F.regexp_replace(drop_junk(c), "(?U)" + URL, "")
     if strip_code_and_math:
-        for pattern in (HTML, FENCED_CODE, "(?U)" + INDENTED_CODE, CODE_LINE, INLINE_CODE, LATEX):
+        for pattern in (HTML, FENCED_CODE, "(?U)" + INDENTED_CODE, unretreating(CODE_LINE), INLINE_CODE, LATEX):
             c = F.regexp_replace(c, pattern, "")
         c = F.regexp_replace(c, MATH, " ")
     return strip(collapse(drop_prefix(c), spaces=strip_code_and_math))
@@ -172,7 +180,7 @@ def is_english(c: Column | str) -> Column:
 
 
 def has_code_or_markup(c: Column | str) -> Column:
-    return text_of(c).rlike(HTML_MARKUP) | text_of(c).rlike(CODE_MARKERS)
+    return text_of(c).rlike(HTML_MARKUP) | text_of(c).rlike(unretreating(CODE_MARKERS))
 
 
 def has_math_content(c: Column | str) -> Column:

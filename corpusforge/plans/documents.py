@@ -86,7 +86,7 @@ _cleaner("strip_urls", lambda c: F.regexp_replace(c, "(?U)" + T.URL, ""), _brief
 _cleaner("strip_html", lambda c: F.regexp_replace(c, T.HTML, ""), _brief_sql(_replaced(T.HTML)))
 _cleaner("strip_fenced_code", lambda c: F.regexp_replace(c, T.FENCED_CODE, ""), _brief_sql(_replaced(T.FENCED_CODE)))
 _cleaner("strip_indented_code", lambda c: F.regexp_replace(c, "(?U)" + T.INDENTED_CODE, ""), _brief_sql(_replaced(re2("(?U)" + T.INDENTED_CODE))))
-_cleaner("strip_code_lines", lambda c: F.regexp_replace(c, T.CODE_LINE, ""), _brief_sql(_replaced(re2(T.CODE_LINE).replace("''", "'"))))
+_cleaner("strip_code_lines", lambda c: F.regexp_replace(c, T.unretreating(T.CODE_LINE), ""), _brief_sql(_replaced(re2(T.CODE_LINE).replace("''", "'"))))
 _cleaner("strip_inline_code", lambda c: F.regexp_replace(c, T.INLINE_CODE, ""), _brief_sql(_replaced(re2(T.INLINE_CODE).replace("''", "'"))))
 _cleaner("strip_latex", lambda c: F.regexp_replace(c, T.LATEX, ""), _brief_sql(_replaced(T.LATEX)))
 _MATH_RE2 = T.MATH.replace("(?mdU)", "(?m)").replace(r"\s", _S)
@@ -460,7 +460,7 @@ FLAGS = {
 def quality_flags(spark, d):
     one = signals(texts(spark, d)).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(F.expr(v)).alias(k) for k, v in FLAGS.items()])
     stacked = ", ".join(f"'{k}', {k}" for k in FLAGS)
-    return one.selectExpr("total", f"stack({len(FLAGS)}, {stacked}) as (flag, n)").select("flag", "n", (F.lit(100.0) * F.col("n") / F.col("total")).alias("pct"))
+    return one.selectExpr("total", f"stack({len(FLAGS)}, {stacked}) as (flag, n)").select("flag", "n", F.try_divide(F.lit(100.0) * F.col("n"), F.col("total")).alias("pct"))
 
 
 @query("low_english_recheck", "SELECT CASE WHEN f < 0.1 THEN 'low' WHEN f < 0.3 THEN 'middle' ELSE 'high' END AS bucket, count(*) AS n FROM (SELECT len(list_filter(w, lambda x: list_contains(" + _STOP_SQL + ", x))) / greatest(len(w), 1) AS f FROM (SELECT list_transform(" + _WORDS + ", lambda x: regexp_replace(x, '^[.,!?;:()\"'']+|[.,!?;:()\"'']+$', '', 'g')) AS w FROM documents WHERE doc_id IN (SELECT doc_id FROM (" + _SIGNALS + ") WHERE stopword_overlap < 0.10))) GROUP BY 1")
@@ -601,7 +601,7 @@ def funnel(documents: DataFrame, items: DataFrame) -> DataFrame:
     kept = F.col("long") & F.col("english")
     one = flat.agg(F.sum("n").alias("raw"), F.coalesce(F.sum(F.when(F.col("long"), F.col("n"))), F.lit(0)).alias("length"), F.count_if("long").alias("exact_dedup"), F.count_if(kept).alias("english"), F.count_if(kept & F.col("leaked").isNull()).alias("decontam"))
     names = ("raw", "length", "exact_dedup", "english", "decontam")
-    return one.selectExpr("raw AS total", f"stack(5, {', '.join(f'{i}, {n!r}, {n}' for i, n in enumerate(names))}) AS (step, stage, n)").select("step", "stage", "n", (F.lit(100.0) * F.col("n") / F.col("total")).alias("pct"))
+    return one.selectExpr("raw AS total", f"stack(5, {', '.join(f'{i}, {n!r}, {n}' for i, n in enumerate(names))}) AS (step, stage, n)").select("step", "stage", "n", F.try_divide(F.lit(100.0) * F.col("n"), F.col("total")).alias("pct"))
 
 
 _CLEANED = f"(SELECT doc_id, source, lang, {clean_sql('z')} AS text FROM (SELECT doc_id, source, lang, {_WIKI_RAW} AS z FROM documents))"

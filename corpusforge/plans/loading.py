@@ -190,7 +190,7 @@ def source_shares(spark, d):
     from ..functions.classify import CHOICE_SOURCES, CLOZE_SOURCES
 
     s = F.col("source")
-    pct = lambda c: F.lit(100.0) * F.count_if(c) / F.count(F.lit(1))
+    pct = lambda c: F.try_divide(F.lit(100.0) * F.count_if(c), F.count(F.lit(1)))
     return sft(spark, d).agg(pct(s.isin(*CHOICE_SOURCES)).alias("mc_pct"), pct(s == "oasst1").alias("chat_pct"), pct(s.isin(*CLOZE_SOURCES)).alias("cloze_pct"))
 
 
@@ -204,6 +204,8 @@ def multi_source_ingest(spark, d):
     """Every configured source as a corpus of its own, with a text column of its own name."""
     configs = [Source(r["name"], r["hf_dataset_id"], r["hf_subset"], r["hf_split"], r["text_column"], r["ratio"]) for r in table(spark, d, "source_configs").collect()]  # a row a source
     docs = table(spark, d, "documents")
+    if not configs:
+        return docs.limit(0).select("doc_id", "source", F.md5("text").alias("text_md5"))
     return L.ingest(configs, lambda s: docs.filter(F.col("source") == s.name).select("doc_id", F.col("text").alias(s.text_column)), 200_000).select("doc_id", "source", F.md5("text").alias("text_md5"))
 
 

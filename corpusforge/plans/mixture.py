@@ -91,7 +91,7 @@ def _flags_sql(flags: tuple[str, ...]) -> str:
 
 def _flag_counts(spark, d, flags: tuple[str, ...]) -> DataFrame:
     one = classified(spark, d).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(f).alias(f) for f in flags])
-    return one.selectExpr("total", "stack(%d, %s) as (flag, n)" % (len(flags), ", ".join(f"'{f}', {f}" for f in flags))).select("flag", "n", (F.lit(100.0) * F.col("n") / F.col("total")).alias("pct"))
+    return one.selectExpr("total", "stack(%d, %s) as (flag, n)" % (len(flags), ", ".join(f"'{f}', {f}" for f in flags))).select("flag", "n", F.try_divide(F.lit(100.0) * F.col("n"), F.col("total")).alias("pct"))
 
 
 @query("flag_mix", _flags_sql(C.FLAGS))
@@ -218,7 +218,7 @@ def risk_table(spark, d):
     flags = rows.crossJoin(F.broadcast(p)).agg(F.count(F.lit(1)).alias("total"), *[F.count_if(c).alias(k) for k, c in conditions.items()])  # one row
     one = flags.crossJoin(F.broadcast(copies))  # one row each
     stacked = ", ".join(f"'{k}', {k}" for k in RISKS)
-    return one.selectExpr("total", f"stack({len(RISKS)}, {stacked}) as (risk, n)").select("risk", "n", F.round(F.lit(100.0) * F.col("n") / F.col("total"), 2).alias("pct"))
+    return one.selectExpr("total", f"stack({len(RISKS)}, {stacked}) as (risk, n)").select("risk", "n", F.round(F.try_divide(F.lit(100.0) * F.col("n"), F.col("total")), 2).alias("pct"))
 
 
 # --------------------------------------------------------- samples of tasks

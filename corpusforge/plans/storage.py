@@ -43,7 +43,7 @@ def _folder(spark: SparkSession, name: str) -> str:
 def save_per_source(spark, d):
     path = _folder(spark, "dataset")
     files.save_dataset(table(spark, d, "documents").select("doc_id", "text", "source"), path, ["source"])
-    return spark.read.parquet(path).select("doc_id", "source", F.md5("text").alias("text_md5"))
+    return spark.read.schema("doc_id long, text string, source string").parquet(path).select("doc_id", "source", F.md5("text").alias("text_md5"))
 
 
 @query("snapshot_csv", "SELECT row_id::VARCHAR AS row_id, md5(coalesce(instruction,'')) AS instruction_md5 FROM sft_rows")
@@ -51,7 +51,7 @@ def snapshot_csv(spark, d):
     """A dated snapshot, read back from its CSV."""
     rows = table(spark, d, "sft_rows").select("row_id", "source", T.text_of("instruction").alias("instruction"))
     path = files.snapshot(rows, _folder(spark, "snapshots"), "2024-06-01", csv=True)
-    return files.read_any(spark, f"{path}/rows.csv").select("row_id", F.md5(T.text_of("instruction")).alias("instruction_md5"))
+    return files.read_any(spark, f"{path}/rows.csv", "row_id string, source string, instruction string").select("row_id", F.md5(T.text_of("instruction")).alias("instruction_md5"))
 
 
 @query("records_jsonl", "SELECT row_id, coalesce(instruction,'') AS instruction, coalesce(input,'') AS input, coalesce(output,'') AS output FROM sft_rows")
@@ -60,7 +60,7 @@ def records_jsonl(spark, d):
     path = _folder(spark, "records") + ".jsonl"
     rows = table(spark, d, "sft_rows").select("row_id", F.col("instruction").alias("prompt"), F.col("input").alias("context"), F.col("output").alias("completion"))
     rows.write.json(path)
-    return files.normalise_records(files.read_any(spark, path)).select("row_id", "instruction", "input", "output")
+    return files.normalise_records(files.read_any(spark, path, "row_id long, prompt string, context string, completion string")).select("row_id", "instruction", "input", "output")
 
 
 @query("cache_by_parameters", "SELECT source, count(*) AS n, 2 AS built FROM documents WHERE source IS NOT NULL GROUP BY source")
@@ -127,7 +127,7 @@ def metric_logs(spark, d):
     late = F.pmod(F.xxhash64("run_name", "step"), F.lit(2)) == 1
     for part in (rows.filter(~late), rows.filter(late)):
         files.write_metrics(part, path)
-    return files.read_metrics(spark, [path]).select("run_name", "step", *METRICS)
+    return files.read_metrics(spark, [path], "run_name string, step long, " + ", ".join(f"{m} double" for m in METRICS)).select("run_name", "step", *METRICS)
 
 
 @query("result_files", "SELECT 'x_best' AS model_name, 12 AS step, count(*) AS n_items FROM eval_items")
@@ -145,7 +145,7 @@ def arena_log(spark, d):
     rows = table(spark, d, "eval_items").select("item_id", T.text_of("text").alias("prompt"))
     for _ in range(2):
         files.append_log(rows, f"{base}/log.jsonl", base)
-    return spark.read.json(f"{base}/log.jsonl").groupBy("item_id", F.md5("prompt").alias("prompt_md5")).agg(F.count(F.lit(1)).alias("n"))
+    return files.read_any(spark, f"{base}/log.jsonl", "item_id long, prompt string").groupBy("item_id", F.md5("prompt").alias("prompt_md5")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("config_scan", "SELECT name, hf_dataset_id, ratio FROM source_configs")

@@ -80,12 +80,14 @@ ALIASES = {
 }
 
 
-def read_any(spark: SparkSession, path: str) -> DataFrame:
+def read_any(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     """Records of a file or folder by its suffix: jsonl, json (a list, or an
-    object with a list under ``data`` or ``rows``), csv with a header, parquet."""
-    suffix = Path(path).suffix.lower()
+    object with a list under ``data`` or ``rows``), csv with a header, parquet.
+    ``schema`` is for lines and tables that may be empty."""
+    suffix = PurePosixPath(path).suffix.lower()
+    reader = spark.read if schema is None else spark.read.schema(schema)
     if suffix == ".jsonl":
-        return spark.read.json(path)
+        return reader.json(path)
     if suffix == ".json":
         df = spark.read.option("multiLine", True).json(path)
         for name in ("data", "rows"):
@@ -93,9 +95,9 @@ def read_any(spark: SparkSession, path: str) -> DataFrame:
                 return df.select(F.explode(name).alias("r")).select("r.*")
         return df
     if suffix == ".csv":
-        return spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
+        return reader.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     if suffix in (".parquet", ".pq"):
-        return spark.read.parquet(path)
+        return reader.parquet(path)
     raise ValueError(f"no reader for {suffix or 'a file without suffix'}: {path}")
 
 
@@ -163,13 +165,14 @@ class Registry:
         return self.loaders[name](*args, **options)
 
 
-def read_metrics(spark: SparkSession, paths: list[str]) -> DataFrame:
+def read_metrics(spark: SparkSession, paths: list[str], schema: str | None = None) -> DataFrame:
     """Metric logs, csv or jsonl, with ``run`` from the folder's name; columns
-    that a file lacks are null."""
+    that a file lacks are null. ``schema`` is for logs that may be empty."""
+    reader = spark.read if schema is None else spark.read.schema(schema)
     out = None
     for path in paths:
-        df = spark.read.option("header", True).option("inferSchema", True).csv(path) if path.endswith(".csv") else spark.read.json(path)
-        df = df.withColumn("run", F.lit(Path(path).parent.name))
+        df = reader.option("header", True).option("inferSchema", schema is None).csv(path) if path.endswith(".csv") else reader.json(path)
+        df = df.withColumn("run", F.lit(PurePosixPath(path).parent.name))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     if out is None:
         raise ValueError("no metric file")
