@@ -42,7 +42,7 @@ def stream_sessions(spark, d):
     return out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")})
 
 
-@query("stream_best", "SELECT run_name, step, val_loss FROM train_metrics WHERE val_loss IS NOT NULL AND run_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_name ORDER BY val_loss, written_at, step) <= 3")
+@query("stream_best", "SELECT run_name, step, val_loss FROM train_metrics WHERE val_loss IS NOT NULL AND step IS NOT NULL AND run_name IS NOT NULL QUALIFY row_number() OVER (PARTITION BY run_name ORDER BY val_loss, written_at, step) <= 3")
 def stream_best(spark, d):
     """The three best rows of each run, kept as the rows come; the last state of each."""
     out = X.drain(X.best_rows(X.read_folder(spark, f"{d}/train_metrics.parquet")), "update")

@@ -43,14 +43,14 @@ def best_rows(df: DataFrame, k: int = 3, by: str = "run_name", order: tuple[str,
     """(by, version, step, loss): the ``k`` rows of least loss of each key so
     far, given anew whenever they change, with a rising version. State is those
     rows. A row as bad as the worst of k kept ones does not come in; rows of one batch come in
-    by ``order``. Null losses and keys are left out."""
+    by ``order``, null last. Null losses, steps and keys are left out."""
     import pandas as pd
 
     def run(key, frames, state):
         version, kept = (state.get[0], list(zip(state.get[1], state.get[2]))) if state.exists else (0, [])
         rows = [r for frame in frames for r in frame[[*order, step, loss]].itertuples(index=False, name=None)]
         before = list(kept)
-        for *_, at, value in sorted(rows):
+        for *_, at, value in sorted(rows, key=lambda r: [(pd.isna(v), 0 if pd.isna(v) else v) for v in r]):
             if len(kept) < k or value < kept[-1][1]:
                 kept.append((int(at), float(value)))
                 kept.sort(key=lambda x: x[1])  # stable: of equals the earlier stays in front
@@ -60,7 +60,7 @@ def best_rows(df: DataFrame, k: int = 3, by: str = "run_name", order: tuple[str,
         state.update((version, [a for a, _ in kept], [v for _, v in kept]))
         yield pd.DataFrame({by: key[0], "version": version, step: [a for a, _ in kept], loss: [v for _, v in kept]})
 
-    known = df.filter(F.col(loss).isNotNull() & F.col(by).isNotNull())
+    known = df.filter(F.col(loss).isNotNull() & F.col(step).isNotNull() & F.col(by).isNotNull())
     return known.groupBy(by).applyInPandasWithState(run, f"{by} string, version long, {step} long, {loss} double", "version long, steps array<long>, losses array<double>", "update", "NoTimeout")
 
 
